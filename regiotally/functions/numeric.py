@@ -14,6 +14,17 @@ def round_even(value, digits: int = 0) -> Column:
     return F.rint(column.cast("double") * scale) / scale
 
 
+def mean_of_rounded(value, digits: int) -> Column:
+    """Mean of values that are already rounded to ``digits``.
+
+    They are summed as whole units, so the mean does not depend on the order of the rows, and a mean that
+    lies half-way between two roundings is seen as such.
+    """
+    column = F.col(value) if isinstance(value, str) else value
+    scale = float(10**digits)
+    return F.try_divide(F.sum(F.rint(column * scale).cast("long")), F.count(column)) / scale
+
+
 def rate_per(count, population, per: int = 100_000) -> Column:
     """Occurrences per ``per`` heads; null when the population is 0 or null."""
     return F.try_divide(_column(count).cast("double"), _column(population)) * float(per)

@@ -55,7 +55,7 @@ def inflation_from_sums(gram: np.ndarray, sums: np.ndarray, n: float) -> list[fl
 def quantile_plot(df: DataFrame, value: str, ties, single_task_rows: int = 200_000) -> DataFrame:
     """Normal quantile-quantile table: ordered values against normal scores of their positions."""
     rows = df.count()
-    placed = with_position(df.select(value, *ties), [value, *ties], "position", single_task_rows)
+    placed = with_position(df.select(value, *ties), [value, *ties], "position", single_task_rows, rows)
     end = 0.5 ** (1.0 / rows)
     level = (
         F.when(F.col("position") == rows, F.lit(end))
@@ -85,7 +85,7 @@ def shapiro_wilk(df: DataFrame, value: str, ties, single_task_rows: int = 200_00
     n = df.count()
     if n < 3:
         raise ValueError("at least three rows are needed")
-    placed = with_position(df.select(value, *ties), [value, *ties], "_position", single_task_rows)
+    placed = with_position(df.select(value, *ties), [value, *ties], "_position", single_task_rows, n)
     score = inverse_normal((F.col("_position") - 0.375) / (n + 0.25))
     edge = 1 if n <= 5 else 2
     inside = (F.col("_position") > edge) & (F.col("_position") <= n - edge)

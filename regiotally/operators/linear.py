@@ -1,7 +1,7 @@
 """Linear, ridge and lasso regression.
 
-Fits on rows go through Spark ML. Validation and tuning need many fits over overlapping folds, so one
-aggregate reduces every block of rows to its second moments and the fits work on those p-by-p sums.
+Final models are fitted by Spark ML. Feature comparison, validation and tuning need many fits over the same
+rows, so one aggregate reduces the rows to their second moments and those fits work on p-by-p sums.
 """
 
 from __future__ import annotations
@@ -31,20 +31,20 @@ class LinearFit:
 
 
 def fit_rows(df: DataFrame, features, target: str, jobs, prefix: str = "z_") -> list[LinearFit]:
-    """Fit one Spark ML model per ``(kind, alpha, features)`` job on the same rows.
+    """Fit one Spark ML model per ``(kind, alpha)`` job on the same rows.
 
     The penalties follow the textbook objectives |y - Xw|^2 + alpha |w|_2^2 for ridge and
     |y - Xw|^2 / 2n + alpha |w|_1 for lasso. Spark's objective is scaled by 1 / 2n and by the deviation of
     the label, which the ridge parameter has to undo.
     """
     columns = [F.col(f"`{prefix}{f}`").alias(f"f{i}") for i, f in enumerate(features)]
-    rows = df.select(F.col(target).cast("double").alias("label"), *columns).persist()
+    named = df.select(F.col(target).cast("double").alias("label"), *columns)
+    assembler = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features")
+    rows = assembler.transform(named).select("label", "features").persist()
     try:
         size = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("spread")).first()
         fits = []
-        for kind, alpha, subset in jobs:
-            inputs = [f"f{list(features).index(f)}" for f in subset]
-            vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows)
+        for kind, alpha in jobs:
             penalty = {OLS: 0.0, RIDGE: (alpha or 0.0) * size["spread"] / size["n"], LASSO: alpha or 0.0}[kind]
             model = LinearRegression(
                 solver="normal",
@@ -53,8 +53,8 @@ def fit_rows(df: DataFrame, features, target: str, jobs, prefix: str = "z_") ->
                 regParam=penalty,
                 maxIter=10_000,
                 tol=1e-12,
-            ).fit(vectors)
-            fits.append(LinearFit(tuple(subset), tuple(float(c) for c in model.coefficients), float(model.intercept)))
+            ).fit(rows)
+            fits.append(LinearFit(tuple(features), tuple(float(c) for c in model.coefficients), float(model.intercept)))
         return fits
     finally:
         rows.unpersist()
@@ -84,6 +84,10 @@ class Moments:
         xy = self.xy - centre * self.y
         return Moments(self.n, x / spread, xx / np.outer(spread, spread), self.y, xy / spread, self.yy)
 
+    def only(self, places: list[int]) -> "Moments":
+        """The moments of some of the features."""
+        return Moments(self.n, self.x[places], self.xx[np.ix_(places, places)], self.y, self.xy[places], self.yy)
+
     def spread(self) -> np.ndarray:
         variance = np.diag(self.xx) / self.n - (self.x / self.n) ** 2
         root = np.sqrt(np.maximum(variance, 0.0))
@@ -116,6 +120,12 @@ def moments_by_block(df: DataFrame, features, target: str, block: str, prefix: s
     return found
 
 
+def fit_subset(m: Moments, features, subset, kind: str, alpha: float = 0.0) -> LinearFit:
+    """A model on some of the features the moments cover."""
+    weights, intercept = fit_moments(m.only([list(features).index(f) for f in subset]), kind, alpha)
+    return LinearFit(tuple(subset), tuple(float(w) for w in weights), intercept)
+
+
 def fit_moments(m: Moments, kind: str, alpha: float = 0.0) -> tuple[np.ndarray, float]:
     """Coefficients and intercept from moments alone."""
     mean_x, mean_y = m.x / m.n, m.y / m.n

@@ -7,15 +7,17 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from regiotally.session import materialize
 
 
-def with_position(df: DataFrame, order, name: str = "position", single_task_rows: int = 200_000) -> DataFrame:
+def with_position(
+    df: DataFrame, order, name: str = "position", single_task_rows: int = 200_000, rows: int | None = None
+) -> DataFrame:
     """Number the rows from 1 in the given order.
 
     Up to ``single_task_rows`` counted rows one sorted task does it. Beyond, the rows are range-partitioned
     and written once, so that slices cannot move on a retry; rows are numbered within slices and shifted
     by the row counts of the slices before. End ``order`` with a unique key: ties then have one place,
-    and a value shared by many rows still spreads over slices.
+    and a value shared by many rows still spreads over slices. ``rows`` is the row count where it is known.
     """
-    if df.count() <= single_task_rows:
+    if (df.count() if rows is None else rows) <= single_task_rows:
         return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long"))
     sliced = materialize(
         df.repartitionByRange(*_columns(order)).withColumn("_slice", F.spark_partition_id()), "slices"

@@ -73,12 +73,13 @@ def pivot_count(df: DataFrame, keys, column: str, levels, prefix: str = "") -> D
 
 def pivot_single(df: DataFrame, keys, column: str, measure: str, levels, prefix: str = "") -> DataFrame:
     """Pivot of values that occur once per cell: no filling, and a second row in a cell fails the job."""
+    kind = df.schema[measure].dataType
     columns = []
     for level in levels:
         here = F.col(column) == level
         clash = F.raise_error(F.lit(f"more than one row per cell of {column}"))
         value = F.max(F.when(here, F.col(measure)))
-        columns.append(F.when(F.count_if(here) > 1, clash.cast("double")).otherwise(value).alias(f"{prefix}{level}"))
+        columns.append(F.when(F.count_if(here) > 1, clash.cast(kind)).otherwise(value).alias(f"{prefix}{level}"))
     return df.groupBy(*keys).agg(*columns)
 
 

@@ -13,6 +13,7 @@ class Scaler:
 
     centre: dict[str, float]
     spread: dict[str, float]
+    rows: int
 
     def column(self, name: str) -> Column:
         return (F.col(f"`{name}`").cast("double") - self.centre[name]) / self.spread[name]
@@ -23,7 +24,7 @@ class Scaler:
 
 def fit_scaler(df: DataFrame, features) -> Scaler:
     """One aggregate over the training rows; two numbers per feature reach the driver."""
-    sums = []
+    sums = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(features):
         value = F.col(f"`{f}`").cast("double")
         sums += [F.avg(value).alias(f"m{i}"), F.stddev_pop(value).alias(f"s{i}")]
@@ -31,7 +32,7 @@ def fit_scaler(df: DataFrame, features) -> Scaler:
     row = df.agg(*sums).first()
     centre = {f: row[f"m{i}"] for i, f in enumerate(features)}
     spread = {f: 1.0 if row[f"flat{i}"] or not row[f"s{i}"] else row[f"s{i}"] for i, f in enumerate(features)}
-    return Scaler(centre, spread)
+    return Scaler(centre, spread, row["rows"])
 
 
 def standardize(df: DataFrame, features, prefix: str = "z_") -> DataFrame:

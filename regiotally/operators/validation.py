@@ -16,10 +16,9 @@ def fold_moments(
     panel: DataFrame, features, target: str, order, folds: int = 5, single_task_rows: int = 200_000
 ) -> dict[int, Moments]:
     """Moments per block of the panel in the given row order, features standardised over all rows."""
-    rows = panel.count()
-    scaled = fit_scaler(panel, features).apply(panel, features)
-    placed = with_position(scaled, order, "_position", single_task_rows)
-    blocks = placed.withColumn("_block", fold_block("_position", rows, folds))
+    scaler = fit_scaler(panel, features)
+    placed = with_position(scaler.apply(panel, features), order, "_position", single_task_rows, scaler.rows)
+    blocks = placed.withColumn("_block", fold_block("_position", scaler.rows, folds))
     return moments_by_block(blocks, features, target, "_block")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from regiotally.functions.calendar import month_label, period_label
 from regiotally.functions.labels import without_code
-from regiotally.functions.numeric import rate_per, round_even, share_pct
+from regiotally.functions.numeric import mean_of_rounded, rate_per, round_even, share_pct
 from regiotally.operators.reshape import by_listed_order, grouped_total, pivot_single, pivot_total
 from regiotally.operators.stats import skew_adjusted
 from regiotally.operators.summary import flag_extreme
@@ -84,7 +84,7 @@ def monthly_trend(merged: DataFrame, study: Study) -> DataFrame:
 def monthly_rate(merged: DataFrame, study: Study) -> DataFrame:
     """Mean over the years of each month's rate, with the peak marked."""
     c = study.incidents
-    means = monthly_by_year(merged, study).groupBy(c.month).agg(F.avg("rate_per_100k").alias("rate_per_100k"))
+    means = monthly_by_year(merged, study).groupBy(c.month).agg(mean_of_rounded("rate_per_100k", 1).alias("rate_per_100k"))
     # Twelve rows: one task compares each mean with the very value the maximum was taken of.
     peak = F.col("rate_per_100k") == F.max("rate_per_100k").over(W.partitionBy())
     return means.withColumns({"month_label": month_label(c.month), "is_peak": peak}).orderBy(c.month)
@@ -119,7 +119,7 @@ def target_by_region_year(cells: DataFrame, study: Study, years) -> DataFrame:
     """Totals and mean monthly rates per region, one column each per year, with the sum and mean over years."""
     c, p = study.incidents, study.panel
     yearly = cells.groupBy(c.region, c.year).agg(
-        F.sum(p.target).alias("total"), round_even(F.avg(p.rate), 1).alias("rate")
+        F.sum(p.target).alias("total"), round_even(mean_of_rounded(p.rate, 1), 1).alias("rate")
     )
     columns = []
     for y in years:

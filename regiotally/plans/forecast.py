@@ -19,7 +19,7 @@ from regiotally.operators.diagnostics import (
     quantile_plot,
     shapiro_wilk,
 )
-from regiotally.operators.linear import LASSO, OLS, RIDGE, LinearFit, fit_rows
+from regiotally.operators.linear import LASSO, OLS, RIDGE, LinearFit, fit_rows, fit_subset, moments_by_block
 from regiotally.operators.panel import add_lags, add_season, complete_months, split_years
 from regiotally.operators.scaling import fit_scaler
 from regiotally.operators.summary import by_magnitude, top
@@ -91,12 +91,14 @@ class Forecast:
 
     @cached_property
     def _variant_errors(self) -> list[tuple[str, int, float, float]]:
-        """One scaler, one set of fits and one scoring pass for all feature sets."""
+        """One scaler, one pass for the fits and one for the scores, whatever the number of feature sets."""
         train, test = self.parts
         variants = self.study.panel.variants
-        widest = max(variants.values(), key=len)
+        widest = list(dict.fromkeys(f for v in variants.values() for f in v))
         scaler = fit_scaler(train, widest)
-        fits = fit_rows(scaler.apply(train, widest), widest, self.target, [(OLS, None, v) for v in variants.values()])
+        scaled = scaler.apply(train, widest).withColumn("_block", F.lit(0))
+        moments = moments_by_block(scaled, widest, self.target, "_block")[0]
+        fits = [fit_subset(moments, widest, v, OLS) for v in variants.values()]
         scored = scaler.apply(test, widest)
         sums = []
         for i, fit in enumerate(fits):
@@ -154,7 +156,7 @@ class Forecast:
         ridge, lasso = best_alpha(self._grid[RIDGE]), best_alpha(self._grid[LASSO])
         jobs = [(OLS, 0.0), (RIDGE, ridge), (LASSO, lasso)]
         train = self._scaler.apply(self.parts[0], self.features)
-        fits = fit_rows(train, self.features, self.target, [(k, a, self.features) for k, a in jobs])
+        fits = fit_rows(train, self.features, self.target, jobs)
         errors = [mean_error(self._blocks, k, a, self.scale) for k, a in jobs]
         names = ["Linear Regression", f"Ridge (a={ridge:g})", f"Lasso (a={lasso:g})"]
         return [Model(n, k, a, f, e) for n, (k, a), f, e in zip(names, jobs, fits, errors)]
@@ -230,8 +232,9 @@ class Forecast:
 
     # Forecast -------------------------------------------------------------------------------------
 
-    def predictions(self) -> DataFrame:
-        return forecast_table(self.scored(), f"pred_{self.best.kind}", self.study)
+    def predictions(self, kind: str | None = None) -> DataFrame:
+        """Forecast of the chosen model, or of the ``kind`` asked for."""
+        return forecast_table(self.scored(), f"pred_{kind or self.best.kind}", self.study)
 
 
 def forecast_table(scored: DataFrame, predicted: str, study: Study) -> DataFrame:

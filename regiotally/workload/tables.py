@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from regiotally.operators.combine import attach
+from regiotally.operators.recode import region_from_area
 from regiotally.operators.reshape import Split
 from regiotally.plans.prepare import clean_incidents, filled_supply, merge, population_features, roll_up
 from regiotally.plans.prepare import supply_by_quarter as quarterly
@@ -46,8 +47,23 @@ TRADE = Study(
 )
 
 
+# Declared, so that opening a table starts no job to read footers.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +75,8 @@ def incident_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantity ordered, by nation, month, priority and flags.
 
     The date parts are taken per order, the lines are counted by nation key, and the names are attached to
-    the counts: the lines themselves carry two flags and a quantity through one join.
+    the counts: the lines themselves carry two flags and a quantity through one join. Both sides of that
+    join grow with the data, so it is asked to sort both: hot orders are then split by adaptive execution.
     """
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey",
@@ -72,7 +89,8 @@ def incident_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_quantity")
     placed = orders.join(customer, orders.o_custkey == customer.c_custkey)
     counted = (
-        lines.join(placed, lines.l_orderkey == placed.o_orderkey)
+        lines.hint("merge")
+        .join(placed, lines.l_orderkey == placed.o_orderkey)
         .groupBy("c_nationkey", "year", "month", "o_orderpriority", "l_returnflag", "l_linestatus")
         .agg(F.sum(F.col("l_quantity").cast("long")).alias("incidents"))
     )
@@ -140,8 +158,6 @@ def supply_rows(spark: SparkSession, sf_dir: str, since: int = 1995, until: int
 
 
 def region_of(region: str, area: str):
-    from regiotally.operators.recode import region_from_area
-
     r = TRADE.recode
     return region_from_area(region, area, r.balance, r.areas, r.regions, r.fallback)
 

@@ -13,6 +13,7 @@ from regiotally.functions.normal import inverse_normal
 from regiotally.functions.numeric import band_label
 from regiotally.functions.pvalues import LAST_WEIGHT, NEXT_WEIGHT, polynomial, shapiro_p, student_p
 from regiotally.operators.position import with_position
+from regiotally.operators.stats import pearson
 
 # Report wording and limits.
 VIF_BANDS = [(50.0, "High"), (10.0, "Elevated")]
@@ -72,7 +73,7 @@ def quantile_line(plot: DataFrame) -> DataFrame:
     return plot.agg(
         F.regr_slope("ordered", "theoretical").alias("slope"),
         F.regr_intercept("ordered", "theoretical").alias("intercept"),
-        F.corr("ordered", "theoretical").alias("r"),
+        pearson("ordered", "theoretical").alias("r"),
     )
 
 

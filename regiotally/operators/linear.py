@@ -30,22 +30,21 @@ class LinearFit:
         return value
 
 
-def fit_rows(df: DataFrame, features, target: str, jobs, prefix: str = "z_") -> list[LinearFit]:
+def fit_rows(df: DataFrame, features, target: str, jobs, moments: "Moments", prefix: str = "z_") -> list[LinearFit]:
     """Fit one Spark ML model per ``(kind, alpha)`` job on the same rows.
 
     The penalties follow the textbook objectives |y - Xw|^2 + alpha |w|_2^2 for ridge and
     |y - Xw|^2 / 2n + alpha |w|_1 for lasso. Spark's objective is scaled by 1 / 2n and by the deviation of
-    the label, which the ridge parameter has to undo.
+    the label, which the ridge parameter has to undo; both are known from the ``moments`` of the rows.
     """
     columns = [F.col(f"`{prefix}{f}`").alias(f"f{i}") for i, f in enumerate(features)]
     named = df.select(F.col(target).cast("double").alias("label"), *columns)
     assembler = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features")
     rows = assembler.transform(named).select("label", "features").persist()
     try:
-        size = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("spread")).first()
         fits = []
         for kind, alpha in jobs:
-            penalty = {OLS: 0.0, RIDGE: (alpha or 0.0) * size["spread"] / size["n"], LASSO: alpha or 0.0}[kind]
+            penalty = {OLS: 0.0, RIDGE: alpha * moments.target_spread() / moments.n, LASSO: alpha}[kind]
             model = LinearRegression(
                 solver="normal",
                 standardization=False,
@@ -93,6 +92,9 @@ class Moments:
         root = np.sqrt(np.maximum(variance, 0.0))
         return np.where(root < 1e-12, 1.0, root)
 
+    def target_spread(self) -> float:
+        return float(np.sqrt(max(self.yy / self.n - (self.y / self.n) ** 2, 0.0)))
+
     def mean_squared_error(self, weights: np.ndarray, intercept: float) -> float:
         error = (
             self.yy - 2 * weights @ self.xy - 2 * intercept * self.y
@@ -101,19 +103,22 @@ class Moments:
         return max(error, 0.0) / self.n
 
 
-def moments_by_block(df: DataFrame, features, target: str, block: str, prefix: str = "z_") -> dict[int, Moments]:
-    """One aggregate with map-side combine; blocks times p-by-p sums reach the driver."""
+def moments_by(df: DataFrame, features, target: str, keys, prefix: str = "z_") -> dict[tuple, Moments]:
+    """One aggregate with map-side combine; groups times p-by-p sums reach the driver.
+
+    ``keys`` are for few groups, such as folds and train or test.
+    """
     p = len(features)
-    x = [F.col(f"`{prefix}{f}`") for f in features]
-    y = F.col(target).cast("double")
-    sums = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("y"), F.sum(y * y).alias("yy")]
+    x = [f"`{prefix}{f}`" for f in features]
+    y = f"cast(`{target}` AS double)"
+    sums = ["count(1) AS n", f"sum({y}) AS y", f"sum({y} * {y}) AS yy"]
     for i in range(p):
-        sums += [F.sum(x[i]).alias(f"x{i}"), F.sum(x[i] * y).alias(f"xy{i}")]
-        sums += [F.sum(x[i] * x[j]).alias(f"xx{i}_{j}") for j in range(i, p)]
+        sums += [f"sum({x[i]}) AS x{i}", f"sum({x[i]} * {y}) AS xy{i}"]
+        sums += [f"sum({x[i]} * {x[j]}) AS xx{i}_{j}" for j in range(i, p)]
     found = {}
-    for row in df.groupBy(block).agg(*sums).collect():
+    for row in df.groupBy(*keys).agg(*[F.expr(s) for s in sums]).collect():
         xx = np.array([[row[f"xx{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], dtype=float)
-        found[row[block]] = Moments(
+        found[tuple(row[k] for k in keys)] = Moments(
             float(row["n"]), np.array([row[f"x{i}"] for i in range(p)], dtype=float), xx,
             float(row["y"]), np.array([row[f"xy{i}"] for i in range(p)], dtype=float), float(row["yy"]),
         )
@@ -127,28 +132,31 @@ def fit_subset(m: Moments, features, subset, kind: str, alpha: float = 0.0) -> L
 
 
 def fit_moments(m: Moments, kind: str, alpha: float = 0.0) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept from moments alone."""
+    """Coefficients and intercept from moments alone; a feature that is constant in the rows gets weight 0."""
     mean_x, mean_y = m.x / m.n, m.y / m.n
     gram = m.xx - m.n * np.outer(mean_x, mean_x)
     cross = m.xy - mean_x * m.y
+    varies = np.flatnonzero(np.diag(gram) > 1e-12 * np.diag(m.xx))
+    weights = np.zeros(len(cross))
+    gram, cross = gram[np.ix_(varies, varies)], cross[varies]
     if kind == OLS:
-        weights = np.linalg.lstsq(gram, cross, rcond=None)[0]
+        unit = np.sqrt(np.diag(gram))
+        weights[varies] = np.linalg.lstsq(gram / np.outer(unit, unit), cross / unit, rcond=1e-12)[0] / unit
     elif kind == RIDGE:
-        weights = np.linalg.solve(gram + alpha * np.eye(len(cross)), cross)
+        weights[varies] = np.linalg.solve(gram + alpha * np.eye(len(cross)), cross)
     else:
-        weights = _soft_threshold_rounds(gram / m.n, cross / m.n, alpha)
+        weights[varies] = _lasso_weights(gram / m.n, cross / m.n, alpha)
     return weights, float(mean_y - weights @ mean_x)
 
 
-def _soft_threshold_rounds(gram, cross, alpha, rounds: int = 10_000, tolerance: float = 1e-13):
+def _lasso_weights(gram, cross, alpha, rounds: int = 10_000, tolerance: float = 1e-13):
+    """Coordinate descent on the covariance form of the lasso objective."""
     weights = np.zeros(len(cross))
     for _ in range(rounds):
         before = weights.copy()
         for j in range(len(cross)):
-            if gram[j, j] <= 0:
-                continue
             pull = cross[j] - gram[j] @ weights + gram[j, j] * weights[j]
             weights[j] = np.sign(pull) * max(abs(pull) - alpha, 0.0) / gram[j, j]
-        if np.max(np.abs(weights - before)) <= tolerance:
+        if np.max(np.abs(weights - before), initial=0.0) <= tolerance:
             break
     return weights

@@ -15,6 +15,13 @@ def skew_adjusted(column: str) -> Column:
     return F.when((n > 2) & spread, corrected)
 
 
+def pearson(a: str, b: str) -> Column:
+    """Correlation of the pairs without nulls; null where a column is constant, for which ``corr`` fails."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Counts in equal bins from minimum to maximum, empty bins included, the last bin closed.
 
@@ -90,7 +97,7 @@ def correlation_matrix(df: DataFrame, columns, names=None) -> DataFrame:
     pairs = list(combinations_with_replacement(columns, 2))
     both = [(a, b) for a, b in pairs] + [(b, a) for a, b in pairs if a != b]
     place = {pair: f"c{i}" for i, pair in enumerate(pairs)}
-    row = df.agg(*[F.corr(a, b).alias(place[a, b]) for a, b in pairs])
+    row = df.agg(*[pearson(a, b).alias(place[a, b]) for a, b in pairs])
     cells = [
         F.struct(
             F.lit(label[a]).alias("row_name"),

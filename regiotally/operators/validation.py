@@ -7,19 +7,36 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame
 
-from regiotally.operators.linear import Moments, fit_moments, moments_by_block
+from regiotally.operators.linear import Moments, fit_moments, moments_by
 from regiotally.operators.position import fold_block, with_position
-from regiotally.operators.scaling import fit_scaler
+from regiotally.operators.scaling import Scaler
 
 
-def fold_moments(
-    panel: DataFrame, features, target: str, order, folds: int = 5, single_task_rows: int = 200_000
-) -> dict[int, Moments]:
-    """Moments per block of the panel in the given row order, features standardised over all rows."""
-    scaler = fit_scaler(panel, features)
-    placed = with_position(scaler.apply(panel, features), order, "_position", single_task_rows, scaler.rows)
-    blocks = placed.withColumn("_block", fold_block("_position", scaler.rows, folds))
-    return moments_by_block(blocks, features, target, "_block")
+def placed_moments(
+    panel: DataFrame, features, target: str, order, rows: int, scaler: Scaler, part: str,
+    folds: int = 5, single_task_rows: int = 200_000,
+) -> dict[tuple, Moments]:
+    """Moments per fold block and value of ``part``: all that comparison, tuning and validation need.
+
+    ``rows`` is the row count of the panel. ``scaler`` only has to bring the features to a common order of
+    magnitude; exact standardising follows on the moments.
+    """
+    placed = with_position(scaler.apply(panel, features), order, "_position", single_task_rows, rows)
+    blocks = placed.withColumn("_block", fold_block("_position", rows, folds))
+    return moments_by(blocks, features, target, ["_block", part])
+
+
+def combined(moments) -> Moments:
+    return reduce(lambda a, b: a + b, moments)
+
+
+def fold_blocks(moments: dict[tuple, Moments], places: list[int]) -> dict[int, Moments]:
+    """Moments per block for some features, standardised over all rows."""
+    chosen = {key: m.only(places) for key, m in moments.items()}
+    whole = combined(chosen.values())
+    centre, spread = whole.x / whole.n, whole.spread()
+    numbers = sorted({block for block, _ in chosen})
+    return {b: combined(m for (n, _), m in chosen.items() if n == b).scaled(centre, spread) for b in numbers}
 
 
 def fold_errors(blocks: dict[int, Moments], kind: str, alpha: float = 0.0, scale: str = "global") -> list[float]:
@@ -30,8 +47,7 @@ def fold_errors(blocks: dict[int, Moments], kind: str, alpha: float = 0.0, scale
     """
     errors = []
     for k in range(1, max(blocks) + 1):
-        train = reduce(lambda a, b: a + b, [blocks[i] for i in range(k)])
-        test = blocks[k]
+        train, test = combined(blocks[i] for i in range(k)), blocks[k]
         if scale == "per_fold":
             centre, spread = train.x / train.n, train.spread()
             train, test = train.scaled(centre, spread), test.scaled(centre, spread)

@@ -8,7 +8,7 @@ from regiotally.functions.calendar import month_label, period_label
 from regiotally.functions.labels import without_code
 from regiotally.functions.numeric import mean_of_rounded, rate_per, round_even, share_pct
 from regiotally.operators.reshape import by_listed_order, grouped_total, pivot_single, pivot_total
-from regiotally.operators.stats import skew_adjusted
+from regiotally.operators.stats import pearson, skew_adjusted
 from regiotally.operators.summary import flag_extreme
 from regiotally.plans.spec import Study
 
@@ -160,7 +160,7 @@ def findings(merged: DataFrame, cells: DataFrame, study: Study, years) -> DataFr
     leader = rates.orderBy(F.col("mean_rate").desc(), c.region).limit(1)
     logs = cells.select("*", F.log1p(p.target).alias("_log"), F.col(p.target).cast("double").alias("_raw"))
     row = logs.agg(
-        F.corr(p.supply[1], p.target).alias("supply_r"),
+        pearson(p.supply[1], p.target).alias("supply_r"),
         skew_adjusted("_raw").alias("skew_raw"),
         skew_adjusted("_log").alias("skew_log"),
     )

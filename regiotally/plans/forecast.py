@@ -19,11 +19,11 @@ from regiotally.operators.diagnostics import (
     quantile_plot,
     shapiro_wilk,
 )
-from regiotally.operators.linear import LASSO, OLS, RIDGE, LinearFit, fit_rows, fit_subset, moments_by_block
+from regiotally.operators.linear import LASSO, OLS, RIDGE, LinearFit, fit_rows, fit_subset
 from regiotally.operators.panel import add_lags, add_season, complete_months, split_years
 from regiotally.operators.scaling import fit_scaler
 from regiotally.operators.summary import by_magnitude, top
-from regiotally.operators.validation import best_alpha, fold_moments, mean_error
+from regiotally.operators.validation import best_alpha, combined, fold_blocks, mean_error, placed_moments
 from regiotally.plans.explore import target_cells
 from regiotally.plans.spec import Study
 from regiotally.session import materialize
@@ -59,12 +59,15 @@ class Model:
 
 @dataclass
 class Forecast:
-    """Models of one panel. The panel is written once; steps run when a result first needs them."""
+    """Models of one panel. The panel is written once; steps run when a result first needs them.
+
+    ``train`` and ``test`` are conditions in SQL.
+    """
 
     panel: DataFrame
     study: Study
-    train: object
-    test: object
+    train: str
+    test: str
     time_order: bool = False
     scale: str = "global"
     single_task_rows: int = 200_000
@@ -87,19 +90,36 @@ class Forecast:
     def parts(self) -> tuple[DataFrame, DataFrame]:
         return split_years(self.panel, self.train, self.test)
 
+    @cached_property
+    def _all_features(self) -> list[str]:
+        return list(dict.fromkeys(f for v in self.study.panel.variants.values() for f in v))
+
+    @cached_property
+    def _scaler(self):
+        """Mean and deviation of every feature over the training rows."""
+        return fit_scaler(self.parts[0], self._all_features)
+
+    @cached_property
+    def _moments(self):
+        """The one pass that all fits on feature sets, folds and alphas share."""
+        marked = self.panel.withColumn("_train", F.coalesce(F.expr(self.train), F.lit(False)))
+        return placed_moments(
+            marked, self._all_features, self.target, self.order, self.panel.count(), self._scaler, "_train",
+            self.study.folds, self.single_task_rows,
+        )
+
+    @cached_property
+    def _train_moments(self):
+        return combined(m for (_, train), m in self._moments.items() if train)
+
     # Feature sets ---------------------------------------------------------------------------------
 
     @cached_property
     def _variant_errors(self) -> list[tuple[str, int, float, float]]:
-        """One scaler, one pass for the fits and one for the scores, whatever the number of feature sets."""
-        train, test = self.parts
+        """All feature sets fitted from the shared moments and scored in one pass over the test rows."""
         variants = self.study.panel.variants
-        widest = list(dict.fromkeys(f for v in variants.values() for f in v))
-        scaler = fit_scaler(train, widest)
-        scaled = scaler.apply(train, widest).withColumn("_block", F.lit(0))
-        moments = moments_by_block(scaled, widest, self.target, "_block")[0]
-        fits = [fit_subset(moments, widest, v, OLS) for v in variants.values()]
-        scored = scaler.apply(test, widest)
+        fits = [fit_subset(self._train_moments, self._all_features, v, OLS) for v in variants.values()]
+        scored = self._scaler.apply(self.parts[1], self._all_features)
         sums = []
         for i, fit in enumerate(fits):
             error = F.col(self.target) - fit.column()
@@ -124,11 +144,13 @@ class Forecast:
 
     # Tuning ---------------------------------------------------------------------------------------
 
+    @cached_property
+    def _places(self) -> list[int]:
+        return [self._all_features.index(f) for f in self.features]
+
     @cached_property
     def _blocks(self):
-        return fold_moments(
-            self.panel, self.features, self.target, self.order, self.study.folds, self.single_task_rows
-        )
+        return fold_blocks(self._moments, self._places)
 
     @cached_property
     def _grid(self) -> dict[str, dict[float, float]]:
@@ -147,16 +169,12 @@ class Forecast:
 
     # Final models ---------------------------------------------------------------------------------
 
-    @cached_property
-    def _scaler(self):
-        return fit_scaler(self.parts[0], self.features)
-
     @cached_property
     def models(self) -> list[Model]:
         ridge, lasso = best_alpha(self._grid[RIDGE]), best_alpha(self._grid[LASSO])
         jobs = [(OLS, 0.0), (RIDGE, ridge), (LASSO, lasso)]
         train = self._scaler.apply(self.parts[0], self.features)
-        fits = fit_rows(train, self.features, self.target, jobs)
+        fits = fit_rows(train, self.features, self.target, jobs, self._train_moments)
         errors = [mean_error(self._blocks, k, a, self.scale) for k, a in jobs]
         names = ["Linear Regression", f"Ridge (a={ridge:g})", f"Lasso (a={lasso:g})"]
         return [Model(n, k, a, f, e) for n, (k, a), f, e in zip(names, jobs, fits, errors)]

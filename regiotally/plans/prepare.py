@@ -70,7 +70,7 @@ def filled_supply(rolled: DataFrame, supply: DataFrame, study: Study) -> DataFra
     cells = rolled.groupBy(*c.cell).agg(F.count(F.lit(1)).alias("_rows"))
     known = attach(cells, supply, c.cell)
     filled = fill_weighted_mean(known, study.measures, [c.region, c.quarter], "_rows")
-    return materialize(whole_numbers(filled, study.measures).drop("_rows"), "supply")
+    return whole_numbers(filled, study.measures).drop("_rows")
 
 
 def merge(rolled: DataFrame, population: DataFrame, supply: DataFrame, study: Study) -> DataFrame:

@@ -27,6 +27,9 @@ def r(expression: str, digits: int = 6) -> str:
     return f"round_even(({expression}) * 1e{digits}, 0) / 1e{digits}"
 
 
+# Mean of rates with one digit, summed as whole tenths so that it does not depend on the row order.
+EXACT_MEAN = "round_even(sum((rate_100k * 10)::BIGINT) / count(*), 0) / 10"
+
 # Named parts of the queries, each with the parts it builds on.
 PARTS: dict[str, tuple[list[str], str]] = {}
 
@@ -133,7 +136,7 @@ part("train_sums", ["z"], """
   UNION ALL SELECT i, 99, sum(z * y) FROM z WHERE year < 2000 GROUP BY i""")
 
 ELIMINATE = """
-    CASE WHEN e.i = e.k + 1 THEN e.v / d.v ELSE e.v - c.v * r.v / d.v END"""
+    CASE WHEN d.v = 0 THEN e.v WHEN e.i = e.k + 1 THEN e.v / d.v ELSE e.v - c.v * r.v / d.v END"""
 
 part("all_scale", ["long"], """
   SELECT i, avg(x) AS m, CASE WHEN max(x) = min(x) THEN 1 ELSE stddev_pop(x) END AS s FROM long GROUP BY i""")
@@ -402,7 +405,7 @@ def oracles() -> dict[str, str]:
         f"max(total) FILTER (year = {y}) AS total_{y}, max(rate) FILTER (year = {y}) AS rate_{y}" for y in YEARS)
     found["assault_region_year"] = query(["cells"], f"""
             SELECT region, {per_year}, sum(total)::BIGINT AS total_all, {r('avg(rate)')} AS mean_rate
-            FROM (SELECT region, year, sum(incidents)::BIGINT AS total, {r('avg(rate_100k)', 1)} AS rate
+            FROM (SELECT region, year, sum(incidents)::BIGINT AS total, {EXACT_MEAN} AS rate
                   FROM cells GROUP BY region, year) GROUP BY region""")
     for name, value in [("histogram30", "incidents::DOUBLE"), ("histogram30_log", "ln(1 + incidents)")]:
         found[name] = query(["cells"], f"""
@@ -428,7 +431,7 @@ def oracles() -> dict[str, str]:
     names = {"incidents": "Incidents", "supply": "supply", "total_population": "Total Population", "credit": "credit",
              "returned_rows": "returned_rows", "filled_rows": "filled_rows"}
     found["corr_matrix"] = query(["cells"], " UNION ALL ".join(
-        f"SELECT '{names[a]}' AS row_name, '{names[b]}' AS column_name, {r(f'corr({a}, {b})')} AS r FROM cells"
+        f"SELECT '{names[a]}' AS row_name, '{names[b]}' AS column_name, CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 0 THEN {r(f'corr({a}, {b})')} END AS r FROM cells"
         for a in names for b in names))
     found["findings_summary"] = query(["rolled", "cells"], f"""
             SELECT (SELECT {LABEL.format('month')} FROM rolled GROUP BY month ORDER BY sum(incidents) DESC, month LIMIT 1)
@@ -439,7 +442,7 @@ def oracles() -> dict[str, str]:
                    {r('skewness(ln(1 + incidents))')} AS skew_log
             FROM cells""").replace("\n            SELECT (SELECT", f""",
             ranked AS (SELECT region, avg(rate) AS rate
-                       FROM (SELECT region, year, {r('avg(rate_100k)', 1)} AS rate FROM cells GROUP BY ALL)
+                       FROM (SELECT region, year, {EXACT_MEAN} AS rate FROM cells GROUP BY ALL)
                        GROUP BY region)
             SELECT (SELECT""", 1)
 
@@ -456,8 +459,7 @@ def oracles() -> dict[str, str]:
     found["linear_ridge_errors"] = query(["ols_test", "ridge_test", "grid", "best_alpha"], " UNION ALL ".join(
         f"""
             SELECT {name} AS model, '{kind}' AS kind, any_value(alpha) AS alpha, {r('sqrt(avg((y - fitted) ** 2))')} AS rmse,
-                   {r('avg(abs(y - fitted))')} AS mae, {r('sqrt(avg((exp(y) - exp(fitted)) ** 2))', 3)} AS rmse_rate,
-                   {r('any_value(cv_rmse)')} AS cv_rmse FROM {source}"""
+                   {r('avg(abs(y - fitted))')} AS mae, {r('sqrt(avg((exp(y) - exp(fitted)) ** 2))', 3)} AS rmse_rate FROM {source}"""
         for name, kind, source in [
             ("'Linear Regression'", "ols", "ols_test, (SELECT alpha, cv_rmse FROM grid WHERE g = 0)"),
             ("printf('Ridge (a=%g)', any_value(alpha))", "ridge", "ridge_test, best_alpha"),

@@ -272,7 +272,7 @@ def trend_line(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corr_pair(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(cells(spark, d).agg(F.corr("supply", "incidents").alias("r")), ["r"])
+    return rounded(cells(spark, d).agg(stats.pearson("supply", "incidents").alias("r")), ["r"])
 
 
 def corr_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -374,8 +374,8 @@ def leaderboard(spark: SparkSession, d: str) -> DataFrame:
 
 def linear_ridge_errors(spark: SparkSession, d: str) -> DataFrame:
     """Leaderboard rows of the two models that have a closed form."""
-    rows = study(spark, d).leaderboard().filter(F.col("kind") != "lasso").drop("chosen")
-    return rounded(rounded(rows, ["rmse", "mae", "cv_rmse"]), ["rmse_rate"], 3)
+    rows = study(spark, d).leaderboard().filter(F.col("kind") != "lasso").drop("chosen", "cv_rmse")
+    return rounded(rounded(rows, ["rmse", "mae"]), ["rmse_rate"], 3)
 
 
 def coefficients(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from regiotally.operators.combine import attach
 from regiotally.operators.recode import region_from_area
@@ -110,7 +110,9 @@ def incident_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def population_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with an order in a year, by region, sign of the balance and segment."""
-    active = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), "o_custkey").distinct()
+    # A range on the date itself, so that the scan can skip the other years.
+    orders = table(spark, sf_dir, "orders").filter(within("o_orderdate", YEARS[0], YEARS[-1]))
+    active = orders.select(F.year("o_orderdate").alias("year"), "o_custkey").distinct()
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     standing = F.when(F.col("c_acctbal") < 0, "debit").otherwise("credit")
     counted = (
@@ -122,18 +124,16 @@ def population_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("year", region_of("r_name", "n_name").alias("region"), "standing", "segment", "Population")
 
 
-def supply_rows(spark: SparkSession, sf_dir: str, since: int = 1995, until: int = 2001, gap: bool = True) -> DataFrame:
+def supply_rows(spark: SparkSession, sf_dir: str, since: int = 1995, until: int = 2001) -> DataFrame:
     """Quantity shipped by quarter and region of the supplier; the second half of 2000 is left out.
 
     Lines are counted per supplier before the join, so that a supplier with very many lines is one row
     per quarter by the time it is shuffled.
     """
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_returnflag")
-    lower, upper = F.lit(f"{since}-01-01").cast("timestamp_ntz"), F.lit(f"{until + 1}-01-01").cast("timestamp_ntz")
-    kept = lines.filter((F.col("l_shipdate") >= lower) & (F.col("l_shipdate") < upper))
-    if gap:
-        start, end = F.lit("2000-07-01").cast("timestamp_ntz"), F.lit("2001-01-01").cast("timestamp_ntz")
-        kept = kept.filter((F.col("l_shipdate") < start) | (F.col("l_shipdate") >= end))
+    kept = lines.filter(within("l_shipdate", since, until))
+    start, end = moment("2000-07-01"), moment("2001-01-01")
+    kept = kept.filter((F.col("l_shipdate") < start) | (F.col("l_shipdate") >= end))
     quantity = F.col("l_quantity").cast("long")
     per_supplier = kept.groupBy(
         "l_suppkey", F.year("l_shipdate").alias("_year"), F.quarter("l_shipdate").alias("_quarter")
@@ -157,7 +157,15 @@ def supply_rows(spark: SparkSession, sf_dir: str, since: int = 1995, until: int
     )
 
 
-def region_of(region: str, area: str):
+def moment(day: str) -> Column:
+    return F.lit(day).cast("timestamp_ntz")
+
+
+def within(column: str, first_year: int, last_year: int) -> Column:
+    return (F.col(column) >= moment(f"{first_year}-01-01")) & (F.col(column) < moment(f"{last_year + 1}-01-01"))
+
+
+def region_of(region: str, area: str) -> Column:
     r = TRADE.recode
     return region_from_area(region, area, r.balance, r.areas, r.regions, r.fallback)
 

@@ -11,7 +11,7 @@ from regiotally.operators.impute import fill_weighted_mean, whole_numbers
 from regiotally.operators.recode import drop_unmapped, lookup_strict, region_from_area
 from regiotally.operators.reshape import grouped_total, totals_by_split
 from regiotally.plans.spec import Study
-from regiotally.session import materialize
+from regiotally.session import materialize_together
 
 
 def clean_incidents(raw: DataFrame, study: Study, region: str, area: str, unused=()) -> DataFrame:
@@ -27,13 +27,13 @@ def clean_incidents(raw: DataFrame, study: Study, region: str, area: str, unused
 
 
 def roll_up(clean: DataFrame, study: Study) -> DataFrame:
-    """Incident counts by every dimension, null keys kept, written once.
+    """Incident counts by every dimension, null keys kept.
 
     Grouping comes before the joins: population and supply depend on keys that are already among the
     dimensions, so the result is the same and the joins see cells in place of incidents.
     """
     c = study.incidents
-    return materialize(grouped_total(clean, c.dimensions, [c.count], keep_null_keys=True), "incidents")
+    return grouped_total(clean, c.dimensions, [c.count], keep_null_keys=True)
 
 
 def population_features(population: DataFrame, study: Study, years=None) -> DataFrame:
@@ -88,9 +88,15 @@ def merge(rolled: DataFrame, population: DataFrame, supply: DataFrame, study: St
 
 
 def prepare(clean: DataFrame, population: DataFrame, supply: DataFrame, study: Study) -> DataFrame:
-    """The merged table from cleaned incidents, population features and quarterly supply."""
-    rolled = roll_up(clean, study)
-    return merge(rolled, population, filled_supply(rolled, supply, study), study)
+    """The merged table from cleaned incidents, population features and quarterly supply.
+
+    The three aggregates read the large tables; they run side by side and are written once, because the
+    joins below use the counts twice and are planned by the true sizes of all three.
+    """
+    counts, people, quarters = materialize_together(
+        incidents=roll_up(clean, study), population=population, supply=supply
+    )
+    return merge(counts, people, filled_supply(counts, quarters, study), study)
 
 
 def stage_counts(clean: DataFrame, loaded: DataFrame, study: Study) -> DataFrame:

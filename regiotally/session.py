@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,3 +56,11 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{scratch_root(spark).rstrip('/')}/regiotally/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_together(**frames: DataFrame) -> list[DataFrame]:
+    """``materialize`` for independent results at once: the tail of one job leaves room for the next."""
+    spark = next(iter(frames.values())).sparkSession
+    write = inheritable_thread_target(spark)(lambda item: materialize(item[1], item[0]))
+    with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+        return list(pool.map(write, frames.items()))

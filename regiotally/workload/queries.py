@@ -138,8 +138,7 @@ def merged_table(spark: SparkSession, d: str) -> DataFrame:
 def imputed_supply(spark: SparkSession, d: str) -> DataFrame:
     """Row-level fill of the gaps in the merged rows by region and quarter."""
     c = TRADE.incidents
-    rows = materialize(t.rolled(spark, d).join(t.supply(spark, d), c.cell, "left"), "gaps")
-    filled = fill_group_mean(rows, ["supply"], [c.region, c.quarter])
+    filled = fill_group_mean(t.with_supply(spark, d), ["supply"], [c.region, c.quarter])
     whole = whole_numbers(filled, ["supply"])
     return whole.groupBy(*c.cell).agg(F.max("supply").alias("supply"), F.count(F.lit(1)).alias("rows"))
 
@@ -153,8 +152,7 @@ def onehot_region(spark: SparkSession, d: str) -> DataFrame:
 
 def null_profile(spark: SparkSession, d: str) -> DataFrame:
     """Columns with nulls after the left join of supply, before any filling."""
-    rows = t.rolled(spark, d).join(t.supply(spark, d), TRADE.incidents.cell, "left")
-    return checks.null_counts(rows)
+    return checks.null_counts(t.with_supply(spark, d))
 
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:

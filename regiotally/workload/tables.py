@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from regiotally.operators.combine import attach
 from regiotally.operators.recode import region_from_area
 from regiotally.operators.reshape import Split
-from regiotally.plans.prepare import clean_incidents, filled_supply, merge, population_features, roll_up
+from regiotally.plans.prepare import clean_incidents, population_features, prepare, roll_up
 from regiotally.plans.prepare import supply_by_quarter as quarterly
 from regiotally.plans.spec import Incidents, Panel, RegionRecode, Study
+from regiotally.session import materialize_together
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 REGIONS = ("SOUTH", "WEST", "EAST", "EUROPE", "GULF")
@@ -188,10 +189,15 @@ def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents by every dimension with population, for summaries that need no supply."""
-    return attach(rolled(spark, sf_dir), population(spark, sf_dir), ["year", "region"])
+    counts, people = materialize_together(incidents=rolled(spark, sf_dir), population=population(spark, sf_dir))
+    return attach(counts, people, ["year", "region"])
+
+
+def with_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents by every dimension with supply, gaps left open."""
+    counts, quarters = materialize_together(incidents=rolled(spark, sf_dir), supply=supply(spark, sf_dir))
+    return attach(counts, quarters, TRADE.incidents.cell)
 
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = rolled(spark, sf_dir)
-    filled = filled_supply(counts, supply(spark, sf_dir), TRADE)
-    return merge(counts, population(spark, sf_dir), filled, TRADE)
+    return prepare(clean(spark, sf_dir), population(spark, sf_dir), supply(spark, sf_dir), TRADE)

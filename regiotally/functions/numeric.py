@@ -6,12 +6,13 @@ from pyspark.sql import Column, functions as F
 
 
 def round_even(value, digits: int = 0) -> Column:
-    """Round the binary double half to even; ``round`` and ``bround`` work on the decimal text."""
+    """Round the binary double half to even; ``round`` and ``bround`` work on the decimal text.
+
+    Adding zero makes a negative zero a plain one.
+    """
     column = F.col(value) if isinstance(value, str) else value
-    if digits == 0:
-        return F.rint(column.cast("double"))
     scale = float(10**digits)
-    return F.rint(column.cast("double") * scale) / scale
+    return F.rint(column.cast("double") * scale) / scale + 0.0
 
 
 def mean_of_rounded(value, digits: int) -> Column:

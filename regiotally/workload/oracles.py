@@ -10,7 +10,7 @@ from regiotally.functions.normal import (
     TAIL_DENOMINATOR,
     TAIL_NUMERATOR,
 )
-from regiotally.functions.pvalues import LAST_WEIGHT, NEXT_WEIGHT
+from regiotally.functions.pvalues import LARGE_LOG_SPREAD, LARGE_MEAN, LAST_WEIGHT, NEXT_WEIGHT
 from regiotally.workload.tables import SEGMENTS, YEARS
 
 DUMMIES = ["EAST", "EUROPE", "GULF", "SOUTH"]
@@ -24,7 +24,7 @@ LABEL = "['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec
 
 
 def r(expression: str, digits: int = 6) -> str:
-    return f"round_even(({expression}) * 1e{digits}, 0) / 1e{digits}"
+    return f"(round_even(({expression}) * 1e{digits}, 0) / 1e{digits} + 0.0::DOUBLE)"
 
 
 # Mean of rates with one digit, summed as whole tenths so that it does not depend on the row order.
@@ -51,7 +51,8 @@ def query(needs: list[str], body: str) -> str:
         visit(name)
     if not ordered:
         return body
-    heads = {n: f"{n}(g, p, k, i, j, v)" for n in ("solved", "ridged")} | {"folded": "folded(g, b, k, i, j, v)"}
+    heads = {n: f"{n}(g, p, k, i, j, v)" for n in ("solved", "ridged", "inverse")}
+    heads |= {"folded": "folded(g, b, k, i, j, v)", "descent": "descent(g, b, k, w)"}
     parts = []
     for n in ordered:
         keep = "AS" if n in heads else "AS MATERIALIZED"
@@ -136,7 +137,7 @@ part("train_sums", ["z"], """
   UNION ALL SELECT i, 99, sum(z * y) FROM z WHERE year < 2000 GROUP BY i""")
 
 ELIMINATE = """
-    CASE WHEN d.v = 0 THEN e.v WHEN e.i = e.k + 1 THEN e.v / d.v ELSE e.v - c.v * r.v / d.v END"""
+    CASE WHEN abs(d.v) < 1e-9 THEN e.v WHEN e.i = e.k + 1 THEN e.v / d.v ELSE e.v - c.v * r.v / d.v END"""
 
 part("all_scale", ["long"], """
   SELECT i, avg(x) AS m, CASE WHEN max(x) = min(x) THEN 1 ELSE stddev_pop(x) END AS s FROM long GROUP BY i""")
@@ -209,14 +210,84 @@ def model_parts(order: str) -> None:
     part("ridge_test", ["z", "ridge_fit"], """
   SELECT region, year, month, any_value(y) AS y, sum(z * v) AS fitted FROM z JOIN ridge_fit USING (i)
   WHERE year = 2000 GROUP BY region, year, month""")
-    part("rates", ["ridge_test"], f"""
-  SELECT region, year, month, {LABEL.format('month')} AS month_label, exp(y) - 1 AS actual_exact,
-         exp(fitted) - 1 AS predicted_exact,
-         round_even((exp(y) - 1) * 10, 0) / 10 AS actual, round_even((exp(fitted) - 1) * 10, 0) / 10 AS predicted
-  FROM ridge_test""")
-    part("forecast", ["rates"], """
+    # Lasso by coordinate descent on centred sums: one coordinate per step, every fold (b > 0), the training
+    # rows (b = 0) and all alphas at once.
+    part("lasso_sums", ["fold_sums", "train_sums", "chosen"], """
+  SELECT b, i, j, v FROM fold_sums
+  UNION ALL SELECT 0, i, j, v FROM train_sums, chosen WHERE i <= p AND (j <= p OR j = 99)""")
+    part("centred", ["lasso_sums"], """
+  SELECT f.b AS b, f.i AS i, f.j AS j, (f.v - x.v * y.v / n.v) / n.v AS v
+  FROM lasso_sums f JOIN lasso_sums x ON x.b = f.b AND x.i = 0 AND x.j = f.i
+    JOIN lasso_sums y ON y.b = f.b AND y.i = 0 AND y.j = f.j
+    JOIN lasso_sums n ON n.b = f.b AND n.i = 0 AND n.j = 0
+  WHERE f.i > 0 AND f.j > 0""")
+    part("lasso_rows", ["centred"], """
+  SELECT b, i, list(v ORDER BY j) FILTER (j < 99) AS others, any_value(v) FILTER (j = 99) AS c,
+         any_value(v) FILTER (j = i) AS d FROM centred GROUP BY b, i""")
+    part("descent", ["lasso_rows", "alphas", "chosen"], """
+  SELECT g, b, 0, list_transform(range(p), lambda q: 0.0::DOUBLE)
+  FROM alphas, (SELECT DISTINCT b FROM lasso_rows), chosen c(_g, p) WHERE g > 0
+  UNION ALL
+  SELECT g, b, k + 1, w[1:i - 1] || [CASE WHEN d < 1e-12 THEN 0 ELSE sign(u) * greatest(abs(u) - alpha, 0) / d END]
+           || w[i + 1:]
+  FROM (SELECT s.g, s.b, s.k, s.w, i, d, alpha, c - list_dot_product(others, w) + d * w[i] AS u
+        FROM descent s JOIN alphas USING (g)
+          JOIN lasso_rows l ON l.b = s.b AND l.i = s.k % (SELECT p FROM chosen) + 1
+        WHERE s.k < 400 * (SELECT p FROM chosen))""")
+    part("lasso_weights", ["descent", "chosen"], """
+  SELECT g, b, w FROM descent WHERE k = 400 * (SELECT p FROM chosen)""")
+    part("lasso_fit", ["lasso_weights", "lasso_sums"], """
+  SELECT g, b, i, v FROM (SELECT g, b, generate_subscripts(w, 1) AS i, unnest(w) AS v FROM lasso_weights)
+  UNION ALL
+  SELECT g, w.b, 0, any_value(y.v / n.v) - sum(w.w[x.j] * x.v / n.v)
+  FROM lasso_weights w JOIN lasso_sums x ON x.b = w.b AND x.i = 0 AND x.j BETWEEN 1 AND 98
+    JOIN lasso_sums n ON n.b = w.b AND n.i = 0 AND n.j = 0 JOIN lasso_sums y ON y.b = w.b AND y.i = 0 AND y.j = 99
+  GROUP BY g, w.b""")
+    part("lasso_fold_test", ["zall", "lasso_fit"], """
+  SELECT g, b, region, year, month, any_value(y) AS y, sum(z * v) AS fitted
+  FROM zall JOIN lasso_fit USING (b, i) WHERE b > 0 GROUP BY g, b, region, year, month""")
+    part("lasso_grid", ["lasso_fold_test", "alphas"], """
+  SELECT g, any_value(alpha) AS alpha, avg(rmse) AS cv_rmse
+  FROM (SELECT g, b, sqrt(avg((y - fitted) ** 2)) AS rmse FROM lasso_fold_test GROUP BY g, b) JOIN alphas USING (g)
+  GROUP BY g""")
+    part("best_lasso", ["lasso_grid"], "SELECT g, alpha, cv_rmse FROM lasso_grid ORDER BY cv_rmse, g LIMIT 1")
+    part("lasso_test", ["z", "lasso_fit", "best_lasso"], """
+  SELECT region, year, month, any_value(y) AS y, sum(z * v) AS fitted FROM z JOIN lasso_fit f USING (i)
+  WHERE year = 2000 AND f.b = 0 AND f.g = (SELECT g FROM best_lasso) GROUP BY region, year, month""")
+    part("tests", ["ols_test", "ridge_test", "lasso_test", "grid", "best_alpha", "best_lasso"], """
+  SELECT 1 AS m, 'Linear Regression' AS model, 'ols' AS kind, alpha, cv_rmse, o.* FROM ols_test o, grid WHERE g = 0
+  UNION ALL SELECT 2, printf('Ridge (a=%g)', alpha), 'ridge', alpha, cv_rmse, o.* FROM ridge_test o, best_alpha
+  UNION ALL SELECT 3, printf('Lasso (a=%g)', alpha), 'lasso', alpha, cv_rmse, o.* FROM lasso_test o, best_lasso""")
+    part("winner", ["tests"], "SELECT m FROM tests ORDER BY cv_rmse, m LIMIT 1")
+    part("raw_sums", ["long", "chosen"], """
+  SELECT a.i AS i, b.i AS j, sum(a.x * b.x) AS v FROM long a JOIN long b USING (region, year, month), chosen
+  WHERE year < 2000 AND a.i <= p AND b.i <= p GROUP BY ALL""")
+    part("inverse", ["raw_sums", "chosen"], f"""
+  SELECT 1, p, 0, i, j, v FROM raw_sums, chosen
+  UNION ALL SELECT 1, p, 0, i, 100 + j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END FROM raw_sums, chosen
+  UNION ALL
+  SELECT e.g, e.p, e.k + 1, e.i, e.j, {ELIMINATE}
+  FROM inverse e JOIN inverse d ON d.i = e.k + 1 AND d.j = e.k + 1 JOIN inverse r ON r.i = e.k + 1 AND r.j = e.j
+    JOIN inverse c ON c.i = e.i AND c.j = e.k + 1
+  WHERE e.k < e.p""")
+    part("forecast", ["ridge_test"], forecast_sql("ridge_test"))
+
+
+def forecast_sql(source: str) -> str:
+    """The forecast columns from ``y`` and ``fitted``, as two nested selects."""
+    return f"""
   SELECT *, round_even(error / actual * 100 * 10, 0) / 10 AS pct_error, abs(error) AS abs_error
-  FROM (SELECT *, round_even((predicted - actual) * 10, 0) / 10 AS error FROM rates)""")
+  FROM (SELECT *, round_even((predicted - actual) * 10, 0) / 10 AS error
+        FROM (SELECT region, year, month, {LABEL.format('month')} AS month_label, exp(y) - 1 AS actual_exact,
+                     exp(fitted) - 1 AS predicted_exact, round_even((exp(y) - 1) * 10, 0) / 10 AS actual,
+                     round_even((exp(fitted) - 1) * 10, 0) / 10 AS predicted FROM {source}))"""
+
+
+def simpson_sql(density: str, upper: str, steps: int = 2000) -> str:
+    """Integral from 0 to ``upper`` of a density in x."""
+    value = density.replace("x", f"({upper} * q / {steps})")
+    weight = f"CASE WHEN q IN (0, {steps}) THEN 1 WHEN q % 2 = 1 THEN 4 ELSE 2 END"
+    return f"({upper} / {3 * steps} * (SELECT sum({weight} * {value}) FROM range({steps + 1}) nodes(q)))"
 
 
 def polynomial_sql(coefficients, x: str) -> str:
@@ -495,6 +566,43 @@ def oracles() -> dict[str, str]:
     found["overall_error"] = query(["forecast"], f"""
             SELECT {r('sqrt(avg((predicted_exact - actual_exact) ** 2))', 2)} AS rmse,
                    {r('avg(abs(predicted_exact - actual_exact))', 2)} AS mae FROM forecast""")
+    found["alpha_grid"] = query(["grid", "best_alpha", "lasso_grid", "best_lasso"], grid + f"""
+            UNION ALL SELECT 'lasso', alpha, {r('cv_rmse')}, g = (SELECT g FROM best_lasso) FROM lasso_grid""")
+    found["leaderboard"] = query(["tests", "winner"], f"""
+            SELECT any_value(model) AS model, any_value(kind) AS kind, any_value(alpha) AS alpha,
+                   {r('sqrt(avg((y - fitted) ** 2))')} AS rmse, {r('avg(abs(y - fitted))')} AS mae,
+                   {r('sqrt(avg((exp(y) - exp(fitted)) ** 2))', 3)} AS rmse_rate, {r('any_value(cv_rmse)')} AS cv_rmse,
+                   m = (SELECT m FROM winner) AS chosen
+            FROM tests GROUP BY m""")
+    found["coefficients"] = query(["ridge_fit", "lasso_fit", "best_lasso"], f"""
+            SELECT {feature} AS feature, {r('f.v')} AS ridge, {r('l.v')} AS lasso, abs(l.v) < 1e-6 AS lasso_zeroed
+            FROM ridge_fit f JOIN lasso_fit l USING (i)
+            WHERE i > 0 AND l.b = 0 AND l.g = (SELECT g FROM best_lasso)""")
+    student = (
+        "exp(lgamma(n / 2) - lgamma((n - 1) / 2)) / sqrt((n - 1) * pi()) * (1 + x * x / (n - 1)) ** (-n / 2)"
+    ).replace("exp", "EXP")
+    found["model_significance"] = query(["tests"], f"""
+            SELECT model_a, model_b, n, {r('t')} AS t_stat, {r('p')} AS p_value, p < 0.05 AS significant
+            FROM (SELECT *, 1 - 2 * {simpson_sql(student, 'abs(t)')} AS p
+                  FROM (SELECT a.model AS model_a, b.model AS model_b, count(*)::BIGINT AS n,
+                               avg(abs(a.y - a.fitted) - abs(b.y - b.fitted))
+                                 / (stddev_samp(abs(a.y - a.fitted) - abs(b.y - b.fitted)) / sqrt(count(*))) AS t
+                        FROM tests a JOIN tests b USING (region, year, month) WHERE a.m < b.m GROUP BY a.model, b.model))""")
+    found["shapiro_test"] = query(["weights"], f"""
+            SELECT n, {r('w')} AS w, {r('p')} AS p_value, CASE WHEN p > 0.05 THEN 'not rejected' ELSE 'rejected' END
+                     AS normality
+            FROM (SELECT *, 0.5 - {simpson_sql('(EXP(-0.5 * x * x) / sqrt(2 * pi()))', 'score')} AS p
+                  FROM (SELECT *, (ln(1 - w) - {polynomial_sql(LARGE_MEAN, 'ln(n)')})
+                                    / exp({polynomial_sql(LARGE_LOG_SPREAD, 'ln(n)')}) AS score
+                        FROM (SELECT count(*)::BIGINT AS n, sum(a * e) ** 2 / (var_pop(e) * count(*)) AS w FROM weights)))""")
+    found["forecast_best_model"] = query(["tests", "winner"], f"""
+            SELECT * REPLACE ({r('actual_exact', 3)} AS actual_exact, {r('predicted_exact', 3)} AS predicted_exact)
+            FROM ({forecast_sql('(SELECT * FROM tests WHERE m = (SELECT m FROM winner))')})""")
+    found["vif_chosen"] = query(["inverse", "raw_sums"], f"""
+            SELECT {feature} AS feature, {r('vif')} AS vif,
+                   CASE WHEN vif > 50 THEN 'High' WHEN vif > 10 THEN 'Elevated' ELSE 'Acceptable' END AS assessment
+            FROM (SELECT i, s.v * n.v AS vif FROM inverse n JOIN raw_sums s USING (i)
+                  WHERE n.k = n.p AND n.j = 100 + n.i AND s.j = s.i)""")
     model_parts("year, month, region")
     found["ridge_grid_time_order"] = query(["grid", "best_alpha"], grid)
     return found

@@ -367,7 +367,7 @@ def alpha_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def leaderboard(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(study(spark, d).leaderboard(), ["rmse", "mae", "rmse_rate", "cv_rmse"])
+    return rounded(rounded(study(spark, d).leaderboard(), ["rmse", "mae", "cv_rmse"]), ["rmse_rate"], 3)
 
 
 def linear_ridge_errors(spark: SparkSession, d: str) -> DataFrame:

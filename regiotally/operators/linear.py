@@ -31,15 +31,16 @@ class LinearFit:
 
 
 def fit_rows(df: DataFrame, features, target: str, jobs, moments: "Moments", prefix: str = "z_") -> list[LinearFit]:
-    """Fit one Spark ML model per ``(kind, alpha)`` job on the same rows.
+    """Fit one Spark ML model per ``(kind, alpha)`` job on the same rows; constant features get weight 0.
 
     The penalties follow the textbook objectives |y - Xw|^2 + alpha |w|_2^2 for ridge and
     |y - Xw|^2 / 2n + alpha |w|_1 for lasso. Spark's objective is scaled by 1 / 2n and by the deviation of
-    the label, which the ridge parameter has to undo; both are known from the ``moments`` of the rows.
+    the label, which the ridge parameter has to undo; both are known from the ``moments`` of the features.
     """
-    columns = [F.col(f"`{prefix}{f}`").alias(f"f{i}") for i, f in enumerate(features)]
+    varying = [f for f, varies in zip(features, moments.varies()) if varies]
+    columns = [F.col(f"`{prefix}{f}`").alias(f"f{i}") for i, f in enumerate(varying)]
     named = df.select(F.col(target).cast("double").alias("label"), *columns)
-    assembler = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features")
+    assembler = VectorAssembler(inputCols=[f"f{i}" for i in range(len(varying))], outputCol="features")
     rows = assembler.transform(named).select("label", "features").persist()
     try:
         fits = []
@@ -53,7 +54,9 @@ def fit_rows(df: DataFrame, features, target: str, jobs, moments: "Moments", pre
                 maxIter=10_000,
                 tol=1e-12,
             ).fit(rows)
-            fits.append(LinearFit(tuple(features), tuple(float(c) for c in model.coefficients), float(model.intercept)))
+            found = dict(zip(varying, (float(c) for c in model.coefficients)))
+            weights = tuple(found.get(f, 0.0) for f in features)
+            fits.append(LinearFit(tuple(features), weights, float(model.intercept)))
         return fits
     finally:
         rows.unpersist()
@@ -87,10 +90,15 @@ class Moments:
         """The moments of some of the features."""
         return Moments(self.n, self.x[places], self.xx[np.ix_(places, places)], self.y, self.xy[places], self.yy)
 
+    def varies(self) -> np.ndarray:
+        """Which features vary, beyond the rounding of features that are scaled to about 1."""
+        square = np.diag(self.xx)
+        return square - self.x**2 / self.n > 1e-12 * np.maximum(square, self.n)
+
     def spread(self) -> np.ndarray:
+        """Population deviation per feature, 1 for a constant one."""
         variance = np.diag(self.xx) / self.n - (self.x / self.n) ** 2
-        root = np.sqrt(np.maximum(variance, 0.0))
-        return np.where(root < 1e-12, 1.0, root)
+        return np.where(self.varies(), np.sqrt(np.maximum(variance, 0.0)), 1.0)
 
     def target_spread(self) -> float:
         return float(np.sqrt(max(self.yy / self.n - (self.y / self.n) ** 2, 0.0)))
@@ -106,17 +114,20 @@ class Moments:
 def moments_by(df: DataFrame, features, target: str, keys, prefix: str = "z_") -> dict[tuple, Moments]:
     """One aggregate with map-side combine; groups times p-by-p sums reach the driver.
 
-    ``keys`` are for few groups, such as folds and train or test.
+    ``keys`` are for few groups, such as folds and train or test. A null feature or target is an error.
     """
     p = len(features)
     x = [f"`{prefix}{f}`" for f in features]
     y = f"cast(`{target}` AS double)"
-    sums = ["count(1) AS n", f"sum({y}) AS y", f"sum({y} * {y}) AS yy"]
+    gap = " OR ".join(f"{v} IS NULL" for v in [y, *x])
+    sums = ["count(1) AS n", f"count_if({gap}) AS gaps", f"sum({y}) AS y", f"sum({y} * {y}) AS yy"]
     for i in range(p):
         sums += [f"sum({x[i]}) AS x{i}", f"sum({x[i]} * {y}) AS xy{i}"]
         sums += [f"sum({x[i]} * {x[j]}) AS xx{i}_{j}" for j in range(i, p)]
     found = {}
     for row in df.groupBy(*keys).agg(*[F.expr(s) for s in sums]).collect():
+        if row["gaps"]:
+            raise ValueError(f"{row['gaps']} rows have a null feature or target")
         xx = np.array([[row[f"xx{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], dtype=float)
         found[tuple(row[k] for k in keys)] = Moments(
             float(row["n"]), np.array([row[f"x{i}"] for i in range(p)], dtype=float), xx,
@@ -136,7 +147,7 @@ def fit_moments(m: Moments, kind: str, alpha: float = 0.0) -> tuple[np.ndarray,
     mean_x, mean_y = m.x / m.n, m.y / m.n
     gram = m.xx - m.n * np.outer(mean_x, mean_x)
     cross = m.xy - mean_x * m.y
-    varies = np.flatnonzero(np.diag(gram) > 1e-12 * np.diag(m.xx))
+    varies = np.flatnonzero(m.varies())
     weights = np.zeros(len(cross))
     gram, cross = gram[np.ix_(varies, varies)], cross[varies]
     if kind == OLS:

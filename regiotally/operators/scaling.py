@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from regiotally.operators.linear import Moments
+
 
 @dataclass(frozen=True)
 class Scaler:
@@ -18,6 +20,13 @@ class Scaler:
     def column(self, name: str) -> Column:
         return (F.col(f"`{name}`").cast("double") - self.centre[name]) / self.spread[name]
 
+    def refined(self, moments: Moments, features) -> tuple["Scaler", Moments]:
+        """The scaler of the rows behind ``moments``, which this scaler had scaled, and their moments under it."""
+        mean, spread = moments.x / moments.n, moments.spread()
+        centre = {f: self.centre[f] + self.spread[f] * float(m) for f, m in zip(features, mean)}
+        width = {f: self.spread[f] * float(s) for f, s in zip(features, spread)}
+        return Scaler(centre, width, int(moments.n)), moments.scaled(mean, spread)
+
     def apply(self, df: DataFrame, features, prefix: str = "z_") -> DataFrame:
         return df.withColumns({f"{prefix}{f}": self.column(f) for f in features})
 

@@ -95,22 +95,23 @@ class Forecast:
         return list(dict.fromkeys(f for v in self.study.panel.variants.values() for f in v))
 
     @cached_property
-    def _scaler(self):
-        """Mean and deviation of every feature over the training rows."""
-        return fit_scaler(self.parts[0], self._all_features)
+    def _rough(self):
+        """Mean and deviation of every feature over all rows, and the row count."""
+        return fit_scaler(self.panel, self._all_features)
 
     @cached_property
     def _moments(self):
         """The one pass that all fits on feature sets, folds and alphas share."""
         marked = self.panel.withColumn("_train", F.coalesce(F.expr(self.train), F.lit(False)))
         return placed_moments(
-            marked, self._all_features, self.target, self.order, self.panel.count(), self._scaler, "_train",
+            marked, self._all_features, self.target, self.order, self._rough.rows, self._rough, "_train",
             self.study.folds, self.single_task_rows,
         )
 
     @cached_property
-    def _train_moments(self):
-        return combined(m for (_, train), m in self._moments.items() if train)
+    def _training(self):
+        """Scaler and moments of the training rows, out of the shared pass."""
+        return self._rough.refined(combined(m for (_, train), m in self._moments.items() if train), self._all_features)
 
     # Feature sets ---------------------------------------------------------------------------------
 
@@ -118,8 +119,9 @@ class Forecast:
     def _variant_errors(self) -> list[tuple[str, int, float, float]]:
         """All feature sets fitted from the shared moments and scored in one pass over the test rows."""
         variants = self.study.panel.variants
-        fits = [fit_subset(self._train_moments, self._all_features, v, OLS) for v in variants.values()]
-        scored = self._scaler.apply(self.parts[1], self._all_features)
+        scaler, moments = self._training
+        fits = [fit_subset(moments, self._all_features, v, OLS) for v in variants.values()]
+        scored = scaler.apply(self.parts[1], self._all_features)
         sums = []
         for i, fit in enumerate(fits):
             error = F.col(self.target) - fit.column()
@@ -173,8 +175,9 @@ class Forecast:
     def models(self) -> list[Model]:
         ridge, lasso = best_alpha(self._grid[RIDGE]), best_alpha(self._grid[LASSO])
         jobs = [(OLS, 0.0), (RIDGE, ridge), (LASSO, lasso)]
-        train = self._scaler.apply(self.parts[0], self.features)
-        fits = fit_rows(train, self.features, self.target, jobs, self._train_moments)
+        scaler, moments = self._training
+        train = scaler.apply(self.parts[0], self.features)
+        fits = fit_rows(train, self.features, self.target, jobs, moments.only(self._places))
         errors = [mean_error(self._blocks, k, a, self.scale) for k, a in jobs]
         names = ["Linear Regression", f"Ridge (a={ridge:g})", f"Lasso (a={lasso:g})"]
         return [Model(n, k, a, f, e) for n, (k, a), f, e in zip(names, jobs, fits, errors)]
@@ -185,7 +188,7 @@ class Forecast:
 
     def scored(self) -> DataFrame:
         """Test rows with the prediction of every model, on the log scale, side by side."""
-        rows = self._scaler.apply(self.parts[1], self.features)
+        rows = self._training[0].apply(self.parts[1], self.features)
         return rows.withColumns({f"pred_{m.kind}": m.fit.column() for m in self.models})
 
     def leaderboard(self) -> DataFrame:

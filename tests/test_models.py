@@ -72,6 +72,31 @@ def test_scaler_uses_population_deviation(df, data):
         assert np.allclose(got[[f"z_{f}" for f in FEATURES]].to_numpy(), want)
 
 
+def test_scaler_of_a_part_comes_out_of_the_moments(df):
+    whole, part = fit_scaler(df, FEATURES), fit_scaler(df.filter("part"), FEATURES)
+    moments = moments_by(whole.apply(df, FEATURES), FEATURES, "y", ["part"])[(True,)]
+    scaler, scaled = whole.refined(moments, FEATURES)
+    assert scaler.rows == part.rows == 90
+    for f in FEATURES:
+        assert scaler.centre[f] == pytest.approx(part.centre[f]) and scaler.spread[f] == pytest.approx(part.spread[f])
+    assert np.allclose(scaled.x, 0, atol=1e-9) and np.allclose(np.diag(scaled.xx)[:3], 90)
+
+
+def test_feature_that_is_constant_in_the_training_part(df, data):
+    """Its weight is 0 and its spread 1, although it varies over all rows."""
+    late = df.withColumn("late", F.when(F.col("part"), 3.7).otherwise(F.col("a")))
+    names = ["a", "late"]
+    whole = fit_scaler(late, names)
+    moments = moments_by(whole.apply(late, names), names, "y", ["part"])[(True,)]
+    scaler, scaled = whole.refined(moments, names)
+    assert scaler.centre["late"] == pytest.approx(3.7) and scaler.spread["late"] == whole.spread["late"]
+    for kind, alpha in [(OLS, 0.0), (RIDGE, 1.0), (LASSO, 0.01)]:
+        assert abs(fit_subset(scaled, names, names, kind, alpha).coefficients[1]) < 1e-9
+    train = data[data.part]
+    slope = np.polyfit(train.a, train.y, 1)[0] * train.a.std(ddof=0)
+    assert fit_subset(scaled, names, names, OLS).coefficients[0] == pytest.approx(slope)
+
+
 @pytest.mark.parametrize("kind,alpha", [(OLS, 0.0), (RIDGE, 0.01), (RIDGE, 10.0), (RIDGE, 100.0), (LASSO, 0.01), (LASSO, 0.1), (LASSO, 1.0)])
 def test_fits_on_rows_and_on_moments_agree_with_numpy(df, data, kind, alpha):
     scaler = fit_scaler(df, FEATURES)
@@ -92,6 +117,13 @@ def test_fits_on_rows_and_on_moments_agree_with_numpy(df, data, kind, alpha):
     assert np.allclose(predicted, x @ np.array(by_rows.coefficients) + by_rows.intercept)
 
 
+def test_null_target_is_an_error(df):
+    gaps = df.withColumn("y", F.when(F.col("id") > 3, F.col("y")))
+    scaled = fit_scaler(gaps, FEATURES).apply(gaps, FEATURES)
+    with pytest.raises(ValueError, match="4 rows"):
+        moments_by(scaled.withColumn("g", F.lit(0)), FEATURES, "y", ["g"])
+
+
 def expanding_folds(n, folds=5):
     size = n // (folds + 1)
     return [(n - (folds + 1 - k) * size, n - (folds - k) * size) for k in range(1, folds + 1)]

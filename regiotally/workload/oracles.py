@@ -250,8 +250,9 @@ def model_parts(order: str) -> None:
   SELECT g, any_value(alpha) AS alpha, avg(rmse) AS cv_rmse
   FROM (SELECT g, b, sqrt(avg((y - fitted) ** 2)) AS rmse FROM lasso_fold_test GROUP BY g, b) JOIN alphas USING (g)
   GROUP BY g""")
+    # Alphas that leave no weight have equal errors, up to the order of summation.
     part("best_lasso", ["lasso_grid"], """
-  SELECT g, alpha, cv_rmse FROM lasso_grid ORDER BY round(cv_rmse, 12), g LIMIT 1  -- equal where all weights are 0""")
+  SELECT g, alpha, cv_rmse FROM lasso_grid ORDER BY round(cv_rmse, 12), g LIMIT 1""")
     part("lasso_test", ["z", "lasso_fit", "best_lasso"], """
   SELECT region, year, month, any_value(y) AS y, sum(z * v) AS fitted FROM z JOIN lasso_fit f USING (i)
   WHERE year = 2000 AND f.b = 0 AND f.g = (SELECT g FROM best_lasso) GROUP BY region, year, month""")

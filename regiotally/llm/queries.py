@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regiotally.llm import id_planes, piece_language, rows, tree_bpe
+from regiotally.llm import decision_list, id_planes, order_minhash, piece_language, pseudonyms, rows, tree_bpe
+
+#: The secret of the pseudonyms; a deployment passes its own.
+KEY = "a key for tests"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +23,12 @@ def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_planes.read_documents(spark, path)
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest id of its class of near duplicates."""
+    found = order_minhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op7_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the bytes they decode to."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -37,7 +46,19 @@ def op8_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), answer.alias("_answer")).select("doc_id", "held_out", "_answer.lang_pred", "_answer.score")
 
 
-QUERIES = [op1_bit_planes, op7_tree_bpe, op8_piece_language]
+def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document, by rules learned from the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    return decision_list.judged(docs, decision_list.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal numbers, dates and addresses replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, KEY)
+
+
+QUERIES = [op1_bit_planes, op6_order_minhash, op7_tree_bpe, op8_piece_language, op9_decision_list, op10_feistel_pseudonyms]
 
 
 def oracles() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regiotally.llm import decision_list, id_planes, latent_leaks, order_minhash, piece_language, pseudonyms, rows, tree_bpe
+from regiotally.llm import decision_list, id_planes, latent_leaks, order_minhash, page_templates, piece_language, pseudonyms, rows, tree_bpe
 
 #: The secret of the pseudonyms; a deployment passes its own.
 KEY = "a key for tests"
@@ -23,6 +23,11 @@ def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_planes.read_documents(spark, path)
 
 
+def op2_page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return page_templates.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that it holds."""
     return latent_leaks.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -63,7 +68,7 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs, KEY)
 
 
-QUERIES = [op1_bit_planes, op4_latent_leaks, op6_order_minhash, op7_tree_bpe, op8_piece_language, op9_decision_list, op10_feistel_pseudonyms]
+QUERIES = [op1_bit_planes, op2_page_templates, op4_latent_leaks, op6_order_minhash, op7_tree_bpe, op8_piece_language, op9_decision_list, op10_feistel_pseudonyms]
 
 
 def oracles() -> dict[str, str]:

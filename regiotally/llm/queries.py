@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regiotally.llm import decision_list, id_planes, latent_leaks, order_minhash, page_templates, piece_language, pseudonyms, rows, tree_bpe
+from regiotally.llm import decision_list, id_planes, latent_leaks, merkle_audit, order_minhash, page_templates, piece_language, pseudonyms, rows, secret_forest, tree_bpe
 
 #: The secret of the pseudonyms; a deployment passes its own.
 KEY = "a key for tests"
@@ -28,11 +28,48 @@ def op2_page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_templates.main_text(table(spark, sf_dir, "pages"))
 
 
+def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every document with the forest's score."""
+    return secret_forest.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that it holds."""
     return latent_leaks.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def damaged(pages: DataFrame) -> DataFrame:
+    """A replica of ``pages`` with known damage: by the digest of the id, 1 page in 256 each lost, cut or altered."""
+    kind = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
+    body = F.when(kind == "01", F.expr("substring(html, 1, length(html) - 1)")).when(kind == "02", F.concat(F.lit("?"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    return pages.filter(kind != "00").withColumn("html", body)
+
+
+def op5_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a damaged replica of all pages differs from the original, found by descending both trees."""
+    pages = table(spark, sf_dir, "pages")
+    own = rows.written(merkle_audit.leaves(pages, "page_id"), "original")
+    text = merkle_audit.record_text(F.col("url"), F.col("html"))
+    # a replica's records lie at the offsets of its index, whatever has become of their bytes
+    replica = damaged(pages).select(F.col("page_id").alias("key"), F.octet_length(text).cast("long").alias("length"), F.sha2(text.cast("binary"), 256).alias("digest")).join(own.select("key", "offset"), "key")
+    found = merkle_audit.damage(merkle_audit.tree(own), merkle_audit.tree(replica.select("key", "offset", "length", "digest")))
+    return found.select(F.col("key").alias("page_id"), "offset", "length", "status")
+
+
+OP5_SQL = """
+WITH records AS (
+    SELECT page_id, strlen('WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: ') + strlen(coalesce(url, ''))
+           + strlen('\r\nContent-Type: text/html\r\nContent-Length: ') + length(CAST(strlen(coalesce(html, '')) AS VARCHAR))
+           + 8 + strlen(coalesce(html, '')) AS length, substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS kind, html
+    FROM pages
+), placed AS (
+    SELECT *, coalesce(sum(length) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM records
+)
+SELECT page_id, CAST(start AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, CASE WHEN kind = '00' THEN 'missing' ELSE 'changed' END AS status
+FROM placed WHERE kind = '00' OR (kind IN ('01', '02') AND html <> '')
+"""
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the smallest id of its class of near duplicates."""
     found = order_minhash.classes(table(spark, sf_dir, "documents"))
@@ -68,8 +105,8 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs, KEY)
 
 
-QUERIES = [op1_bit_planes, op2_page_templates, op4_latent_leaks, op6_order_minhash, op7_tree_bpe, op8_piece_language, op9_decision_list, op10_feistel_pseudonyms]
+QUERIES = [op1_bit_planes, op2_page_templates, op3_secret_forest, op4_latent_leaks, op5_merkle_audit, op6_order_minhash, op7_tree_bpe, op8_piece_language, op9_decision_list, op10_feistel_pseudonyms]
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op5_merkle_audit": OP5_SQL}

@@ -10,7 +10,9 @@ position of its first id.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,6 +32,12 @@ LEVEL = 3
 CACHED = 400_000
 LONG = 64
 
+#: A segment of two matches of the split pattern at most: Latin letters, then marks.
+SIMPLE = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
+#: The letters that stand for bytes in a byte-level vocabulary: printable bytes stand for themselves.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
+
 BLOCKS = T.StructType(
     [
         T.StructField("slice", T.IntegerType()),
@@ -70,8 +78,8 @@ class SegmentEncoder:
     """The tokenizer's ids of whole texts.
 
     The split pattern of the tokenizer always cuts before a blank that a non-blank follows, so the segments between
-    such places are encoded once by the library and looked up when they come again. Texts with other runs of blanks
-    go to the library whole.
+    such places are encoded once by the library and looked up when they come again: those of letters and marks straight
+    by its merges, others by all its steps. Texts with other runs of blanks go to the library whole.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -80,7 +88,28 @@ class SegmentEncoder:
 
         self.library = Tokenizer.from_file(tokenizer_path)
         self.library.encode_special_tokens = True
+        self.merges = self.library.model
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, list[int]] = {"": []}
+
+    def merged(self, piece: str) -> list[int]:
+        return [t.id for t in self.merges.tokenize(piece.encode().decode("latin-1").translate(BYTE_LETTERS))]
+
+    def segment_ids(self, segments: list[str]) -> dict[str, bytes]:
+        out, other = {}, []
+        for s in segments:
+            simple = SIMPLE.fullmatch(s)
+            if simple is None:
+                other.append(s)
+                continue
+            letters, marks = simple.groups()
+            if marks not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks = {"": []}
+                self.marks[marks] = self.merged(marks)
+            out[s] = array("I", self.merged(letters) + self.marks[marks]).tobytes()
+        out.update(zip(other, self.library_ids(other)))
+        return out
 
     def library_ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -92,7 +121,7 @@ class SegmentEncoder:
             self.known.clear()
         known = self.known
         new = list({s for parts in split if parts for s in parts if s not in known})
-        found = dict(zip(new, self.library_ids(new)))
+        found = self.segment_ids(new)
         whole = iter(self.library_ids([t for t, parts in zip(texts, split) if parts is None]))
         out = []
         if found:

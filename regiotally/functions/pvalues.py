@@ -38,11 +38,9 @@ def shapiro_p(w: float, n: int) -> float:
 
 
 def student_p(t: float, df: int) -> float:
-    """Two-sided p-value of Student's t; the normal limit beyond a million degrees of freedom."""
+    """Two-sided p-value of Student's t."""
     if math.isnan(t):
         return t
-    if df > 1_000_000:
-        return math.erfc(abs(t) / math.sqrt(2))
     return _beta_ratio(df / (df + t * t), df / 2, 0.5)
 
 
@@ -52,17 +50,24 @@ def _beta_ratio(x: float, a: float, b: float) -> float:
         return min(max(x, 0.0), 1.0)
     if x > (a + 1) / (a + b + 2):
         return 1 - _beta_ratio(1 - x, b, a)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    ) / a
+    front = math.exp(_log_gamma_ratio(a, b) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
     c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
     fraction = d
-    for m in range(1, 20_000):
+    for m in range(1, 10_000_000):  # the steps needed grow with the root of a and b
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for term in (even, odd):
             c, d = 1 + term / c, 1 / (1 + term * d)
             fraction *= c * d
         if abs(1 - c * d) < 1e-15:
-            break
-    return front * fraction
+            return front * fraction
+    raise ArithmeticError(f"the incomplete beta function does not converge at {x}, {a}, {b}")
+
+
+def _log_gamma_ratio(a: float, b: float) -> float:
+    """Log of gamma(a + b) / gamma(a); for large ``a`` by its series, as the difference would cancel."""
+    if max(a, b) < 1e5:
+        return math.lgamma(a + b) - math.lgamma(a)
+    if b > a:
+        return math.lgamma(a + b) - math.lgamma(a) if a > 1e5 else _log_gamma_ratio(b, a) + math.lgamma(b) - math.lgamma(a)
+    return b * math.log(a) + b * (b - 1) / (2 * a) - b * (b - 1) * (2 * b - 1) / (12 * a * a)

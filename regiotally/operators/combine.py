@@ -13,7 +13,7 @@ def append(frames) -> DataFrame:
 
 
 def attach(facts: DataFrame, dimension: DataFrame, keys) -> DataFrame:
-    """Left join to a dimension that is unique on ``keys``.
+    """Left join to a dimension that is unique on ``keys``; ``unique_keys`` checks that inside an aggregate.
 
     No broadcast hint: the planner broadcasts a dimension that it knows to be small, adaptive execution
     one that turns out small, and beyond that it sorts and splits hot keys.

@@ -53,11 +53,11 @@ def inflation_from_sums(gram: np.ndarray, sums: np.ndarray, n: float) -> list[fl
     return factors
 
 
-def quantile_plot(df: DataFrame, value: str, ties, single_task_rows: int = 200_000) -> DataFrame:
-    """Normal quantile-quantile table: ordered values against normal scores of their positions."""
-    rows = df.count()
-    placed = with_position(df.select(value, *ties), [value, *ties], "position", single_task_rows, rows)
-    end = 0.5 ** (1.0 / rows)
+def quantile_plot(df: DataFrame, value: str, ties) -> DataFrame:
+    """Normal quantile-quantile table: ordered values against normal scores of their positions. Nulls are left out."""
+    known = df.select(value, *ties).filter(F.col(value).isNotNull())
+    placed, rows = with_position(known, [value, *ties], "position")
+    end = 0.5 ** (1.0 / max(rows, 1))
     level = (
         F.when(F.col("position") == rows, F.lit(end))
         .when(F.col("position") == 1, F.lit(1 - end))
@@ -77,16 +77,16 @@ def quantile_line(plot: DataFrame) -> DataFrame:
     )
 
 
-def shapiro_wilk(df: DataFrame, value: str, ties, single_task_rows: int = 200_000) -> DataFrame:
+def shapiro_wilk(df: DataFrame, value: str, ties) -> DataFrame:
     """Shapiro-Wilk W, its p-value and the decision at 0.05, as one row.
 
-    The weights follow Royston's approximation. Only the two outermost on each side differ from scaled
+    Nulls are left out; values that are all alike give W = 1 and p = 1. The weights follow Royston's approximation. Only the two outermost on each side differ from scaled
     normal scores, so one aggregate over the numbered rows gives all the sums W is made of.
     """
-    n = df.count()
+    known = df.select(value, *ties).filter(F.col(value).isNotNull())
+    placed, n = with_position(known, [value, *ties], "_position")
     if n < 3:
         raise ValueError("at least three rows are needed")
-    placed = with_position(df.select(value, *ties), [value, *ties], "_position", single_task_rows, n)
     score = inverse_normal((F.col("_position") - 0.375) / (n + 0.25))
     edge = 1 if n <= 5 else 2
     inside = (F.col("_position") > edge) & (F.col("_position") <= n - edge)
@@ -94,6 +94,7 @@ def shapiro_wilk(df: DataFrame, value: str, ties, single_task_rows: int = 200_00
         F.sum(F.col("_score") * F.col("_score")).alias("squares"),
         F.sum(F.when(inside, F.col("_score") * F.col(value))).alias("inner"),
         (F.var_pop(value) * n).alias("spread"),
+        (F.min(value) == F.max(value)).alias("alike"),
         *[F.max(F.when(F.col("_position") == k, F.col(value))).alias(f"low{k}") for k in range(1, edge + 1)],
         *[F.max(F.when(F.col("_position") == n + 1 - k, F.col(value))).alias(f"high{k}") for k in range(1, edge + 1)],
     )
@@ -108,8 +109,8 @@ def shapiro_wilk(df: DataFrame, value: str, ties, single_task_rows: int = 200_00
         rest = row["squares"] - 2 * sum(s * s for s in scores)
         inner = (row["inner"] or 0.0) / math.sqrt(rest / (1 - 2 * sum(a * a for a in outer)))
     weighted = inner + sum(a * (row[f"high{k}"] - row[f"low{k}"]) for k, a in enumerate(outer, 1))
-    w = min(weighted**2 / row["spread"], 1.0)
-    p = shapiro_p(w, n)
+    w = 1.0 if row["alike"] else min(weighted**2 / row["spread"], 1.0)
+    p = 1.0 if row["alike"] else shapiro_p(w, n)
     return df.sparkSession.createDataFrame(
         [(n, w, p, "not rejected" if p > SIGNIFICANCE else "rejected")],
         "n long, w double, p_value double, normality string",

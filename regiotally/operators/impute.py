@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from regiotally.functions.nulls import all_known
 from regiotally.functions.numeric import round_even
-from regiotally.session import materialize
 
 
 def fill_group_mean(df: DataFrame, columns, keys) -> DataFrame:
@@ -15,9 +14,7 @@ def fill_group_mean(df: DataFrame, columns, keys) -> DataFrame:
     The means come from one aggregate with map-side combine and are joined back, so a group with a
     third of the rows never meets in one task, as it would in a window over ``keys``.
     """
-    means = materialize(
-        df.filter(all_known(keys)).groupBy(*keys).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns]), "means"
-    )
+    means = df.filter(all_known(keys)).groupBy(*keys).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
     filled = {c: F.coalesce(F.col(c), F.col(f"_mean_{c}")) for c in columns}
     return df.join(means, list(keys), "left").withColumns(filled).drop(*[f"_mean_{c}" for c in columns])
 

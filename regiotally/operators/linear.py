@@ -6,6 +6,7 @@ rows, so one aggregate reduces the rows to their second moments and those fits w
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,6 +55,8 @@ def fit_rows(df: DataFrame, features, target: str, jobs, moments: "Moments", pre
                 maxIter=10_000,
                 tol=1e-12,
             ).fit(rows)
+            if kind == LASSO and model.summary.totalIterations >= 10_000:
+                warnings.warn(f"the lasso has not converged after {model.summary.totalIterations} iterations", stacklevel=2)
             found = dict(zip(varying, (float(c) for c in model.coefficients)))
             weights = tuple(found.get(f, 0.0) for f in features)
             fits.append(LinearFit(tuple(features), weights, float(model.intercept)))
@@ -143,7 +146,11 @@ def fit_subset(m: Moments, features, subset, kind: str, alpha: float = 0.0) -> L
 
 
 def fit_moments(m: Moments, kind: str, alpha: float = 0.0) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept from moments alone; a feature that is constant in the rows gets weight 0."""
+    """Coefficients and intercept from moments alone; a feature that is constant in the rows gets weight 0.
+
+    Of all solutions for collinear features the one of the smallest norm is taken, in the scale the features have.
+    The moments are p-by-p, meant for tens of features.
+    """
     mean_x, mean_y = m.x / m.n, m.y / m.n
     gram = m.xx - m.n * np.outer(mean_x, mean_x)
     cross = m.xy - mean_x * m.y
@@ -151,8 +158,7 @@ def fit_moments(m: Moments, kind: str, alpha: float = 0.0) -> tuple[np.ndarray,
     weights = np.zeros(len(cross))
     gram, cross = gram[np.ix_(varies, varies)], cross[varies]
     if kind == OLS:
-        unit = np.sqrt(np.diag(gram))
-        weights[varies] = np.linalg.lstsq(gram / np.outer(unit, unit), cross / unit, rcond=1e-12)[0] / unit
+        weights[varies] = np.linalg.lstsq(gram, cross, rcond=1e-12)[0]
     elif kind == RIDGE:
         weights[varies] = np.linalg.solve(gram + alpha * np.eye(len(cross)), cross)
     else:
@@ -170,4 +176,6 @@ def _lasso_weights(gram, cross, alpha, rounds: int = 10_000, tolerance: float =
             weights[j] = np.sign(pull) * max(abs(pull) - alpha, 0.0) / gram[j, j]
         if np.max(np.abs(weights - before), initial=0.0) <= tolerance:
             break
+    else:
+        warnings.warn(f"the lasso has not converged after {rounds} rounds", stacklevel=3)
     return weights

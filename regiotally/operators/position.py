@@ -2,39 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from regiotally.session import materialize
+#: Sampled rows per slice, from which the slice boundaries are taken.
+SAMPLED = 32
 
 
-def with_position(
-    df: DataFrame, order, name: str = "position", single_task_rows: int = 200_000, rows: int | None = None
-) -> DataFrame:
-    """Number the rows from 1 in the given order.
+def slice_bounds(df: DataFrame, order, slices: int) -> list[tuple]:
+    """Boundaries that cut the rows into slices of about equal size, in ascending ``order``.
 
-    Up to ``single_task_rows`` counted rows one sorted task does it. Beyond, the rows are range-partitioned
-    and written once, so that slices cannot move on a retry; rows are numbered within slices and shifted
-    by the row counts of the slices before. End ``order`` with a unique key: ties then have one place,
-    and a value shared by many rows still spreads over slices. ``rows`` is the row count where it is known.
+    They are quantiles of the ``SAMPLED * slices`` rows with the smallest hashes: a bounded sample, the same on every run.
     """
-    if (df.count() if rows is None else rows) <= single_task_rows:
-        return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long"))
-    sliced = materialize(
-        df.repartitionByRange(*_columns(order)).withColumn("_slice", F.spark_partition_id()), "slices"
-    )
-    before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    # One row per shuffle partition: the size is bounded by the session's partition count.
-    shifts = (
-        sliced.groupBy("_slice")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
-    )
-    local = sliced.withColumn("_local", F.row_number().over(W.partitionBy("_slice").orderBy(*order)))
-    return (
-        local.join(F.broadcast(shifts), "_slice")
-        .withColumn(name, F.col("_local") + F.col("_shift"))
-        .drop("_slice", "_local", "_shift")
-    )
+    names = list(order)
+    sample = df.select(*names).orderBy(F.xxhash64(*names), *names).limit(SAMPLED * slices)
+    rows = [tuple(r) for r in sample.orderBy(*names).collect()]
+    cuts = [rows[len(rows) * k // slices] for k in range(1, slices)] if rows else []
+    return list(dict.fromkeys(cuts))
+
+
+def slice_number(df: DataFrame, order, bounds: list[tuple]) -> Column:
+    """How many of the boundaries a row has reached: literal values, so a row's slice never changes."""
+    kinds = {f.name: f.dataType for f in df.schema}
+
+    def key(values) -> Column:
+        return F.struct(*[v.cast(kinds[n]).alias(n) for n, v in zip(order, values)])
+
+    if not bounds:
+        return F.lit(0)
+    cuts = F.array(*[key([F.lit(v) for v in row]) for row in bounds])
+    return F.size(F.filter(cuts, lambda b: b <= key([F.col(n) for n in order])))
+
+
+def with_position(df: DataFrame, order, name: str = "position", slices: int | None = None) -> tuple[DataFrame, int]:
+    """The rows numbered from 1 in ascending ``order`` (column names, nulls first), and their count.
+
+    Rows fall into slices between literal boundaries, are numbered inside their slice and shifted by the counts of the
+    slices before; one row per slice passes the driver, which also gives the count of all. Nothing has to be written,
+    because a retry finds the same slices. End ``order`` with a unique key: ties then have one place, and a value that
+    many rows share still spreads over slices. Persist ``df`` where it is costly: it is read three times.
+    """
+    wanted = slices or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sliced = df.withColumn("_slice", slice_number(df, order, slice_bounds(df, order, wanted)))
+    counts = {r["_slice"]: r["n"] for r in sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shifts, rows = [], 0
+    for k in range(max(counts, default=0) + 1):
+        shifts.append(rows)
+        rows += counts.get(k, 0)
+    local = F.row_number().over(W.partitionBy("_slice").orderBy(*order)).cast("long")
+    shift = F.element_at(F.array(*[F.lit(s).cast("long") for s in shifts]), F.col("_slice") + 1)
+    return sliced.withColumn(name, local + shift).drop("_slice"), rows
 
 
 def fold_block(position, rows: int, folds: int):
@@ -49,7 +65,3 @@ def fold_block(position, rows: int, folds: int):
     start = rows - folds * size
     past = F.ceil((F.col(position) - start) / size)
     return F.greatest(past, F.lit(0)).cast("int")
-
-
-def _columns(order):
-    return [F.col(c) if isinstance(c, str) else c for c in order]

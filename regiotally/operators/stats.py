@@ -34,24 +34,30 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
         F.when(flat, low - 0.5).otherwise(low).alias("low"), F.when(flat, high + 0.5).otherwise(high).alias("high")
     )
     lower, upper = limits.select("low").scalar(), limits.select("high").scalar()
-    place = F.least(F.floor((F.col("x") - lower) * bins / (upper - lower)), F.lit(bins - 1))
-    counts = rows.groupBy(place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     width = (upper - lower) / bins
+    edge = lambda k: F.when(k == bins, upper).otherwise(lower + k * width)
+    # rounding may put a value beside its bin: the edges decide, and the last bin is closed
+    guess = F.greatest(F.least(F.floor((F.col("x") - lower) / width), F.lit(bins - 1)), F.lit(0)).cast("int")
+    moved = rows.withColumn("_bin", guess)
+    place = F.when(F.col("x") < edge(F.col("_bin")), F.col("_bin") - 1)
+    place = place.when((F.col("x") >= edge(F.col("_bin") + 1)) & (F.col("_bin") < bins - 1), F.col("_bin") + 1)
+    counts = moved.groupBy(place.otherwise(F.col("_bin")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(counts, "bin", "left").select(
         "bin",
-        (lower + F.col("bin") * width).alias("from_value"),
-        (lower + (F.col("bin") + 1) * width).alias("to_value"),
+        edge(F.col("bin")).alias("from_value"),
+        edge(F.col("bin") + 1).alias("to_value"),
         F.coalesce("n", F.lit(0)).alias("n"),
     )
 
 
-def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
+def density(df: DataFrame, column: str, points: int = 200, bins: int | None = None) -> DataFrame:
     """Gaussian kernel density on an even grid from minimum to maximum.
 
-    The bandwidth is n^(-1/5) times the sample deviation. Equal values are counted first; each distinct
-    value then adds to every grid point inside its own task (the fan-out is the fixed grid), so what is
-    shuffled is one partial sum per grid point and task.
+    The bandwidth is n^(-1/5) times the sample deviation; a column without spread has no density (null). Equal values
+    are counted first, then one aggregate sums the kernel at every grid point: rows are not multiplied, and one row of
+    ``points`` sums per task is shuffled. With ``bins`` a column ``curve`` scales the density to the counts of a
+    histogram of so many bins.
     """
     rows = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
     values = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
@@ -60,20 +66,18 @@ def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
         F.min("x").alias("low"),
         F.max("x").alias("high"),
         count.alias("rows"),
-        (F.stddev_samp("x") * F.pow(count, F.lit(-0.2))).alias("bandwidth"),
+        F.when(F.max("x") > F.min("x"), F.stddev_samp("x") * F.pow(count, F.lit(-0.2))).alias("bandwidth"),
     )
     low, high, total, bandwidth = (base.select(c).scalar() for c in ("low", "high", "rows", "bandwidth"))
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    spread = values.withColumns({"_low": low, "_high": high, "_h": bandwidth}).select("*", grid.alias("point"))
-    at = F.col("_low") + F.col("point") * (F.col("_high") - F.col("_low")) / (points - 1)
-    distance = (at - F.col("x")) / F.col("_h")
-    kernel = F.exp(distance * distance * -0.5) * F.col("n")
-    summed = spread.groupBy("point").agg(F.sum(kernel).alias("_kernel"))
-    return summed.select(
-        "point",
-        (low + F.col("point") * (high - low) / (points - 1)).alias("x"),
-        (F.col("_kernel") / (total * bandwidth * F.sqrt(F.pi() * 2))).alias("density"),
-    )
+    placed = values.withColumns({"_low": low, "_step": (high - low) / (points - 1), "_h": bandwidth})
+    sums = []
+    for k in range(points):
+        distance = (F.col("_low") + F.lit(float(k)) * F.col("_step") - F.col("x")) / F.col("_h")
+        sums.append(F.sum(F.exp(distance * distance * -0.5) * F.col("n")))
+    summed = placed.agg(F.array(*sums).alias("_kernels")).select(F.posexplode("_kernels").alias("point", "_kernel"))
+    height = F.col("_kernel") / (total * bandwidth * F.sqrt(F.pi() * 2))
+    out = summed.select("point", (low + F.col("point") * (high - low) / (points - 1)).alias("x"), height.alias("density"))
+    return out if bins is None else out.withColumn("curve", F.col("density") * total * (high - low) / bins)
 
 
 def trend_line(df: DataFrame, x: str, y: str, points: int = 100) -> DataFrame:

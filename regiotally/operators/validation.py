@@ -13,15 +13,14 @@ from regiotally.operators.scaling import Scaler
 
 
 def placed_moments(
-    panel: DataFrame, features, target: str, order, rows: int, scaler: Scaler, part: str,
-    folds: int = 5, single_task_rows: int = 200_000,
+    panel: DataFrame, features, target: str, order, scaler: Scaler, part: str, folds: int = 5
 ) -> dict[tuple, Moments]:
     """Moments per fold block and value of ``part``: all that comparison, tuning and validation need.
 
-    ``rows`` is the row count of the panel. ``scaler`` only has to bring the features to a common order of
+    ``scaler`` only has to bring the features to a common order of
     magnitude; exact standardising follows on the moments.
     """
-    placed = with_position(scaler.apply(panel, features), order, "_position", single_task_rows, rows)
+    placed, rows = with_position(scaler.apply(panel, features), order, "_position")
     blocks = placed.withColumn("_block", fold_block("_position", rows, folds))
     return moments_by(blocks, features, target, ["_block", part])
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from regiotally.functions.calendar import month_label, period_label
 from regiotally.functions.labels import without_code
 from regiotally.functions.numeric import mean_of_rounded, rate_per, round_even, share_pct
-from regiotally.operators.reshape import by_listed_order, grouped_total, pivot_single, pivot_total
+from regiotally.operators.reshape import by_listed_order, grouped_total, listed, pivot_single, pivot_total
 from regiotally.operators.stats import pearson, skew_adjusted
 from regiotally.operators.summary import flag_extreme
 from regiotally.plans.spec import Study
@@ -121,6 +121,7 @@ def target_by_region_year(cells: DataFrame, study: Study, years) -> DataFrame:
     yearly = cells.groupBy(c.region, c.year).agg(
         F.sum(p.target).alias("total"), round_even(mean_of_rounded(p.rate, 1), 1).alias("rate")
     )
+    yearly = yearly.withColumn(c.year, listed(c.year, years))
     columns = []
     for y in years:
         here = F.col(c.year) == y

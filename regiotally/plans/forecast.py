@@ -26,7 +26,6 @@ from regiotally.operators.summary import by_magnitude, top
 from regiotally.operators.validation import best_alpha, combined, fold_blocks, mean_error, placed_moments
 from regiotally.plans.explore import target_cells
 from regiotally.plans.spec import Study
-from regiotally.session import materialize
 
 
 def panel_rows(merged: DataFrame, study: Study, by_calendar: bool = False) -> DataFrame:
@@ -59,9 +58,9 @@ class Model:
 
 @dataclass
 class Forecast:
-    """Models of one panel. The panel is written once; steps run when a result first needs them.
+    """Models of one panel. The panel is kept in memory or on disk; steps run when a result first needs them.
 
-    ``train`` and ``test`` are conditions in SQL.
+    ``train`` and ``test`` are conditions in SQL. ``close`` gives the panel free once all results are read.
     """
 
     panel: DataFrame
@@ -70,11 +69,13 @@ class Forecast:
     test: str
     time_order: bool = False
     scale: str = "global"
-    single_task_rows: int = 200_000
 
     @classmethod
     def of(cls, merged: DataFrame, study: Study, train, test, **options) -> "Forecast":
-        return cls(materialize(panel_rows(merged, study), "panel"), study, train, test, **options)
+        return cls(panel_rows(merged, study).persist(), study, train, test, **options)
+
+    def close(self) -> None:
+        self.panel.unpersist()
 
     @property
     def target(self) -> str:
@@ -104,8 +105,7 @@ class Forecast:
         """The one pass that all fits on feature sets, folds and alphas share."""
         marked = self.panel.withColumn("_train", F.coalesce(F.expr(self.train), F.lit(False)))
         return placed_moments(
-            marked, self._all_features, self.target, self.order, self._rough.rows, self._rough, "_train",
-            self.study.folds, self.single_task_rows,
+            marked, self._all_features, self.target, self.order, self._rough, "_train", self.study.folds
         )
 
     @cached_property
@@ -232,11 +232,11 @@ class Forecast:
 
     def normality(self) -> DataFrame:
         c = self.study.incidents
-        return shapiro_wilk(self.residuals(), "residual", [c.region, c.year, c.month], self.single_task_rows)
+        return shapiro_wilk(self.residuals(), "residual", [c.region, c.year, c.month])
 
     def quantiles(self) -> DataFrame:
         c = self.study.incidents
-        return quantile_plot(self.residuals(), "residual", [c.region, c.year, c.month], self.single_task_rows)
+        return quantile_plot(self.residuals(), "residual", [c.region, c.year, c.month])
 
     def quantile_fit(self) -> DataFrame:
         return quantile_line(self.quantiles())

@@ -9,9 +9,8 @@ from regiotally.functions.nulls import differs_or_null, total
 from regiotally.operators.combine import append, attach, one_hot
 from regiotally.operators.impute import fill_weighted_mean, whole_numbers
 from regiotally.operators.recode import drop_unmapped, lookup_strict, region_from_area
-from regiotally.operators.reshape import grouped_total, totals_by_split
+from regiotally.operators.reshape import grouped_total, totals_by_split, unique_keys
 from regiotally.plans.spec import Study
-from regiotally.session import materialize_together
 
 
 def clean_incidents(raw: DataFrame, study: Study, region: str, area: str, unused=()) -> DataFrame:
@@ -20,12 +19,17 @@ def clean_incidents(raw: DataFrame, study: Study, region: str, area: str, unused
     place = region_from_area(
         region, area, study.recode.balance, study.recode.areas, study.recode.regions, study.recode.fallback
     )
-    kept = raw.filter(differs_or_null(region, study.unknown_region) & differs_or_null(c.year, study.partial_year))
+    kept = raw.filter(kept_rows(study, region))
     flags = {f: lookup_strict(f, study.flag_codes) for f in c.flags}
     placed = kept.withColumns({"_place": place, c.quarter: quarter_of_month(c.month), **flags})
     return placed.drop(region, area, *unused).withColumnRenamed("_place", c.region)
 
 
+def kept_rows(study: Study, region: str):
+    """The rows that stay: a known place and a whole year, nulls kept."""
+    return differs_or_null(region, study.unknown_region) & differs_or_null(study.incidents.year, study.partial_year)
+
+
 def roll_up(clean: DataFrame, study: Study) -> DataFrame:
     """Incident counts by every dimension, null keys kept.
 
@@ -54,13 +58,8 @@ def supply_by_quarter(frames, study: Study, quarter_ending: str = "Quarter Endin
     return grouped_total(drop_unmapped(dated, c.region, study.supply_regions), c.cell, study.measures)
 
 
-def supply_measures(frames, study: Study, quarter_ending: str = "Quarter Ending") -> list[str]:
-    """Every column of the supply tables that is not a key is a measure."""
-    return [n for n in append(frames).columns if n not in (quarter_ending, study.incidents.region)]
-
-
 def filled_supply(rolled: DataFrame, supply: DataFrame, study: Study) -> DataFrame:
-    """Supply for every cell that has incidents, gaps filled, as whole numbers.
+    """Supply for every cell that has incidents, gaps filled where the region and quarter have a mean.
 
     A gap takes the mean of its region and quarter over the merged rows. Supply is constant in a cell, so
     that mean is the cell mean weighted by the cell's row count, and no row of the fact is touched. Supply
@@ -69,14 +68,18 @@ def filled_supply(rolled: DataFrame, supply: DataFrame, study: Study) -> DataFra
     c = study.incidents
     cells = rolled.groupBy(*c.cell).agg(F.count(F.lit(1)).alias("_rows"))
     known = attach(cells, supply, c.cell)
-    filled = fill_weighted_mean(known, study.measures, [c.region, c.quarter], "_rows")
-    return whole_numbers(filled, study.measures).drop("_rows")
+    return fill_weighted_mean(known, study.measures, [c.region, c.quarter], "_rows").drop("_rows")
 
 
 def merge(rolled: DataFrame, population: DataFrame, supply: DataFrame, study: Study) -> DataFrame:
-    """Attach population and filled supply, add region flags, arrange the columns."""
+    """Attach population and filled supply, add region flags, arrange the columns.
+
+    Supply becomes whole after the join, so a row without a region, which no cell of the supply matches, fails the job
+    as a cell without a mean does.
+    """
     c = study.incidents
-    joined = attach(attach(rolled, supply, c.cell), population, [c.year, c.region])
+    supplied = whole_numbers(attach(rolled, supply, c.cell), study.measures)
+    joined = attach(supplied, population, [c.year, c.region])
     encoded = one_hot(joined, c.region, study.regions, study.reference, study.region_prefix)
     plain = [n for s in study.population_splits for n in map(s.rename, s.levels) if not n.startswith(study.split_prefix)]
     split = sorted(
@@ -88,19 +91,34 @@ def merge(rolled: DataFrame, population: DataFrame, supply: DataFrame, study: St
 
 
 def prepare(clean: DataFrame, population: DataFrame, supply: DataFrame, study: Study) -> DataFrame:
-    """The merged table from cleaned incidents, population features and quarterly supply.
+    """The merged table from cleaned incidents, population features and quarterly supply: one lazy plan.
 
-    The three aggregates read the large tables; they run side by side and are written once, because the
-    joins below use the counts twice and are planned by the true sizes of all three.
+    The counts feed both the fill and the join; the planner reads their shuffle twice instead of computing it twice.
+    A dimension with two rows for a key fails the job.
     """
-    counts, people, quarters = materialize_together(
-        incidents=roll_up(clean, study), population=population, supply=supply
-    )
+    c = study.incidents
+    counts = roll_up(clean, study)
+    people, quarters = unique_keys(population, [c.year, c.region]), unique_keys(supply, c.cell)
     return merge(counts, people, filled_supply(counts, quarters, study), study)
 
 
-def stage_counts(clean: DataFrame, loaded: DataFrame, study: Study) -> DataFrame:
-    """Rows loaded, rows kept and counted incidents, as one row."""
+def stage_counts(loaded: DataFrame, study: Study, region: str, rows: str | None = None) -> DataFrame:
+    """Rows loaded, rows kept and incidents counted in them, from one pass; ``rows``: a column of source row counts."""
+    c = study.incidents
+    n = F.col(rows) if rows else F.lit(1)
+    kept = kept_rows(study, region)
+    return loaded.agg(
+        total(F.when(kept, n)).alias("kept"), total(F.when(kept, F.col(c.count))).alias("counted"), total(n).alias("loaded")
+    )
+
+
+def join_profile(clean: DataFrame, population: DataFrame, supply: DataFrame, study: Study) -> DataFrame:
+    """Nulls in the merged rows after each step: supply joined, supply filled, population joined. One pass."""
     c = study.incidents
-    kept = clean.agg(F.count(F.lit(1)).alias("kept"), total(c.count).alias("counted"))
-    return kept.withColumn("loaded", loaded.agg(F.count(F.lit(1))).scalar())
+    counts = roll_up(clean, study)
+    filled = filled_supply(counts, unique_keys(supply, c.cell), study).withColumnsRenamed({m: f"_{m}" for m in study.measures})
+    joined = attach(attach(attach(counts, supply, c.cell), filled, c.cell), unique_keys(population, [c.year, c.region]), [c.year, c.region])
+    sums = [F.count(F.lit(1)).alias("rows")]
+    for stage, names in (("joined", list(study.measures)), ("filled", [f"_{m}" for m in study.measures]), ("peopled", [study.total_population])):
+        sums += [F.count_if(F.col(n).isNull()).alias(f"{stage}{n if n[0] == '_' else '_' + n}") for n in names]
+    return joined.agg(*sums)

@@ -1,13 +1,8 @@
-"""Session set-up for local runs, and lineage-cutting writes in the shared scratch folder."""
+"""Session set-up for local runs."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "regiotally") -> SparkSession:
@@ -25,42 +20,3 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "reg
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
-
-    Where the setting is absent a temporary folder serves a local master; a cluster without it is
-    refused, because a folder on one machine is lost with that machine.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="regiotally-"))
-    return context.getCheckpointDir()
-
-
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once to the scratch folder and read it back.
-
-    Used where a result has several readers. The copy survives lost executors, cuts the lineage, and
-    gives Catalyst the real size of the result, so a later join is broadcast only below
-    ``spark.sql.autoBroadcastJoinThreshold``.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/regiotally/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def materialize_together(**frames: DataFrame) -> list[DataFrame]:
-    """``materialize`` for independent results at once: the tail of one job leaves room for the next."""
-    spark = next(iter(frames.values())).sparkSession
-    write = inheritable_thread_target(spark)(lambda item: materialize(item[1], item[0]))
-    with ThreadPoolExecutor(max_workers=len(frames)) as pool:
-        return list(pool.map(write, frames.items()))

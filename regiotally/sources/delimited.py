@@ -3,29 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Texts that count as missing when a headed file is read.
-MISSING = ("", "NA", "N/A", "n/a", "NaN", "nan", "NULL", "null", "None", "#N/A", "<NA>")
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+)
 
 
 def trimmed_header(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def read_delimited(spark: SparkSession, path, schema: StructType, missing=MISSING) -> DataFrame:
+def read_delimited(spark: SparkSession, path, schema: StructType, missing=MISSING, multi_line: bool = False) -> DataFrame:
     """Read headed text; columns are found by trimmed name and cast to the declared types.
 
-    Only the header is looked at up front. A value that does not fit its type fails the job.
+    Only one header is looked at up front; a file with another header fails the job, as does a value that does not
+    fit its type. With ``multi_line`` quoted values may hold line breaks; a file is then read by one task.
     """
-    text = trimmed_header(spark.read.option("header", True).csv(path))
+    read = spark.read.option("header", True).option("multiLine", multi_line)
+    names = read.csv(path).columns
+    kinds = StructType([StructField(n, StringType()) for n in names])
+    # every header is compared as a whole, so no column may be left out before
+    text = trimmed_header(read.schema(kinds).option("enforceSchema", False).option("columnPruning", False).csv(path))
     absent = [f.name for f in schema if f.name not in text.columns]
     if absent:
         raise ValueError(f"{path} has no column {absent}")
     columns = []
     for field in schema:
         value = F.col(f"`{field.name}`")
-        known = F.when(~F.trim(value).isin(*missing), value)
+        known = F.when(~value.isin(*missing), value)
         columns.append(known.cast(field.dataType).alias(field.name))
     return text.select(*columns)
 

@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
-from regiotally.functions.normal import (
-    CENTRE_DENOMINATOR,
-    CENTRE_NUMERATOR,
-    FAR_DENOMINATOR,
-    FAR_NUMERATOR,
-    TAIL_DENOMINATOR,
-    TAIL_NUMERATOR,
-)
-from regiotally.functions.pvalues import LARGE_LOG_SPREAD, LARGE_MEAN, LAST_WEIGHT, NEXT_WEIGHT
 from regiotally.workload.tables import SEGMENTS, YEARS
 
+# Fixed values, written out here so that a slip in the library's own tables shows: coefficients of Wichura (1988),
+# algorithm AS 241, and of Royston (1995), algorithm AS R94, constant term first.
+CENTRE_NUMERATOR = [
+    3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
+    4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3,
+]
+CENTRE_DENOMINATOR = [
+    1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
+    2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3,
+]
+TAIL_NUMERATOR = [
+    1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0,
+    1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4,
+]
+TAIL_DENOMINATOR = [
+    1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+    1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9,
+]
+FAR_NUMERATOR = [
+    6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1,
+    2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7,
+]
+FAR_DENOMINATOR = [
+    1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2,
+    7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15,
+]
+LAST_WEIGHT = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
+NEXT_WEIGHT = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
+LARGE_MEAN = [-1.5861, -0.31082, -0.083751, 0.0038915]
+LARGE_LOG_SPREAD = [-0.4803, -0.082676, 0.0030302]
+
 DUMMIES = ["EAST", "EUROPE", "GULF", "SOUTH"]
 FEATURES = [
     "sin_month", "cos_month", "rate_lag1", "rate_lag3", "supply_per_head", "returned_rows", "filled_rows",
@@ -69,12 +91,10 @@ part("places", [], """
   FROM nation JOIN region ON n_regionkey = r_regionkey""")
 part("loaded", ["places"], """
   SELECT year(o_orderdate)::INT AS year, quarter(o_orderdate)::INT AS quarter, month(o_orderdate)::INT AS month,
-         region, r_name, n_name, '0' || replace(o_orderpriority, '-', ' ') AS category, l_returnflag AS kind,
-         (l_returnflag = 'R')::INT AS returned, (l_linestatus = 'F')::INT AS filled, l_quantity::BIGINT AS n
+         region, r_name, n_name, '0' || replace(o_orderpriority, '-', ' ') AS category, l_linenumber || '-' || round(l_tax * 100)::INT AS kind,
+         (l_returnflag = 'R')::INT AS returned, (l_discount >= 0.05::DOUBLE)::INT AS filled, l_quantity::BIGINT AS n
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
     JOIN places ON c_nationkey = n_nationkey""")
-part("source_rows", ["loaded"], """
-  SELECT r_name, n_name, year, month, category, kind, filled, sum(n) AS n FROM loaded GROUP BY ALL""")
 part("rolled", ["loaded"], """
   SELECT year, quarter, month, region, category, kind, returned, filled, sum(n)::BIGINT AS incidents
   FROM loaded WHERE year <> 2001 GROUP BY ALL""")
@@ -89,20 +109,21 @@ part("shipped", ["places"], """
   SELECT year(l_shipdate)::INT AS year, quarter(l_shipdate)::INT AS quarter, r_name,
          sum(l_quantity) AS supply, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS returned_supply
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN places ON s_nationkey = n_nationkey
-  WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '2002-01-01'
-    AND NOT (l_shipdate >= TIMESTAMP '2000-07-01' AND l_shipdate < TIMESTAMP '2001-01-01')
   GROUP BY ALL""")
 part("supplied", ["shipped"], """
   SELECT year, quarter, CASE r_name WHEN 'AFRICA' THEN 'SOUTH' WHEN 'AMERICA' THEN 'WEST' WHEN 'ASIA' THEN 'EAST'
            WHEN 'EUROPE' THEN 'EUROPE' WHEN 'MIDDLE EAST' THEN 'GULF' END AS region,
          sum(supply) AS supply, sum(returned_supply) AS returned_supply
   FROM shipped GROUP BY ALL""")
-part("merged", ["rolled", "population", "supplied"], """
+part("reported", ["supplied"], """
+  SELECT year, quarter, region, CASE WHEN year <> 2000 OR quarter < 3 THEN supply END AS supply,
+         CASE WHEN year <> 2000 OR quarter < 3 THEN returned_supply END AS returned_supply FROM supplied""")
+part("merged", ["rolled", "population", "reported"], """
   SELECT r.*, total_population, credit, debit, pop_automobile, pop_building, pop_furniture, pop_household,
          pop_machinery,
          round_even(coalesce(supply, avg(supply) OVER w), 0)::BIGINT AS supply,
          round_even(coalesce(returned_supply, avg(returned_supply) OVER w), 0)::BIGINT AS returned_supply
-  FROM rolled r LEFT JOIN supplied s USING (year, quarter, region) LEFT JOIN population p USING (year, region)
+  FROM rolled r LEFT JOIN reported s USING (year, quarter, region) LEFT JOIN population p USING (year, region)
   WINDOW w AS (PARTITION BY r.region, r.quarter)""")
 part("cells2", ["merged"], """
   SELECT year, quarter, month, region, sum(incidents)::BIGINT AS incidents, sum(returned)::BIGINT AS returned_rows,
@@ -111,6 +132,8 @@ part("cells2", ["merged"], """
   FROM merged WHERE category = '01 URGENT' GROUP BY ALL""")
 part("cells", ["cells2"], """
   SELECT *, round_even(incidents / total_population * 100000 * 10, 0) / 10 AS rate_100k FROM cells2""")
+part("ranked", ["cells"], f"""
+  SELECT region, avg(rate) AS rate FROM (SELECT region, year, {EXACT_MEAN} AS rate FROM cells GROUP BY ALL) GROUP BY region""")
 part("panel", ["cells2"], f"""
   SELECT * FROM (
     SELECT *, ln(1 + rate_100k) AS log_rate, supply / total_population AS supply_per_head,
@@ -143,19 +166,24 @@ part("all_scale", ["long"], """
   SELECT i, avg(x) AS m, CASE WHEN max(x) = min(x) THEN 1 ELSE stddev_pop(x) END AS s FROM long GROUP BY i""")
 
 
+def elimination(name: str, systems: str) -> str:
+    """Normal equations of the training rows for every system, eliminated column by column."""
+    return f"""
+  SELECT g, p, -1, i, j, v + CASE WHEN i = j AND i > 0 THEN alpha ELSE 0 END
+  FROM {systems} JOIN train_sums ON i <= p AND (j <= p OR j = 99)
+  UNION ALL
+  SELECT e.g, e.p, e.k + 1, e.i, e.j, {ELIMINATE}
+  FROM {name} e JOIN {name} d ON d.g = e.g AND d.i = e.k + 1 AND d.j = e.k + 1
+    JOIN {name} r ON r.g = e.g AND r.i = e.k + 1 AND r.j = e.j
+    JOIN {name} c ON c.g = e.g AND c.i = e.i AND c.j = e.k + 1
+  WHERE e.k < e.p"""
+
+
 def model_parts(order: str) -> None:
     """Feature sets, folds in ``order``, ridge grid and final fits."""
     part("systems", [], "SELECT * FROM (VALUES " + ", ".join(
         f"({g}, {p}, 0.0::DOUBLE)" for g, (_, p) in enumerate(VARIANTS, 1)) + ") AS t(g, p, alpha)")
-    part("solved", ["systems", "train_sums"], f"""
-  SELECT g, p, -1, i, j, v + CASE WHEN i = j AND i > 0 THEN alpha ELSE 0 END
-  FROM systems JOIN train_sums ON i <= p AND (j <= p OR j = 99)
-  UNION ALL
-  SELECT e.g, e.p, e.k + 1, e.i, e.j, {ELIMINATE}
-  FROM solved e JOIN solved d ON d.g = e.g AND d.i = e.k + 1 AND d.j = e.k + 1
-    JOIN solved r ON r.g = e.g AND r.i = e.k + 1 AND r.j = e.j
-    JOIN solved c ON c.g = e.g AND c.i = e.i AND c.j = e.k + 1
-  WHERE e.k < e.p""")
+    part("solved", ["systems", "train_sums"], elimination("solved", "systems"))
     part("variant_fit", ["solved"], "SELECT g, i, v FROM solved WHERE k = p AND j = 99")
     part("variant_test", ["z", "variant_fit"], """
   SELECT g, region, year, month, any_value(y) AS y, sum(z * v) AS fitted FROM z JOIN variant_fit USING (i)
@@ -180,10 +208,11 @@ def model_parts(order: str) -> None:
     part("fold_sums", ["block_sums"], """
   SELECT t.b AS b, i, j, sum(v) AS v FROM (SELECT unnest([1, 2, 3, 4, 5]) AS b) t JOIN block_sums s ON s.b < t.b
   GROUP BY ALL""")
+    # Plain least squares is the limit of a vanishing ridge penalty: the smallest weights where features are collinear.
     part("alphas", [], "SELECT * FROM (VALUES " + ", ".join(
-        f"({g}, {a}::DOUBLE)" for g, a in enumerate([0.0, *ALPHAS])) + ") AS t(g, alpha)")
+        f"({g}, {a}::DOUBLE, {a or 1e-7}::DOUBLE)" for g, a in enumerate([0.0, *ALPHAS])) + ") AS t(g, alpha, penalty)")
     part("folded", ["fold_sums", "alphas", "chosen"], f"""
-  SELECT g, b, -1, i, j, v + CASE WHEN i = j AND i > 0 THEN alpha ELSE 0 END FROM fold_sums, alphas
+  SELECT g, b, -1, i, j, v + CASE WHEN i = j AND i > 0 THEN penalty ELSE 0 END FROM fold_sums, alphas
   UNION ALL
   SELECT e.g, e.b, e.k + 1, e.i, e.j, {ELIMINATE}
   FROM folded e JOIN folded d ON d.g = e.g AND d.b = e.b AND d.i = e.k + 1 AND d.j = e.k + 1
@@ -201,9 +230,8 @@ def model_parts(order: str) -> None:
   GROUP BY g""")
     part("best_alpha", ["grid"], "SELECT g, alpha, cv_rmse FROM grid WHERE g > 0 ORDER BY cv_rmse, g LIMIT 1")
     # One ridge system over the chosen features: substitute into the cells of the training rows.
-    ridge = PARTS["solved"][1].replace("systems JOIN", "ridge_system JOIN").replace("solved", "ridged")
     part("ridge_system", ["chosen", "best_alpha"], "SELECT 1 AS g, p, alpha FROM chosen, best_alpha b")
-    part("ridged", ["ridge_system", "train_sums"], ridge)
+    part("ridged", ["ridge_system", "train_sums"], elimination("ridged", "ridge_system"))
     part("ridge_fit", ["ridged"], "SELECT i, v FROM ridged WHERE k = p AND j = 99")
     part("ols_test", ["variant_test", "chosen"], """
   SELECT region, year, month, y, fitted FROM variant_test WHERE g = (SELECT g FROM chosen)""")
@@ -272,7 +300,7 @@ def model_parts(order: str) -> None:
   FROM inverse e JOIN inverse d ON d.i = e.k + 1 AND d.j = e.k + 1 JOIN inverse r ON r.i = e.k + 1 AND r.j = e.j
     JOIN inverse c ON c.i = e.i AND c.j = e.k + 1
   WHERE e.k < e.p""")
-    part("forecast", ["ridge_test"], forecast_sql("ridge_test"))
+    part("forecast", ["tests", "winner"], forecast_sql("(SELECT * FROM tests WHERE m = (SELECT m FROM winner))"))
 
 
 def forecast_sql(source: str) -> str:
@@ -286,8 +314,8 @@ def forecast_sql(source: str) -> str:
 
 
 def simpson_sql(density: str, upper: str, steps: int = 2000) -> str:
-    """Integral from 0 to ``upper`` of a density in x."""
-    value = density.replace("x", f"({upper} * q / {steps})")
+    """Integral from 0 to ``upper`` of a density with a place {x}."""
+    value = density.format(x=f"({upper} * q / {steps})")
     weight = f"CASE WHEN q IN (0, {steps}) THEN 1 WHEN q % 2 = 1 THEN 4 ELSE 2 END"
     return f"({upper} / {3 * steps} * (SELECT sum({weight} * {value}) FROM range({steps + 1}) nodes(q)))"
 
@@ -378,18 +406,32 @@ def oracles() -> dict[str, str]:
             SELECT region, n_name, count(*)::BIGINT AS customers,
                    {', '.join(f"region = '{v}' AS \"region_{v}\"" for v in DUMMIES)}
             FROM customer JOIN places ON c_nationkey = n_nationkey GROUP BY ALL"""),
-        "null_profile": query(["rolled", "supplied"], """
+        "null_profile": query(["rolled", "reported"], """
             SELECT unnest(['supply', 'returned_supply']) AS column_name, count(*)::BIGINT AS nulls
-            FROM rolled LEFT JOIN supplied USING (year, quarter, region) WHERE supply IS NULL"""),
+            FROM rolled LEFT JOIN reported USING (year, quarter, region) WHERE supply IS NULL"""),
         "coverage": query(["supplied"], """
             SELECT year, quarter, count(*)::BIGINT AS n_regions FROM supplied GROUP BY ALL"""),
         "rowcount_matrix": query(["rolled"], f"""
             SELECT region, {', '.join(f'count(*) FILTER (year = {y})::BIGINT AS y{y}' for y in YEARS)}
             FROM rolled GROUP BY region"""),
         "region_list": query(["rolled"], "SELECT DISTINCT region FROM rolled"),
-        "load_counts": query(["source_rows"], """
+        "load_counts": query(["loaded"], """
             SELECT count(*) FILTER (year <> 2001)::BIGINT AS kept, sum(n) FILTER (year <> 2001)::BIGINT AS counted,
-                   count(*)::BIGINT AS loaded FROM source_rows"""),
+                   count(*)::BIGINT AS loaded FROM loaded"""),
+        "join_nulls": query(["rolled", "reported", "merged", "population"], """
+            SELECT (SELECT count(*) FROM rolled)::BIGINT AS rows,
+                   count(*) FILTER (s.supply IS NULL)::BIGINT AS joined_supply,
+                   count(*) FILTER (s.returned_supply IS NULL)::BIGINT AS joined_returned_supply,
+                   (SELECT count(*) FROM merged WHERE supply IS NULL)::BIGINT AS filled_supply,
+                   (SELECT count(*) FROM merged WHERE returned_supply IS NULL)::BIGINT AS filled_returned_supply,
+                   count(*) FILTER (p.total_population IS NULL)::BIGINT AS peopled_total_population
+            FROM rolled LEFT JOIN reported s USING (year, quarter, region) LEFT JOIN population p USING (year, region)"""),
+        "final_nulls": query(["merged"], """
+            SELECT column_name, nulls FROM (
+              SELECT unnest(['supply', 'returned_supply', 'total_population', 'credit', 'debit', 'incidents']) AS column_name,
+                     unnest([count(*) - count(supply), count(*) - count(returned_supply), count(*) - count(total_population),
+                             count(*) - count(credit), count(*) - count(debit), count(*) - count(incidents)]) AS nulls
+              FROM merged) WHERE nulls > 0"""),
         "sample_rows": query(["rolled", "population"], """
             SELECT r.*, total_population FROM rolled r LEFT JOIN population USING (year, region)
             ORDER BY year, quarter, month, region, category, kind, returned, filled LIMIT 3"""),
@@ -482,18 +524,20 @@ def oracles() -> dict[str, str]:
                   FROM cells GROUP BY region, year) GROUP BY region""")
     for name, value in [("histogram30", "incidents::DOUBLE"), ("histogram30_log", "ln(1 + incidents)")]:
         found[name] = query(["cells"], f"""
-            SELECT bin::INT AS bin, {r('lo + bin * (hi - lo) / 30')} AS from_value,
-                   {r('lo + (bin + 1) * (hi - lo) / 30')} AS to_value, coalesce(n, 0)::BIGINT AS n
-            FROM (SELECT unnest(range(30)) AS bin, min({value}) AS lo, max({value}) AS hi FROM cells)
-              LEFT JOIN (SELECT least(floor(({value} - lo) * 30 / (hi - lo)), 29)::BIGINT AS bin, count(*) AS n
-                         FROM cells, (SELECT min({value}) AS lo, max({value}) AS hi FROM cells) GROUP BY ALL) USING (bin)""")
-    found["density_grid"] = query(["cells"], f"""
-            SELECT point::INT AS point, {r('spot', 9)} AS x,
-                   {r('sum(exp(-0.5 * ((spot - incidents) / h) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi()))', 9)}
-                     AS density
-            FROM (SELECT point, h, n, lo + point * (hi - lo) / 199 AS spot
-                  FROM (SELECT unnest(range(200)) AS point, min(incidents) AS lo, max(incidents) AS hi, count(*) AS n,
-                               stddev_samp(incidents) * count(*) ** -0.2 AS h FROM cells)), cells
+            SELECT bin::INT AS bin, {r('any_value(a)')} AS from_value, {r('any_value(b)')} AS to_value, count(x)::BIGINT AS n
+            FROM (SELECT bin, lo + bin * step AS a, CASE WHEN bin = 29 THEN hi ELSE lo + (bin + 1) * step END AS b
+                  FROM (SELECT unnest(range(30)) AS bin, min({value}) AS lo, max({value}) AS hi,
+                               (max({value}) - min({value})) / 30 AS step FROM cells))
+              LEFT JOIN (SELECT {value} AS x FROM cells) ON x >= a AND (x < b OR bin = 29 AND x <= b)
+            GROUP BY bin""")
+    for name, value in [("density_grid", "incidents::DOUBLE"), ("density_grid_log", "ln(1 + incidents)")]:
+        kernel = "sum(exp(-0.5 * ((spot - value) / h) ** 2)) / (any_value(h) * sqrt(2 * pi()))"
+        found[name] = query(["cells"], f"""
+            SELECT point::INT AS point, {r('spot', 9)} AS x, {r(f'{kernel} / any_value(n)', 9)} AS density,
+                   {r(f'{kernel} * any_value(hi - lo) / 30', 9)} AS curve
+            FROM (SELECT point, h, n, lo, hi, lo + point * (hi - lo) / 199 AS spot
+                  FROM (SELECT unnest(range(200)) AS point, min({value}) AS lo, max({value}) AS hi, count(*) AS n,
+                               stddev_samp({value}) * count(*) ** -0.2 AS h FROM cells)), (SELECT {value} AS value FROM cells)
             GROUP BY point, spot""")
     found["trend_line"] = query(["cells"], f"""
             SELECT point::INT AS point, {r('spot')} AS x, {r('c + m * spot')} AS y
@@ -506,18 +550,14 @@ def oracles() -> dict[str, str]:
     found["corr_matrix"] = query(["cells"], " UNION ALL ".join(
         f"SELECT '{names[a]}' AS row_name, '{names[b]}' AS column_name, CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 0 THEN {r(f'corr({a}, {b})')} END AS r FROM cells"
         for a in names for b in names))
-    found["findings_summary"] = query(["rolled", "cells"], f"""
+    found["findings_summary"] = query(["rolled", "cells", "ranked"], f"""
             SELECT (SELECT {LABEL.format('month')} FROM rolled GROUP BY month ORDER BY sum(incidents) DESC, month LIMIT 1)
                      AS peak_month,
                    (SELECT region FROM ranked ORDER BY rate DESC, region LIMIT 1) AS top_region,
                    (SELECT {r('rate')} FROM ranked ORDER BY rate DESC, region LIMIT 1) AS top_rate,
                    {r('corr(supply, incidents)')} AS supply_r, {r('skewness(incidents)')} AS skew_raw,
                    {r('skewness(ln(1 + incidents))')} AS skew_log
-            FROM cells""").replace("\n            SELECT (SELECT", f""",
-            ranked AS (SELECT region, avg(rate) AS rate
-                       FROM (SELECT region, year, {EXACT_MEAN} AS rate FROM cells GROUP BY ALL)
-                       GROUP BY region)
-            SELECT (SELECT""", 1)
+            FROM cells""")
 
     # Models
     variants = ", ".join(f"({g}, '{n}', {p})" for g, (n, p) in enumerate(VARIANTS, 1))
@@ -528,18 +568,7 @@ def oracles() -> dict[str, str]:
     grid = f"""
             SELECT 'ridge' AS penalty, alpha, {r('cv_rmse')} AS cv_rmse, g = (SELECT g FROM best_alpha) AS chosen
             FROM grid WHERE g > 0"""
-    found["ridge_grid"] = query(["grid", "best_alpha"], grid)
-    found["linear_ridge_errors"] = query(["ols_test", "ridge_test", "grid", "best_alpha"], " UNION ALL ".join(
-        f"""
-            SELECT {name} AS model, '{kind}' AS kind, any_value(alpha) AS alpha, {r('sqrt(avg((y - fitted) ** 2))')} AS rmse,
-                   {r('avg(abs(y - fitted))')} AS mae, {r('sqrt(avg((exp(y) - exp(fitted)) ** 2))', 3)} AS rmse_rate FROM {source}"""
-        for name, kind, source in [
-            ("'Linear Regression'", "ols", "ols_test, (SELECT alpha, cv_rmse FROM grid WHERE g = 0)"),
-            ("printf('Ridge (a=%g)', any_value(alpha))", "ridge", "ridge_test, best_alpha"),
-        ]))
     feature = "CASE i " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(FEATURES, 1)) + " END"
-    found["ridge_coefficients"] = query(["ridge_fit"], f"""
-            SELECT {feature} AS feature, {r('v')} AS ridge FROM ridge_fit WHERE i > 0""")
     found["residuals"] = query(["ols_test"], f"""
             SELECT region, year, month, {r('fitted')} AS fitted, {r('y - fitted')} AS residual FROM ols_test""")
     found["qq_positions"] = query(["scores"], f"""
@@ -548,13 +577,6 @@ def oracles() -> dict[str, str]:
     found["qq_line"] = query(["scores"], f"""
             SELECT {r('regr_slope(e, theoretical)')} AS slope, {r('regr_intercept(e, theoretical)')} AS intercept,
                    {r('corr(e, theoretical)')} AS r FROM scores""")
-    found["shapiro_w"] = query(["weights"], f"""
-            SELECT count(*)::BIGINT AS n, {r('sum(a * e) ** 2 / (var_pop(e) * count(*))')} AS w FROM weights""")
-    found["paired_t_stat"] = query(["ols_test", "ridge_test", "best_alpha"], f"""
-            SELECT 'Linear Regression' AS model_a, printf('Ridge (a=%g)', (SELECT alpha FROM best_alpha)) AS model_b,
-                   count(*)::BIGINT AS n, {r('avg(d) / (stddev_samp(d) / sqrt(count(*)))', 4)} AS t_stat
-            FROM (SELECT abs(o.y - o.fitted) - abs(g.y - g.fitted) AS d
-                  FROM ols_test o JOIN ridge_test g USING (region, year, month))""")
     shown = "region, year, month, month_label, actual, predicted, error, pct_error, abs_error"
     found["forecast_rows"] = query(["forecast"], f"SELECT {shown} FROM forecast")
     found["best5"] = query(["forecast"], f"""
@@ -573,7 +595,7 @@ def oracles() -> dict[str, str]:
     found["leaderboard"] = query(["tests", "winner"], f"""
             SELECT any_value(model) AS model, any_value(kind) AS kind, any_value(alpha) AS alpha,
                    {r('sqrt(avg((y - fitted) ** 2))')} AS rmse, {r('avg(abs(y - fitted))')} AS mae,
-                   {r('sqrt(avg((exp(y) - exp(fitted)) ** 2))', 3)} AS rmse_rate, {r('any_value(cv_rmse)')} AS cv_rmse,
+                   {r('sqrt(avg((exp(y) - exp(fitted)) ** 2))', 2)} AS rmse_rate, {r('any_value(cv_rmse)', 4)} AS cv_rmse,
                    m = (SELECT m FROM winner) AS chosen
             FROM tests GROUP BY m""")
     found["coefficients"] = query(["ridge_fit", "lasso_fit", "best_lasso"], f"""
@@ -581,8 +603,8 @@ def oracles() -> dict[str, str]:
             FROM ridge_fit f JOIN lasso_fit l USING (i)
             WHERE i > 0 AND l.b = 0 AND l.g = (SELECT g FROM best_lasso)""")
     student = (
-        "exp(lgamma(n / 2) - lgamma((n - 1) / 2)) / sqrt((n - 1) * pi()) * (1 + x * x / (n - 1)) ** (-n / 2)"
-    ).replace("exp", "EXP")
+        "exp(lgamma(n / 2) - lgamma((n - 1) / 2)) / sqrt((n - 1) * pi()) * (1 + {x} * {x} / (n - 1)) ** (-n / 2)"
+    )
     found["model_significance"] = query(["tests"], f"""
             SELECT model_a, model_b, n, {r('t')} AS t_stat, {r('p')} AS p_value, p < 0.05 AS significant
             FROM (SELECT *, 1 - 2 * {simpson_sql(student, 'abs(t)')} AS p
@@ -593,7 +615,7 @@ def oracles() -> dict[str, str]:
     found["shapiro_test"] = query(["weights"], f"""
             SELECT n, {r('w')} AS w, {r('p')} AS p_value, CASE WHEN p > 0.05 THEN 'not rejected' ELSE 'rejected' END
                      AS normality
-            FROM (SELECT *, 0.5 - {simpson_sql('(EXP(-0.5 * x * x) / sqrt(2 * pi()))', 'score')} AS p
+            FROM (SELECT *, 0.5 - {simpson_sql('(exp(-0.5 * {x} * {x}) / sqrt(2 * pi()))', 'score')} AS p
                   FROM (SELECT *, (ln(1 - w) - {polynomial_sql(LARGE_MEAN, 'ln(n)')})
                                     / exp({polynomial_sql(LARGE_LOG_SPREAD, 'ln(n)')}) AS score
                         FROM (SELECT count(*)::BIGINT AS n, sum(a * e) ** 2 / (var_pop(e) * count(*)) AS w FROM weights)))""")

@@ -17,8 +17,7 @@ from regiotally.operators.recode import drop_unmapped, lookup_strict, recode_by_
 from regiotally.operators.reshape import by_listed_order, distinct_sorted, grouped_total, pivot_count
 from regiotally.operators.scaling import standardize
 from regiotally.plans import explore, forecast
-from regiotally.plans.prepare import stage_counts
-from regiotally.session import materialize
+from regiotally.plans.prepare import join_profile, stage_counts
 from regiotally.workload import tables as t
 
 TRADE, YEARS = t.TRADE, t.YEARS
@@ -122,9 +121,9 @@ def supply_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def append_years(spark: SparkSession, d: str) -> DataFrame:
-    """Two yearly tables, the earlier one without the second measure; each reads its own years only."""
-    early = t.supply_rows(spark, d, 1995, 1997).drop("returned_supply")
-    late = t.supply_rows(spark, d, 1998, 2001)
+    """Two tables, the earlier one without the second measure; together they have all years."""
+    rows, later = t.supply_rows(spark, d), F.year("quarter_ending") >= 1998
+    early, late = rows.filter(~later).drop("returned_supply"), rows.filter(later)
     stacked = append([early, late]).withColumn("year", F.year("quarter_ending"))
     return stacked.groupBy("year", "region").agg(
         F.sum("supply").alias("supply"), F.sum("returned_supply").alias("returned_supply")
@@ -160,7 +159,7 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rowcount_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return pivot_count(t.rolled(spark, d), ["region"], "year", YEARS, "y")
+    return pivot_count(t.rolled(spark, d), ["region"], "year", t.years(spark, d), "y")
 
 
 def region_list(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +167,17 @@ def region_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def load_counts(spark: SparkSession, d: str) -> DataFrame:
-    return stage_counts(t.clean(spark, d), t.incident_rows(spark, d), TRADE)
+    return stage_counts(t.incident_rows(spark, d), TRADE, "reporting_region", "source_rows")
+
+
+def join_nulls(spark: SparkSession, d: str) -> DataFrame:
+    """Nulls after each join of the merged table."""
+    return join_profile(t.clean(spark, d), t.population(spark, d), t.reported_supply(spark, d), TRADE)
+
+
+def final_nulls(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of the merged table that still hold nulls."""
+    return checks.null_counts(t.merged(spark, d))
 
 
 def sample_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -181,11 +190,11 @@ def sample_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def population_by_year(spark: SparkSession, d: str) -> DataFrame:
-    return explore.population_by_year(t.with_population(spark, d), TRADE, YEARS)
+    return explore.population_by_year(t.with_population(spark, d), TRADE, t.years(spark, d))
 
 
 def category_by_year(spark: SparkSession, d: str) -> DataFrame:
-    return explore.category_by_year(t.clean(spark, d), TRADE, YEARS)
+    return explore.category_by_year(t.clean(spark, d), TRADE, t.years(spark, d))
 
 
 def involvement_share(spark: SparkSession, d: str) -> DataFrame:
@@ -215,7 +224,7 @@ def category_month_matrix(spark: SparkSession, d: str) -> DataFrame:
 def event_hour_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Events per hour of the day, one column per type."""
     events = t.table(spark, d, "events").select(F.hour("ts").alias("hour"), "event_type")
-    return pivot_count(events, ["hour"], "event_type", ["click", "error", "purchase", "signup", "view"])
+    return pivot_count(events, ["hour"], "event_type")
 
 
 def event_daily_lags(spark: SparkSession, d: str) -> DataFrame:
@@ -227,7 +236,7 @@ def event_daily_lags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, d: str, digits: int = 1) -> DataFrame:
-    return materialize(explore.target_cells(t.merged(spark, d), TRADE, digits), "cells")
+    return explore.target_cells(t.merged(spark, d), TRADE, digits)
 
 
 def assault_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -235,7 +244,7 @@ def assault_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assault_region_year(spark: SparkSession, d: str) -> DataFrame:
-    wide = explore.target_by_region_year(cells(spark, d), TRADE, YEARS)
+    wide = explore.target_by_region_year(cells(spark, d), TRADE, t.years(spark, d))
     return rounded(wide, ["mean_rate"])
 
 
@@ -261,7 +270,12 @@ def histogram30_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def density_grid(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.density(cells(spark, d), "incidents"), ["x", "density"], 9)
+    return rounded(stats.density(cells(spark, d), "incidents", bins=30), ["x", "density", "curve"], 9)
+
+
+def density_grid_log(spark: SparkSession, d: str) -> DataFrame:
+    logs = cells(spark, d).select(F.log1p("incidents").alias("log_incidents"))
+    return rounded(stats.density(logs, "log_incidents", bins=30), ["x", "density", "curve"], 9)
 
 
 def trend_line(spark: SparkSession, d: str) -> DataFrame:
@@ -280,9 +294,8 @@ def corr_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def findings_summary(spark: SparkSession, d: str) -> DataFrame:
-    merged = materialize(t.merged(spark, d), "merged")
-    chosen = materialize(explore.target_cells(merged, TRADE), "cells")
-    row = explore.findings(merged, chosen, TRADE, YEARS)
+    merged = t.merged(spark, d)
+    row = explore.findings(merged, explore.target_cells(merged, TRADE), TRADE, t.years(spark, d))
     return rounded(row, ["top_rate", "supply_r", "skew_raw", "skew_log"])
 
 
@@ -316,7 +329,7 @@ def calendar_lags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
-    return materialize(forecast.panel_rows(t.merged(spark, d), TRADE), "panel")
+    return forecast.panel_rows(t.merged(spark, d), TRADE)
 
 
 def train_test_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -351,11 +364,6 @@ def feature_ablation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(study(spark, d).variants(), ["rmse", "mae"])
 
 
-def ridge_grid(spark: SparkSession, d: str) -> DataFrame:
-    grid = study(spark, d).alpha_grid().filter(F.col("penalty") == "ridge")
-    return rounded(grid, ["cv_rmse"])
-
-
 def ridge_grid_time_order(spark: SparkSession, d: str) -> DataFrame:
     """The same grid with folds in true time order."""
     ordered = forecast.Forecast.of(t.merged(spark, d), TRADE, TRAIN, TEST, time_order=True)
@@ -367,23 +375,14 @@ def alpha_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def leaderboard(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rounded(study(spark, d).leaderboard(), ["rmse", "mae", "cv_rmse"]), ["rmse_rate"], 3)
-
-
-def linear_ridge_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Leaderboard rows of the two models that have a closed form."""
-    rows = study(spark, d).leaderboard().filter(F.col("kind") != "lasso").drop("chosen", "cv_rmse")
-    return rounded(rounded(rows, ["rmse", "mae"]), ["rmse_rate"], 3)
+    table = rounded(study(spark, d).leaderboard(), ["rmse", "mae"])
+    return rounded(rounded(table, ["cv_rmse"], 4), ["rmse_rate"], 2)
 
 
 def coefficients(spark: SparkSession, d: str) -> DataFrame:
     return rounded(study(spark, d).coefficients(), ["ridge", "lasso"])
 
 
-def ridge_coefficients(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(study(spark, d).coefficients().select("feature", "ridge"), ["ridge"])
-
-
 def residuals(spark: SparkSession, d: str) -> DataFrame:
     return rounded(study(spark, d).residuals(), ["fitted", "residual"])
 
@@ -396,31 +395,21 @@ def qq_line(spark: SparkSession, d: str) -> DataFrame:
     return rounded(study(spark, d).quantile_fit(), ["slope", "intercept", "r"])
 
 
-def shapiro_w(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(study(spark, d).normality().select("n", "w"), ["w"])
-
-
 def shapiro_test(spark: SparkSession, d: str) -> DataFrame:
     return rounded(study(spark, d).normality(), ["w", "p_value"])
 
 
-def paired_t_stat(spark: SparkSession, d: str) -> DataFrame:
-    """Plain against ridge errors: the pair with a closed form."""
-    models = study(spark, d).paired_statistics()
-    both = models.filter(F.col("model_a").startswith("Linear") & F.col("model_b").startswith("Ridge"))
-    return rounded(both, ["t_stat"], 4)
-
-
 def model_significance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(study(spark, d).significance(), ["t_stat", "p_value"])
 
 
-def ridge_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return study(spark, d).predictions("ridge")
+def chosen_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """Forecast of the model with the smallest validation error."""
+    return study(spark, d).predictions()
 
 
 def forecast_rows(spark: SparkSession, d: str) -> DataFrame:
-    return ridge_forecast(spark, d).drop("actual_exact", "predicted_exact")
+    return chosen_forecast(spark, d).drop("actual_exact", "predicted_exact")
 
 
 def forecast_best_model(spark: SparkSession, d: str) -> DataFrame:
@@ -428,34 +417,34 @@ def forecast_best_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forecast_by_region(spark: SparkSession, d: str) -> DataFrame:
-    report = forecast.report_by_region(ridge_forecast(spark, d), "region")
+    report = forecast.report_by_region(chosen_forecast(spark, d), "region")
     return rounded(report, ["avg_actual", "avg_predicted", "rmse", "mean_pct_error"], 3)
 
 
 def overall_error(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(forecast.overall_errors(ridge_forecast(spark, d)), ["rmse", "mae"], 2)
+    return rounded(forecast.overall_errors(chosen_forecast(spark, d)), ["rmse", "mae"], 2)
 
 
 def best5(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.closest(ridge_forecast(spark, d), TRADE).drop("actual_exact", "predicted_exact")
+    return forecast.closest(chosen_forecast(spark, d), TRADE).drop("actual_exact", "predicted_exact")
 
 
 def worst5(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.farthest(ridge_forecast(spark, d), TRADE).drop("actual_exact", "predicted_exact")
+    return forecast.farthest(chosen_forecast(spark, d), TRADE).drop("actual_exact", "predicted_exact")
 
 
 QUERIES = [
     region_recode, strict_flag_recode, lenient_recode_sum, table_recode, not_equal_keeps_null,
     quarter_month_labels, quarter_end_quarters, label_strip, period_labels,
     population_features, supply_rollup, append_years, merged_table, imputed_supply, onehot_region,
-    null_profile, coverage, rowcount_matrix, region_list, load_counts, sample_rows,
+    null_profile, coverage, rowcount_matrix, region_list, load_counts, join_nulls, final_nulls, sample_rows,
     population_by_year, category_by_year, involvement_share, monthly_total_peak, monthly_rate,
     monthly_rate_by_year, monthly_trend, category_month_matrix, event_hour_matrix, event_daily_lags,
     assault_cells, assault_region_year, assault_month_region, supply_trend, skewness_raw_log,
-    histogram30, histogram30_log, density_grid, trend_line, corr_pair, corr_matrix, findings_summary,
+    histogram30, histogram30_log, density_grid, density_grid_log, trend_line, corr_pair, corr_matrix, findings_summary,
     listed_regions, panel_features, lag_features, calendar_lags, train_test_rows,
-    standardized, vif, vif_chosen, feature_ablation, ridge_grid, ridge_grid_time_order, alpha_grid,
-    leaderboard, linear_ridge_errors, coefficients, ridge_coefficients, residuals, qq_positions, qq_line,
-    shapiro_w, shapiro_test, paired_t_stat, model_significance, forecast_rows, forecast_best_model,
+    standardized, vif, vif_chosen, feature_ablation, ridge_grid_time_order, alpha_grid,
+    leaderboard, coefficients, residuals, qq_positions, qq_line,
+    shapiro_test, model_significance, forecast_rows, forecast_best_model,
     forecast_by_region, overall_error, best5, worst5,
 ]

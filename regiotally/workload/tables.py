@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from regiotally.operators.combine import attach
 from regiotally.operators.recode import region_from_area
-from regiotally.operators.reshape import Split
+from regiotally.operators.reshape import Split, levels_of
 from regiotally.plans.prepare import clean_incidents, population_features, prepare, roll_up
 from regiotally.plans.prepare import supply_by_quarter as quarterly
 from regiotally.plans.spec import Incidents, Panel, RegionRecode, Study
-from regiotally.session import materialize_together
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 REGIONS = ("SOUTH", "WEST", "EAST", "EUROPE", "GULF")
@@ -72,14 +71,19 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name")
 
 
-def incident_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantity ordered, by nation, month, priority and flags.
+def incident_rows(spark: SparkSession, sf_dir: str, without_year: int | None = None) -> DataFrame:
+    """Quantity ordered and source rows, by nation, month, priority, kind and flags.
 
-    The date parts are taken per order, the lines are counted by nation key, and the names are attached to
+    The kind of a line is its number in the order and its tax, the flags are whether it came back and whether it was
+    sold at half the usual discount or more: three things that do not depend on each other. The date parts are taken per order, the lines are counted by nation key, and the names are attached to
     the counts: the lines themselves carry two flags and a quantity through one join. Both sides of that
     join grow with the data, so it is asked to sort both: hot orders are then split by adaptive execution.
     """
-    orders = table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders")
+    if without_year:
+        # on the date itself, so that the scan can skip the year; orders without a date stay
+        orders = orders.filter(F.col("o_orderdate").isNull() | ~within("o_orderdate", without_year, without_year))
+    orders = orders.select(
         "o_orderkey",
         "o_custkey",
         F.year("o_orderdate").alias("year"),
@@ -87,13 +91,16 @@ def incident_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderpriority",
     )
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_quantity")
+    kind = F.concat_ws("-", F.col("l_linenumber").cast("string"), F.round(F.col("l_tax") * 100).cast("int").cast("string"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", kind.alias("kind"), "l_returnflag", F.when(F.col("l_discount") >= 0.05, "F").otherwise("O").alias("reduced"), "l_quantity"
+    )
     placed = orders.join(customer, orders.o_custkey == customer.c_custkey)
     counted = (
         lines.hint("merge")
         .join(placed, lines.l_orderkey == placed.o_orderkey)
-        .groupBy("c_nationkey", "year", "month", "o_orderpriority", "l_returnflag", "l_linestatus")
-        .agg(F.sum(F.col("l_quantity").cast("long")).alias("incidents"))
+        .groupBy("c_nationkey", "year", "month", "o_orderpriority", "kind", "l_returnflag", "reduced")
+        .agg(F.sum(F.col("l_quantity").cast("long")).alias("incidents"), F.count(F.lit(1)).alias("source_rows"))
     )
     named = counted.join(places(spark, sf_dir), counted.c_nationkey == F.col("n_nationkey"))
     return named.select(
@@ -102,10 +109,11 @@ def incident_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "year",
         "month",
         F.concat(F.lit("0"), F.replace("o_orderpriority", F.lit("-"), F.lit(" "))).alias("category"),
-        F.col("l_returnflag").alias("kind"),
+        "kind",
         F.col("l_returnflag").alias("returned"),
-        F.col("l_linestatus").alias("filled"),
+        F.col("reduced").alias("filled"),
         "incidents",
+        "source_rows",
     )
 
 
@@ -125,18 +133,15 @@ def population_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("year", region_of("r_name", "n_name").alias("region"), "standing", "segment", "Population")
 
 
-def supply_rows(spark: SparkSession, sf_dir: str, since: int = 1995, until: int = 2001) -> DataFrame:
-    """Quantity shipped by quarter and region of the supplier; the second half of 2000 is left out.
+def supply_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity shipped by quarter and region of the supplier.
 
     Lines are counted per supplier before the join, so that a supplier with very many lines is one row
     per quarter by the time it is shuffled.
     """
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_returnflag")
-    kept = lines.filter(within("l_shipdate", since, until))
-    start, end = moment("2000-07-01"), moment("2001-01-01")
-    kept = kept.filter((F.col("l_shipdate") < start) | (F.col("l_shipdate") >= end))
     quantity = F.col("l_quantity").cast("long")
-    per_supplier = kept.groupBy(
+    per_supplier = lines.groupBy(
         "l_suppkey", F.year("l_shipdate").alias("_year"), F.quarter("l_shipdate").alias("_quarter")
     ).agg(
         F.sum(quantity).alias("supply"),
@@ -172,7 +177,8 @@ def region_of(region: str, area: str) -> Column:
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_incidents(incident_rows(spark, sf_dir), TRADE, "reporting_region", "area")
+    rows = incident_rows(spark, sf_dir, TRADE.partial_year)
+    return clean_incidents(rows, TRADE, "reporting_region", "area", ["source_rows"])
 
 
 def rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,17 +193,27 @@ def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quarterly([supply_rows(spark, sf_dir)], TRADE, "quarter_ending")
 
 
+def reported_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supply as a source with a gap tells it: nothing is known of the last two quarters of 2000."""
+    unknown = (F.col("year") == 2000) & (F.col("quarter") >= 3)
+    return supply(spark, sf_dir).withColumns({m: F.when(~unknown, F.col(m)) for m in TRADE.measures})
+
+
 def with_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents by every dimension with population, for summaries that need no supply."""
-    counts, people = materialize_together(incidents=rolled(spark, sf_dir), population=population(spark, sf_dir))
-    return attach(counts, people, ["year", "region"])
+    return attach(rolled(spark, sf_dir), population(spark, sf_dir), ["year", "region"])
 
 
 def with_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents by every dimension with supply, gaps left open."""
-    counts, quarters = materialize_together(incidents=rolled(spark, sf_dir), supply=supply(spark, sf_dir))
-    return attach(counts, quarters, TRADE.incidents.cell)
+    return attach(rolled(spark, sf_dir), reported_supply(spark, sf_dir), TRADE.incidents.cell)
 
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare(clean(spark, sf_dir), population(spark, sf_dir), supply(spark, sf_dir), TRADE)
+    return prepare(clean(spark, sf_dir), population(spark, sf_dir), reported_supply(spark, sf_dir), TRADE)
+
+
+def years(spark: SparkSession, sf_dir: str) -> tuple[int, ...]:
+    """The years that incidents are kept of, found in the orders."""
+    orders = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"))
+    return levels_of(orders.filter(F.col("year") != TRADE.partial_year), "year")

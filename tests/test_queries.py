@@ -9,8 +9,8 @@ FOLDER = "/root/testdata/sf0.01"
 CHECKED = [
     "region_recode", "lenient_recode_sum", "not_equal_keeps_null", "population_features", "append_years",
     "merged_table", "imputed_supply", "null_profile", "involvement_share", "monthly_total_peak", "assault_region_year",
-    "histogram30", "corr_matrix", "panel_features", "calendar_lags", "vif", "feature_ablation", "ridge_grid",
-    "shapiro_w", "forecast_by_region",
+    "histogram30", "corr_matrix", "panel_features", "calendar_lags", "vif", "feature_ablation", "alpha_grid",
+    "shapiro_test", "forecast_by_region", "load_counts", "join_nulls", "density_grid_log", "append_years",
 ]
 
 

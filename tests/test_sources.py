@@ -26,6 +26,18 @@ def test_headers_are_trimmed_and_columns_found_by_name(spark, tmp_path):
     assert got == [(datetime.date(2024, 3, 31), "Darwin", 1.5, 3), (None, None, None, None)]
 
 
+def test_another_header_fails_and_line_breaks_are_kept(spark, tmp_path):
+    part = StructType([SCHEMA["Region"], SCHEMA["Cask"]])
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.csv").write_text("Region,Cask\nDarwin,1\n")
+    (tmp_path / "two" / "b.csv").write_text("Cask,Region\n2,Katherine\n")
+    with pytest.raises(Exception, match="does not conform"):
+        read_delimited(spark, str(tmp_path / "two"), part).collect()
+    (tmp_path / "broken.csv").write_text('Region,Cask\n"Alice\nSprings",4\n#NA,5\n')
+    got = read_delimited(spark, str(tmp_path / "broken.csv"), part, multi_line=True).collect()
+    assert [tuple(r) for r in got] == [("Alice\nSprings", 4), (None, 5)]
+
+
 def test_missing_column_and_bad_value_fail(spark, tmp_path):
     (tmp_path / "short.csv").write_text("Region\nDarwin\n")
     with pytest.raises(ValueError, match="no column"):

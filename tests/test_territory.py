@@ -82,7 +82,6 @@ def merged(sources):
     incidents, population, supply = sources
     clean = prepare.clean_incidents(incidents, STUDY, "Reporting Region", "Statistical Area 2", ["As At"])
     people = prepare.population_features(population, STUDY, YEARS)
-    assert prepare.supply_measures(supply, STUDY) == ["Total PAC", "Beer PAC"]
     return prepare.prepare(clean, people, prepare.supply_by_quarter(supply, STUDY), STUDY)
 
 
@@ -147,13 +146,29 @@ def test_cell_without_any_supply_fails(sources):
 
 def test_stage_counts(sources):
     incidents = sources[0]
-    clean = prepare.clean_incidents(incidents, STUDY, "Reporting Region", "Statistical Area 2", ["As At"])
-    row = prepare.stage_counts(clean, incidents, STUDY).first()
+    row = prepare.stage_counts(incidents, STUDY, "Reporting Region").first()
     rows = incident_table()
     kept = [r for r in rows if r[0] != "Unknown" and r[2] != 2023]
     assert (row["loaded"], row["kept"], row["counted"]) == (len(rows), len(kept), sum(r[-1] for r in kept))
 
 
+def test_a_row_without_a_region_fails(spark, sources):
+    incidents, population, supply = sources
+    lost = spark.createDataFrame([(None, None, *incidents.filter("Year = 2024").first()[2:])], incidents.schema)
+    clean = prepare.clean_incidents(incidents.unionByName(lost), STUDY, "Reporting Region", "Statistical Area 2", ["As At"])
+    people = prepare.population_features(population, STUDY, YEARS)
+    with pytest.raises(PySparkException, match="no value to impute"):
+        prepare.prepare(clean, people, prepare.supply_by_quarter(supply, STUDY), STUDY).collect()
+
+
+def test_nulls_after_each_join(sources):
+    incidents, population, supply = sources
+    clean = prepare.clean_incidents(incidents, STUDY, "Reporting Region", "Statistical Area 2", ["As At"])
+    people = prepare.population_features(population, STUDY, YEARS)
+    row = prepare.join_profile(clean, people, prepare.supply_by_quarter(supply, STUDY), STUDY).first().asDict()
+    assert row["joined_Total PAC"] > 0 and row["filled_Total PAC"] == 0 and row["peopled_Total_population"] == 0
+
+
 def test_monthly_summaries(merged, expected):
     months = explore.monthly_totals(merged, STUDY).toPandas()
     want = expected.groupby("Month number")["Number of offences"].sum()
@@ -298,7 +313,7 @@ def test_diagnostics_run_on_the_chosen_features(study):
 
 
 def test_time_order_and_fold_scaling_are_options(merged, study):
-    ordered = forecast.Forecast(study.panel, STUDY, "Year = 2024", "Year = 2025", time_order=True, scale="per_fold", single_task_rows=10)
+    ordered = forecast.Forecast(study.panel, STUDY, "Year = 2024", "Year = 2025", time_order=True, scale="per_fold")
     assert ordered.order == ["Year", "Month number", "Region"]
     assert ordered.alpha_grid().count() == 10
     spine = forecast.panel_rows(merged, STUDY, by_calendar=True)

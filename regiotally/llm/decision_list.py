@@ -149,7 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Learning = Learning(), i
     own = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(sample, "_id")
     counted = own.select("_good", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(3)).alias("_fold"), statistics(F.col("_text")).alias("s"))
     rows = written(counted.filter(~base_failed(F.col("s"))).select("_good", "_fold", *[m(F.col("s")).alias(n) for n, m in MEASURES.items()]), "labelled")
-    quantiles = [k / settings.cuts for k in range(1, settings.cuts)]
+    quantiles = [k / settings.cuts for k in range(settings.cuts)]
     found = rows.agg(*[F.percentile_approx(n, quantiles, 10_000).alias(n) for n in MEASURES]).first()
     tails = rows.filter("_good = 0").agg(*[F.percentile_approx(n, quantiles, 10_000).alias(n) for n in MEASURES]).first()
     cuts = {n: sorted({*(found[n] or []), *(tails[n] or [])}) for n in MEASURES}

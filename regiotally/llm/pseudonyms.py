@@ -9,8 +9,8 @@ pseudonyms in every document and different values stay different. Everything is
 format     validated by                                           what is permuted
 =========  =====================================================  ==========================================
 email      a name, ``@`` and a domain with a top level            letters and digits of the name
-card       13 to 19 digits that pass the Luhn test                all but first and last; the last is the
-                                                                  check digit of the others
+card       13 to 19 digits, plain or in card groups, that pass the  all but first and last; the last is the
+           Luhn test                                              check digit of the others
 phone      ``+`` and country code, or area code and two groups     the national digits
 social     ``AAA-GG-SSSS`` in the ranges that are given out        area, group and serial number
 address    four octets                                            each octet among those of its width
@@ -32,7 +32,7 @@ EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@[A-Za-z0-9-
 ADDRESS = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{L}\p{N}]|\.\d)"
 DATE = r"(?<![\p{L}\p{N}./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d([./])\d\d\1(?:19|20)\d\d)(?![\p{L}\p{N}]|[./-]\d)"
 SOCIAL = r"(?<![\p{L}\p{N}-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\p{L}\p{N}]|-\d)"
-CARD = r"(?<![\p{L}\p{N}.+-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}]|[.-]\d)"
+CARD = r"(?<![\p{L}\p{N}.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}]|[.-]\d)"
 PHONE = (
     r"(?<![\p{L}\p{N}+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\(?[2-9]\d\d\)?[ .-][2-9]\d\d[ .-]\d{4}"
     r"|\+(?!1)\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4})(?![\p{L}\p{N}]|[.-]\d)"

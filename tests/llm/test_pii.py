@@ -1,0 +1,82 @@
+import datetime
+import re
+
+from pyspark.sql import functions as F
+
+from regiotally.llm import pseudonyms as pii
+from tests.llm.cases import documents, empty, row
+
+KEY = "k1"
+
+
+def luhn(number):
+    digits = [int(c) for c in reversed(re.sub(r"\D", "", number))]
+    return sum(d if i % 2 == 0 else d * 2 % 10 + d // 5 for i, d in enumerate(digits)) % 10 == 0
+
+
+def values(spark, given, key=KEY):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(given)], "i int, v string").coalesce(1)
+    return [r.p for r in df.select("i", pii.pseudonym(F.col("v"), key).alias("p")).orderBy("i").collect()]
+
+
+def test_formats_stay_valid(spark):
+    cards = ["4111 1111 1111 1111", "4785380592391139", "378282246310005"]
+    for a, b in zip(cards, values(spark, cards)):
+        assert a != b and luhn(b) and re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) and a[0] == b[0]
+    mails = ["ou.42@mail9.example.com", "Jürgen_M%7@x.de", "a@b.org"]
+    for a, b in zip(mails, values(spark, mails)):
+        assert a != b and a.split("@")[1] == b.split("@")[1] and len(a) == len(b)
+        assert [c.isdigit() for c in a] == [c.isdigit() for c in b]
+    phones = ["+1 (407) 555-7710", "+1 (152) 555-8590", "(212) 555-0100", "+49 30 1234567"]
+    for a, b in zip(phones, values(spark, phones)):
+        assert a != b and re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b)
+    assert values(spark, phones)[0][4] in "23456789" and values(spark, phones)[3].startswith("+49 ")
+    addresses = ["129.190.225.188", "9.10.99.100"]
+    for a, b in zip(addresses, values(spark, addresses)):
+        assert a != b and [len(o) for o in a.split(".")] == [len(o) for o in b.split(".")] and all(int(o) < 256 for o in b.split("."))
+    social = values(spark, ["123-45-6789", "899-99-9999"])
+    for s in social:
+        assert re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", s)
+    dates = ["1999-12-31", "2024-02-29", "31.12.1999", "12/31/1999", "2023-02-30", "01.02.2003"]
+    new = values(spark, dates)
+    assert new[4] == dates[4]
+    datetime.date.fromisoformat(new[0])
+    assert new[1].endswith("-02-29") and datetime.date.fromisoformat(new[1])
+    datetime.datetime.strptime(new[2], "%d.%m.%Y"), datetime.datetime.strptime(new[3], "%m/%d/%Y")
+
+
+def test_each_format_is_permuted_one_to_one(spark):
+    days = [str(datetime.date(1990, 1, 1) + datetime.timedelta(days=k)) for k in range(1500)]
+    octets = [f"1.2.{a}.{b}" for a in range(10) for b in range(10, 100, 3)]
+    socials = [f"665-{g:02d}-{n:04d}" for g in range(1, 20) for n in range(1, 30)]
+    numbers = [f"+1 (2{a}0) 555-00{b:02d}" for a in range(10) for b in range(50)]
+    for group in (days, octets, socials, numbers):
+        assert len(set(values(spark, group))) == len(group)
+
+
+def test_small_domains_are_onto(spark):
+    domain = [(a, b) for a in range(3) for b in range(4)]
+    df = spark.createDataFrame([([a, b],) for a, b in domain], "v array<int>")
+    got = df.select(pii.permuted(F.col("v"), F.array(F.lit(3), F.lit(4)), KEY, "t").alias("p")).collect()
+    assert sorted(tuple(r.p) for r in got) == domain
+
+
+def test_texts(spark):
+    more = [
+        row(100, "call +1 (407) 555-7710, or write thentwh.24@mail4.example.com; card 4785380592391139$$$ host 9.8.7.65."),
+        row(101, "again 4785380592391139 and 4785380592391139"),
+        row(102, "order 4785380592391138, 2.0. v1.2.3.4.5 12345 2023-02-30 666-12-3456 a@b 99/99/2020"),
+    ]
+    docs = documents(spark, more).withColumn("n_replaced", F.lit("own"))
+    got = {r.doc_id: r for r in pii.pseudonymise(docs, KEY).collect()}
+    plain = {r.doc_id: r.text for r in docs.collect()}
+    for k, r in got.items():
+        if k not in (100, 101):
+            assert (r.text, r.n_replaced) == (plain[k], 0), k
+    assert got[100].n_replaced == 4 and not any(v in got[100].text for v in ("407) 555", "thentwh.24", "4785380592391139", "9.8.7.65"))
+    first, second = re.findall(r"\d{16}", got[101].text)
+    assert first == second and first in got[100].text
+    other = {r.doc_id: r.text for r in pii.pseudonymise(docs, "k2").collect()}
+    assert other[100] != got[100].text
+    assert pii.pseudonymise(docs, KEY, count_column=None).columns == docs.columns
+    assert pii.pseudonymise(empty(spark), KEY).count() == 0

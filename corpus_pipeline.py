@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from regiotally.llm import latent_leaks, order_minhash, piece_language, pseudonyms, tree_bpe
 from regiotally.llm.queries import KEY
-from regiotally.llm.rows import fresh, shared_path
+from regiotally.llm.rows import fresh, shared_path, shipped
 
 #: A language must be this likely; with languages of equal chance before, others together are then less likely.
 LEAST_SCORE = 0.5
@@ -19,6 +19,7 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose text has a language. Learns from all documents with a known one."""
+    shipped(spark)
     model = piece_language.learn(docs, public_tokenizers.path("piece_bpe_32k.model"))
     own = fresh(docs, "_language")
     found = docs.withColumn(own, piece_language.predicted(model, "text"))
@@ -27,12 +28,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each class of near duplicates."""
+    shipped(spark)
     return order_minhash.one_per_class(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold an item of ``benchmark``."""
-    return docs.filter(~latent_leaks.leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return docs.filter(~latent_leaks.leaking(docs, shipped(spark).read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +44,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and a check that they decode to its text."""
+    shipped(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     return tree_bpe.digests(tree_bpe.decode_ids(tree_bpe.encode_texts(docs, ranks, pattern), ranks, pattern))
 

@@ -32,7 +32,7 @@ SCALE = 300.0
 #: Added to every piece count.
 SMOOTHING = 0.05
 #: Distinct words kept at a time, in training and per worker in prediction.
-CACHED = 250_000
+CACHED = 120_000
 #: More languages than this are a wrong column.
 MOST_LANGUAGES = 500
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -216,7 +216,7 @@ def learn(docs: DataFrame, model_path: str, text_column: str = "text", lang_colu
             known.clear()
             tally = np.zeros(0)
 
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, 2_000_000):
             ids: list[int] = []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 at, words = place[lang], WORD.findall(text.lower())
@@ -250,7 +250,7 @@ def predicted(model: LanguageModel, text: str | Column) -> Column:
             at, values = 0, texts.tolist()
             while at < len(values):
                 stop, chars = at, 0
-                while stop < len(values) and (stop == at or chars < 6_000_000):
+                while stop < len(values) and (stop == at or chars < 2_000_000):
                     chars += len(values[stop] or "")
                     stop += 1
                 own, found = model.predict(values[at:stop])

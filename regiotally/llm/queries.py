@@ -12,7 +12,7 @@ KEY = "a key for tests"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return rows.shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:

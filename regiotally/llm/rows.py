@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+BATCH_ROWS = 1_000
 #: Used only where ``spark.checkpoint.dir`` is unset, as in tests on one machine.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """The session, with this library's folder on the path of its Python workers, wherever they are started.
+
+    Batches that go to the workers are held to ``BATCH_ROWS`` rows, as whole texts differ much in length.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    root, own = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    parts = [p for p in own.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in parts:
+        own["PYTHONPATH"] = os.pathsep.join([*parts, root])
+    return spark
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

@@ -30,7 +30,7 @@ LEAF = 4096
 #: Segments longer than this are cut at every match of the pattern.
 LONG = 64
 #: Segments kept per worker; the table is emptied when it is full.
-CACHED = 300_000
+CACHED = 150_000
 #: The blanks of the rank library's engine, which Python's ``\\s`` exceeds.
 BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Before a blank with a non-blank after it there is always a boundary, whatever stands before.
@@ -139,7 +139,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_column: str
 def _encoder(ranks_path: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, 2_000_000):
             encoded = [own.encode(t or "") for t in batch.column(1).to_pylist()]
             offsets = np.zeros(len(encoded) + 1, dtype=np.int32)
             np.cumsum([len(e) // 4 for e in encoded], out=offsets[1:])

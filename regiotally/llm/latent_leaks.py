@@ -2,9 +2,11 @@
 
 1. Passages of 64 words of all documents and items become TF-IDF vectors over the items' own words; words that more
    than ``MOST_SHARE`` of the passages have are left out. Counts cover every document.
-2. A randomised singular value decomposition finds the leading directions of these vectors: tasks add up
-   ``A^T (A R)`` for a random ``R``, then ``(A Q)^T (A Q)`` for an orthonormal basis ``Q`` of it. Both sums have a fixed size.
-3. Overlapping windows of every document are compared with every item passage by cosine in that space.
+2. A randomised singular value decomposition finds the leading directions of these vectors: tasks add up ``A^T (A R)``
+   for a random ``R``, a sum of fixed size, and the directions follow from it (Nystroem's form). The item passages weigh
+   as much in it as all others together, and there are more directions than item passages, so each is well kept.
+3. Overlapping windows of every document are compared with every item passage by cosine in that space; a candidate
+   must also hold a good part of the passage's weight, as a single rare word points the same way.
 4. Candidates must share a longest common subsequence of words with the item, and the item's answer (its last sentence)
    must be there, so paraphrases with changed words are found and chance likeness is not.
 
@@ -17,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,12 +36,14 @@ STRIDE = 32
 #: Word hashes are folded to so many features at most.
 FEATURES = 16_384
 MOST_SHARE = 0.005
-RANK = 128
-OVERSAMPLED = 16
+#: Directions beyond the number of item passages.
+SPARE_RANK = 56
+OVERSAMPLED = 8
 #: A block of the benchmark: items and words; a longer item is a block of its own.
 BLOCK_ITEMS = 1_000
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 100_000
 COSINE = 0.4
+HELD = 0.3
 COMMON = 0.75
 ANSWER = 0.5
 #: Items with fewer words are no evidence of a leak.
@@ -85,6 +90,7 @@ class Matcher:
     features: dict[str, int]
     vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # feature -> weighted latent vector
     passages: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # unit vectors of item passages
+    lengths: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # and their lengths before
     owner: list[int] = field(default_factory=list)
     verbatim: list[int] = field(default_factory=list)  # items without enough words of weight
 
@@ -94,11 +100,10 @@ class Matcher:
         if not words:
             return []
         best: dict[int, tuple[int, float, float, bool, int]] = {}
-        lookup = self.features
-        own = np.array([lookup.get(w, -1) for w in words], dtype=np.int64)
-        at = np.flatnonzero(own >= 0)
-        if len(at) and len(self.passages):
-            vectors = self.vectors[own[at]]
+        hits = [(k, f) for k, f in enumerate(map(self.features.get, words)) if f is not None]
+        if hits and len(self.passages):
+            at, own = np.array(hits, dtype=np.int64).T
+            vectors = self.vectors[own]
             half = at // STRIDE
             starts = np.flatnonzero(np.concatenate([[True], half[1:] != half[:-1]]))
             sums = np.add.reduceat(vectors, starts, axis=0)
@@ -107,7 +112,7 @@ class Matcher:
             stacked = halves[:-1] + halves[1:]  # a window is two halves
             norms = np.linalg.norm(stacked, axis=1)
             near = stacked @ self.passages.T
-            for w, p in zip(*np.nonzero(near >= COSINE * np.maximum(norms, 1e-6)[:, None])):
+            for w, p in zip(*np.nonzero((near >= COSINE * np.maximum(norms, 1e-6)[:, None]) & (near >= HELD * self.lengths))):
                 k, first = self.owner[p], int(w) * STRIDE
                 if k in best and best[k][2] >= 1.0:
                     continue
@@ -140,7 +145,7 @@ def _passage_counts(docs: DataFrame, features: dict[str, int], text_column: str)
             keys, passages = [], 0
             for text in batch.column(0).to_pylist():
                 words = WORD.findall(text.lower()) if text else []
-                own = np.array([features.get(w, -1) for w in words], dtype=np.int64)
+                own = np.array(list(map(features.get, words, repeat(-1))), dtype=np.int64)
                 at = np.flatnonzero(own >= 0)
                 keys.append((at // PASSAGE + passages) * FEATURES + own[at])
                 passages += -(-len(words) // PASSAGE)
@@ -176,35 +181,32 @@ def _document_frequency(counts: DataFrame) -> tuple[np.ndarray, int]:
     return frequency, sum(r["n"] for r in found if r["feature"] < 0)
 
 
-def _summed(counts: DataFrame, place: np.ndarray, weight: np.ndarray, basis: np.ndarray, gram: bool) -> np.ndarray:
-    """Sum over all passages of ``A^T (A basis)``, or with ``gram`` of ``(A basis)^T (A basis)``.
+def _summed(counts: DataFrame, place: np.ndarray, weight: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sum of ``A^T (A start)`` over all passages.
 
-    place: feature -> row of ``basis`` or -1; weight: of the rows. Each task sends one row per row of the sum, and
+    place: feature -> row of ``start`` or -1; weight: of the rows. Each task sends one row per row of the sum, and
     another shuffle adds them up by row.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((basis.shape[1], basis.shape[1]) if gram else basis.shape)
+        total = np.zeros(start.shape, dtype=np.float32)
         for batch in batches:
             for _, passage, feature, times in _triples(batch):
                 rows = place[feature]
                 keep = rows >= 0
                 if not keep.any():
                     continue
-                rows, values = rows[keep], times[keep] * weight[rows[keep]]
+                rows, values = rows[keep], (times[keep] * weight[rows[keep]]).astype(np.float32)
                 starts = np.flatnonzero(np.concatenate([[True], np.diff(passage[keep].astype(np.int64)) != 0]))
-                for lo in range(0, len(starts), 20_000):  # bounded blocks of passages
-                    a, b = starts[lo], starts[lo + 20_000] if lo + 20_000 < len(starts) else len(rows)
-                    own = starts[lo : lo + 20_000] - a
-                    projected = np.add.reduceat(basis[rows[a:b]] * values[a:b, None], own, axis=0)
-                    if gram:
-                        total += projected.T @ projected
-                    else:
-                        spread = np.repeat(projected, np.diff(np.append(own, b - a)), axis=0) * values[a:b, None]
-                        order = np.argsort(rows[a:b], kind="stable")
-                        ranked = rows[a:b][order]
-                        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-                        total[ranked[first]] += np.add.reduceat(spread[order], first, axis=0)
+                for lo in range(0, len(starts), 5_000):  # bounded blocks of passages
+                    a, b = starts[lo], starts[lo + 5_000] if lo + 5_000 < len(starts) else len(rows)
+                    own = starts[lo : lo + 5_000] - a
+                    projected = np.add.reduceat(start[rows[a:b]] * values[a:b, None], own, axis=0)
+                    order = np.argsort(rows[a:b], kind="stable")
+                    ranked = rows[a:b][order]
+                    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+                    number = np.repeat(np.arange(len(own)), np.diff(np.append(own, b - a)))[order]
+                    total[ranked[first]] += np.add.reduceat(projected[number] * values[a:b][order][:, None], first, axis=0)
         used = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([total[k].tobytes() for k in used], pa.binary())], ["row", "vector"])
 
@@ -212,17 +214,27 @@ def _summed(counts: DataFrame, place: np.ndarray, weight: np.ndarray, basis: np.
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for row, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                value = np.frombuffer(vector)
+                value = np.frombuffer(vector, dtype=np.float32).astype(float)
                 sums[row] = sums[row] + value if row in sums else value
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["row", "vector"])
 
     parts = counts.mapInArrow(add, "row long, vector binary").repartition("row").mapInArrow(merge, "row long, vector binary")
-    total = np.zeros((basis.shape[1], basis.shape[1]) if gram else basis.shape)
+    total = np.zeros(start.shape)
     for r in parts.toArrow().to_pylist():
         total[r["row"]] = np.frombuffer(r["vector"])
     return total
 
 
+def leading(image: np.ndarray, start: np.ndarray, rank: int) -> np.ndarray:
+    """Leading eigenvectors of a positive matrix ``M`` from ``image = M start`` alone (randomised Nystroem form)."""
+    shift = 1e-7 * np.linalg.norm(image)
+    moved = image + shift * start
+    inner = start.T @ moved
+    values, turn = np.linalg.eigh((inner + inner.T) / 2)
+    half = turn / np.sqrt(np.maximum(values, 1e-12 * values.max()))
+    return np.linalg.svd(moved @ half, full_matrices=False)[0][:, :rank]
+
+
 def fitted(docs: DataFrame, items: list[Item], text_column: str = "text") -> Matcher:
     """The matcher of one block of items, its weights and directions taken from all passages of ``docs`` and the items."""
     features = {w: zlib.crc32(w.encode("utf-8", "surrogatepass")) % FEATURES for item in items for w in item.words}
@@ -243,25 +255,23 @@ def fitted(docs: DataFrame, items: list[Item], text_column: str = "text") -> Mat
     matcher.verbatim = [k for k, n in enumerate(terms) if n < LEAST_TERMS]
     if not len(wanted):
         return matcher
-    width = min(RANK + OVERSAMPLED, len(wanted))
-    start = np.random.default_rng(7).standard_normal((len(wanted), width))
-    basis, _ = np.linalg.qr(_summed(counts, place, weight, start, gram=False))
-    values, turn = np.linalg.eigh(_summed(counts, place, weight, basis, gram=True))
-    directions = basis @ turn[:, ::-1][:, : min(RANK, width)]
+    own_rows = np.zeros((len(queries), len(wanted)))
+    for n, (_, words) in enumerate(queries):
+        np.add.at(own_rows[n], [matcher.features[w] for w in words if w in matcher.features], 1.0)
+    own_rows *= weight
+    rank = min(len(queries) + SPARE_RANK, len(wanted))
+    start = np.random.default_rng(7).standard_normal((len(wanted), min(rank + OVERSAMPLED, len(wanted))))
+    image = _summed(counts, place, weight, start.astype(np.float32)) + passages / len(queries) * (own_rows.T @ (own_rows @ start))
+    directions = leading(image, start, rank)
     matcher.vectors = (directions * weight[:, None]).astype(np.float32)
-    passage_vectors, owner = [], []
-    for k, words in queries:
-        rows = [matcher.features[w] for w in words if w in matcher.features]
-        vector = matcher.vectors[rows].sum(axis=0) if rows else np.zeros(matcher.vectors.shape[1], np.float32)
-        norm = np.linalg.norm(vector)
-        # what the directions keep of the passage: nearly nothing means that it must be looked for in words
-        tf = np.bincount(rows, minlength=len(weight)) if rows else np.zeros(len(weight))
-        if norm > 0.2 * np.linalg.norm(tf * weight):
-            passage_vectors.append(vector / norm)
-            owner.append(k)
-        elif k not in matcher.verbatim:
-            matcher.verbatim.append(k)
-    matcher.passages = np.array(passage_vectors, dtype=np.float32).reshape(len(owner), -1)
+    inside = own_rows @ directions
+    lengths, whole = np.linalg.norm(inside, axis=1), np.linalg.norm(own_rows, axis=1)
+    kept = np.flatnonzero(lengths > 0.5 * whole)
+    owner = [queries[n][0] for n in kept]
+    # a passage that the directions do not keep must be looked for in words
+    matcher.verbatim += [k for k in dict.fromkeys(k for k, _ in queries) if k not in set(owner) | set(matcher.verbatim)]
+    matcher.passages = (inside[kept] / lengths[kept, None]).astype(np.float32)
+    matcher.lengths = lengths[kept].astype(np.float32)
     matcher.owner = owner
     return matcher
 

@@ -29,7 +29,7 @@ from regiotally.llm.tree_bpe import UNEVEN
 BLOCK_IDS = 65_536
 LEVEL = 3
 #: Segments kept per worker; the table is emptied when it is full.
-CACHED = 400_000
+CACHED = 600_000
 LONG = 64
 
 #: A segment of two matches of the split pattern at most: Latin letters, then marks.
@@ -120,17 +120,23 @@ class SegmentEncoder:
         if len(self.known) > CACHED:
             self.known.clear()
         known = self.known
-        new = list({s for parts in split if parts for s in parts if s not in known})
-        found = self.segment_ids(new)
+        seen: set[str] = set()
+        for parts in split:
+            if parts is not None:
+                seen.update(parts)
+        found = self.segment_ids(list(seen.difference(known)))
         whole = iter(self.library_ids([t for t, parts in zip(texts, split) if parts is None]))
+        known.update((s, ids) for s, ids in found.items() if len(s) <= LONG)
+        longer = {s: ids for s, ids in found.items() if len(s) > LONG}
         out = []
-        if found:
-            known.update((s, ids) for s, ids in found.items() if len(s) <= LONG)
-            longer = {s: ids for s, ids in found.items() if len(s) > LONG}
-            for parts in split:
-                out.append(next(whole) if parts is None else b"".join([known[s] if s in known else longer[s] for s in parts]))
-            return out
-        return [next(whole) if parts is None else b"".join([known[s] for s in parts]) for parts in split]
+        for parts in split:
+            if parts is None:
+                out.append(next(whole))
+            elif longer and not longer.keys().isdisjoint(parts):
+                out.append(b"".join([known[s] if s in known else longer[s] for s in parts]))
+            else:
+                out.append(b"".join(map(known.__getitem__, parts)))
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -9,6 +9,9 @@
    must also hold a good part of the passage's weight, as a single rare word points the same way.
 4. Candidates must share a longest common subsequence of words with the item, and the item's answer (its last sentence)
    must be there, so paraphrases with changed words are found and chance likeness is not.
+5. No cosine is sure to reach every such text, so stretches that hold enough of an item's words, common or rare, are
+   candidates too. A common subsequence needs these words, so nothing that passes step 4 in one stretch is left out,
+   whatever surrounds it and however many documents hold the same.
 
 Items are treated in blocks that bound what is sent to the tasks.
 """
@@ -48,8 +51,14 @@ COMMON = 0.75
 ANSWER = 0.5
 #: Items with fewer words are no evidence of a leak.
 LEAST_WORDS = 4
-#: Items with fewer words of weight are looked for word by word instead.
+#: Items with fewer words of weight have no latent vector.
 LEAST_TERMS = 3
+#: An item of fewer words is like many texts by chance: its words must stand in a stretch of its own length / ``COMMON``.
+SHORT = 12
+#: Words of a document that are looked at together, at least.
+REACH = 256
+#: Words of more than one in so many items are a row of a matrix, others a list of their items.
+RARE = 32
 
 
 @dataclass
@@ -82,6 +91,41 @@ def common_subsequence(pattern: list[str], text: list[str]) -> int:
     return len(pattern) - row.bit_count()
 
 
+class Coverage:
+    """How much of every item stands in a piece of text, by all words of the items. Its size is linear in the items."""
+
+    def __init__(self, items: list[Item]) -> None:
+        self.lengths = np.array([len(item.words) for item in items], dtype=np.int64)
+        self.spans = [int(n / COMMON) if n < SHORT else PASSAGE + 2 * n for n in self.lengths.tolist()]
+        self.reach = max([REACH, *self.spans])
+        places: dict[str, list[int]] = {}
+        for k, item in enumerate(items):
+            for w in item.words:
+                places.setdefault(w, []).append(k)
+        often = [w for w, own in places.items() if len(set(own)) * RARE > len(items)]
+        self.common = {w: n for n, w in enumerate(often)}
+        self.table = np.zeros((len(often), len(items)), dtype=np.int32)
+        for n, w in enumerate(often):
+            np.add.at(self.table[n], places[w], 1)
+        self.rare = {w: np.array(own, dtype=np.int64) for w, own in places.items() if w not in self.common}
+
+    def enough(self, words: list[str]) -> list[int]:
+        """Items that have so many of their words in ``words`` that a common subsequence may be long enough."""
+        own = set(words)
+        held = self.table[[n for w in own if (n := self.common.get(w)) is not None]].sum(axis=0)
+        rare = [places for w in own if (places := self.rare.get(w)) is not None]
+        if rare:
+            held = held + np.bincount(np.concatenate(rare), minlength=len(held))
+        return np.flatnonzero(held / self.lengths >= COMMON).tolist()
+
+    def stretches(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(item, first, end) of pieces that overlap by the longest span, so that every span is whole in one of them."""
+        for first in range(0, max(1, len(words) - self.reach), self.reach):
+            end = min(len(words), first + 2 * self.reach)
+            for k in self.enough(words[first:end]):
+                yield k, first, end
+
+
 @dataclass
 class Matcher:
     """All that a task needs to find leaks of one block of items; its size is bounded by the block."""
@@ -92,7 +136,7 @@ class Matcher:
     passages: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # unit vectors of item passages
     lengths: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # and their lengths before
     owner: list[int] = field(default_factory=list)
-    verbatim: list[int] = field(default_factory=list)  # items without enough words of weight
+    coverage: Coverage | None = None
 
     def leaks(self, text: str | None) -> list[tuple[int, float, float, bool, int]]:
         """(item, cosine, common share, answer found, first word of the window), the best of each item."""
@@ -119,13 +163,46 @@ class Matcher:
                 found = self._checked(k, float(near[w, p] / max(norms[w], 1e-6)), words, first)
                 if found and (k not in best or found[2] > best[k][2]):
                     best[k] = found
-        if self.verbatim:
-            line = f" {' '.join(words)} "
-            for k in self.verbatim:
-                if (place := line.find(f" {' '.join(self.items[k].words)} ")) >= 0:
-                    best[k] = (k, 1.0, 1.0, True, line.count(" ", 0, place))
+        for k, first, end in self.coverage.stretches(words) if self.coverage else ():
+            if k not in best or best[k][2] < 1.0:
+                found = self._covered(k, words, first, end)
+                if found and (k not in best or found[2] > best[k][2]):
+                    best[k] = found
         return [best[k] for k in sorted(best)]
 
+    def _covered(self, k: int, words: list[str], first: int, end: int) -> tuple[int, float, float, bool, int] | None:
+        """The best span of item ``k`` in a piece of ``words``. Other words than the item's own are passed over."""
+        item, span = self.items[k], self.coverage.spans[k]
+        own, size = set(item.words), len(item.words)
+        at = [i for i in range(first, end) if words[i] in own]
+        best, stop, tried = None, 0, 0
+        for n, start in enumerate(at):
+            while stop < len(at) and at[stop] < start + span:
+                stop += 1
+            if stop - n < COMMON * size:
+                continue
+            if stop == tried:  # a part of a span that is too little
+                continue
+            common = common_subsequence(item.words, [words[i] for i in at[n:stop]]) / size
+            if common < COMMON or best and common <= best[2]:
+                tried = stop
+                continue
+            region = words[max(0, start - size) : start + span + size]
+            answered = not item.answer or common_subsequence(item.answer, region) >= ANSWER * len(item.answer)
+            if answered or common >= 0.9:
+                best = (k, self._cosine(k, words[start : start + PASSAGE]), common, answered, start)
+                if common >= 1.0:
+                    break
+        return best
+
+    def _cosine(self, k: int, words: list[str]) -> float:
+        """The best cosine of a passage of item ``k``; 0 where no word has weight."""
+        own, passages = [f for w in words if (f := self.features.get(w)) is not None], [p for p, owner in enumerate(self.owner) if owner == k]
+        if not own or not passages:
+            return 0.0
+        vector = self.vectors[own].sum(axis=0)
+        return float((self.passages[passages] @ vector).max() / max(np.linalg.norm(vector), 1e-6))
+
     def _checked(self, k: int, cosine: float, words: list[str], first: int) -> tuple[int, float, float, bool, int] | None:
         item = self.items[k]
         region = words[max(0, first - len(item.words)) : first + PASSAGE + len(item.words)]
@@ -238,7 +315,7 @@ def leading(image: np.ndarray, start: np.ndarray, rank: int) -> np.ndarray:
 def fitted(docs: DataFrame, items: list[Item], text_column: str = "text") -> Matcher:
     """The matcher of one block of items, its weights and directions taken from all passages of ``docs`` and the items."""
     features = {w: zlib.crc32(w.encode("utf-8", "surrogatepass")) % FEATURES for item in items for w in item.words}
-    matcher = Matcher(items, features)
+    matcher = Matcher(items, features, coverage=Coverage(items) if items else None)
     queries = [(k, item.words[i : i + PASSAGE]) for k, item in enumerate(items) for i in range(0, len(item.words), PASSAGE)]
     if not items:
         return matcher
@@ -252,7 +329,6 @@ def fitted(docs: DataFrame, items: list[Item], text_column: str = "text") -> Mat
     weight = np.log((1 + passages) / (1 + frequency[wanted])) + 1
     matcher.features = {w: int(place[f]) for w, f in features.items() if place[f] >= 0}
     terms = [sum(w in matcher.features for w in item.words) for item in items]
-    matcher.verbatim = [k for k, n in enumerate(terms) if n < LEAST_TERMS]
     if not len(wanted):
         return matcher
     own_rows = np.zeros((len(queries), len(wanted)))
@@ -266,10 +342,8 @@ def fitted(docs: DataFrame, items: list[Item], text_column: str = "text") -> Mat
     matcher.vectors = (directions * weight[:, None]).astype(np.float32)
     inside = own_rows @ directions
     lengths, whole = np.linalg.norm(inside, axis=1), np.linalg.norm(own_rows, axis=1)
-    kept = np.flatnonzero(lengths > 0.5 * whole)
+    kept = np.array([n for n in np.flatnonzero(lengths > 0.5 * whole) if terms[queries[n][0]] >= LEAST_TERMS], dtype=np.int64)
     owner = [queries[n][0] for n in kept]
-    # a passage that the directions do not keep must be looked for in words
-    matcher.verbatim += [k for k in dict.fromkeys(k for k, _ in queries) if k not in set(owner) | set(matcher.verbatim)]
     matcher.passages = (inside[kept] / lengths[kept, None]).astype(np.float32)
     matcher.lengths = lengths[kept].astype(np.float32)
     matcher.owner = owner

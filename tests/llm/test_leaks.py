@@ -73,3 +73,32 @@ def test_every_verbatim_item_of_the_tables(spark, small):
 
     got = {(r.doc_id, r.item_id) for r in op4_latent_leaks(spark, small).collect()}
     assert got == {(d, i) for d, x in docs.items() for i, y in items.items() if y in x}
+
+
+def test_recall_equals_brute_force(spark):
+    """Paraphrases without their rarest words, and lists of short items, among other words of the same language."""
+    pick = random.Random(9)
+    usual = [f"w{int(pick.paretovariate(0.6)) % 3000}" for _ in range(60_000)]
+    items = [pick.sample(usual, n) for n in [*range(5, 65), *[5, 6, 7, 8, 9] * 8]]
+    texts = []
+    for k in range(150):
+        around = [pick.choice(usual) for _ in range(pick.randint(20, 700))]
+        planted = [pick.randrange(len(items)) for _ in range(pick.choice([1, 1, 8]))]
+        inside = []
+        for p in planted:
+            words = list(items[p])
+            for i in sorted(range(len(words)), key=lambda i: -int(words[i][1:]))[: len(words) // 5 if k % 2 else 0]:
+                words[i] = "changed"
+            inside += words
+        at = pick.randint(0, len(around))
+        texts.append((around[:at] + inside + around[at:], planted))
+    docs = spark.createDataFrame([row(k, " ".join(words)) for k, (words, _) in enumerate(texts)], documents(spark).schema)
+    benchmark = spark.createDataFrame([(k, " ".join(words)) for k, words in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks.contaminations(docs, benchmark).collect()}
+    assert got >= {(k, p) for k, (_, planted) in enumerate(texts) for p in planted}
+    for k, (words, _) in enumerate(texts[:25]):
+        for p, item in enumerate(items):
+            span = len(item) * 4 // 3 if len(item) < leaks.SHORT else leaks.PASSAGE + 2 * len(item)
+            starts = range(0, len(words)) if len(item) < leaks.SHORT else range(0, len(words), 7)
+            if any(leaks.common_subsequence(item, words[i : i + span]) >= 0.75 * len(item) for i in starts):
+                assert (k, p) in got

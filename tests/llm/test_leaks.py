@@ -75,6 +75,17 @@ def test_every_verbatim_item_of_the_tables(spark, small):
     assert got == {(d, i) for d, x in docs.items() for i, y in items.items() if y in x}
 
 
+def test_widespread_paraphrases_are_found(spark):
+    """A paraphrase in a third of the documents makes its own words frequent; it is found as a single one is."""
+    item = [f"q{i}" for i in range(24)]
+    said = " ".join("other" if i % 8 == 3 else w for i, w in enumerate(item))
+    for many in (1, 100):
+        docs = spark.createDataFrame([row(k, prose(40, k) + (f" {said} " if k < many else " ") + prose(40, k + 900)) for k in range(300)], documents(spark).schema)
+        benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+        assert {r.doc_id for r in leaks.contaminations(docs, benchmark).collect()} == set(range(many))
+        assert docs.filter(~leaks.leaking(docs, benchmark)).count() == 300 - many
+
+
 def test_recall_equals_brute_force(spark):
     """Paraphrases without their rarest words, and lists of short items, among other words of the same language."""
     pick = random.Random(9)

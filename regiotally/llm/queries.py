@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regiotally.llm import decision_list, id_planes, latent_leaks, merkle_audit, order_minhash, page_templates, piece_language, pseudonyms, rows, secret_forest, tree_bpe
+from regiotally.llm import decision_list, fill_middle, id_planes, latent_leaks, merkle_audit, order_minhash, page_templates, piece_language, pseudonyms, rows, secret_forest, segment_resampling, tree_bpe
 
 #: The secret of the pseudonyms; a deployment passes its own.
 KEY = "a key for tests"
@@ -105,8 +105,43 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs, KEY)
 
 
-QUERIES = [op1_bit_planes, op2_page_templates, op3_secret_forest, op4_latent_leaks, op5_merkle_audit, op6_order_minhash, op7_tree_bpe, op8_piece_language, op9_decision_list, op10_feistel_pseudonyms]
+def op12_segment_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark texts, and its rank among those drawn."""
+    return segment_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into prefix, middle and suffix, and the text rebuilt from the output."""
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines,
+           sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex
+    FROM documents
+), drawn AS (
+    SELECT doc_id, text, lines, len(lines) AS n,
+           CAST('0x' || substr(hex, 1, 8) AS BIGINT) % (len(lines) + 1) AS a, CAST('0x' || substr(hex, 9, 8) AS BIGINT) % (len(lines) + 1) AS b,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                     OR CAST('0x' || substr(hex, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+                WHEN CAST('0x' || substr(hex, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM cut
+), parts AS (
+    SELECT *, array_to_string(lines[1:least(a, b)], '') AS prefix, array_to_string(lines[least(a, b) + 1:greatest(a, b)], '') AS middle,
+           array_to_string(lines[greatest(a, b) + 1:], '') AS suffix
+    FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+QUERIES = [op1_bit_planes, op2_page_templates, op3_secret_forest, op4_latent_leaks, op5_merkle_audit, op6_order_minhash, op7_tree_bpe, op8_piece_language, op9_decision_list, op10_feistel_pseudonyms, op12_segment_resampling, op13_fill_middle]
 
 
 def oracles() -> dict[str, str]:
-    return {"op5_merkle_audit": OP5_SQL}
+    return {"op5_merkle_audit": OP5_SQL, "op13_fill_middle": OP13_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regiotally.llm import decision_list, fill_middle, id_planes, latent_leaks, merkle_audit, order_minhash, page_templates, piece_language, pseudonyms, rows, secret_forest, segment_resampling, tree_bpe
+from regiotally.llm import decision_list, fill_middle, id_planes, latent_leaks, merkle_audit, order_minhash, page_templates, piece_language, pruned_graph, pseudonyms, rows, secret_forest, segment_resampling, tree_bpe
 
 #: The secret of the pseudonyms; a deployment passes its own.
 KEY = "a key for tests"
@@ -105,6 +105,25 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs, KEY)
 
 
+def op11_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every vector whose id is divisible by 100."""
+    return pruned_graph.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+#: Exact neighbours; the beams of one small shard meet all of them.
+OP11_SQL = """
+WITH usable AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), measured AS (
+    SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
+    FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND len(q.v) = len(c.v) AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM measured QUALIFY rank <= 10
+"""
+
+
 def op12_segment_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight towards the benchmark texts, and its rank among those drawn."""
     return segment_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -140,8 +159,8 @@ FROM parts
 """
 
 
-QUERIES = [op1_bit_planes, op2_page_templates, op3_secret_forest, op4_latent_leaks, op5_merkle_audit, op6_order_minhash, op7_tree_bpe, op8_piece_language, op9_decision_list, op10_feistel_pseudonyms, op12_segment_resampling, op13_fill_middle]
+QUERIES = [op1_bit_planes, op2_page_templates, op3_secret_forest, op4_latent_leaks, op5_merkle_audit, op6_order_minhash, op7_tree_bpe, op8_piece_language, op9_decision_list, op10_feistel_pseudonyms, op11_pruned_graph, op12_segment_resampling, op13_fill_middle]
 
 
 def oracles() -> dict[str, str]:
-    return {"op5_merkle_audit": OP5_SQL, "op13_fill_middle": OP13_SQL}
+    return {"op5_merkle_audit": OP5_SQL, "op11_pruned_graph": OP11_SQL, "op13_fill_middle": OP13_SQL}

@@ -1,4 +1,4 @@
-"""Inverse of the standard normal distribution as a JVM-side expression.
+"""The standard normal distribution and its inverse as JVM-side expressions.
 
 Rational approximations of Wichura (1988), algorithm AS 241, about 16 digits.
 """
@@ -52,3 +52,34 @@ def _polynomial(coefficients, x: Column) -> Column:
     for coefficient in reversed(coefficients[:-1]):
         value = value * x + coefficient
     return value
+
+
+# Coefficients of Hart (1968), algorithm 5666, in the form of West (2005), highest power first.
+BELOW_NUMERATOR = [
+    3.52624965998911e-2, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931,
+    220.206867912376,
+]
+BELOW_DENOMINATOR = [
+    8.83883476483184e-2, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831,
+    793.826512519948, 440.413735824752,
+]
+
+
+def normal_below(x) -> Column:
+    """Probability that a standard normal value is below ``x``, to about 15 digits; beyond 37 deviations 0 or 1."""
+    column = (F.col(x) if isinstance(x, str) else x).cast("double")
+    size = F.abs(column)
+
+    def horner(coefficients) -> Column:
+        value = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            value = value * size + c
+        return value
+
+    far = size + 0.65
+    for k in (4, 3, 2, 1):
+        far = size + k / far
+    height = F.exp(size * size * -0.5)
+    near = height * horner(BELOW_NUMERATOR) / horner(BELOW_DENOMINATOR)
+    tail = F.when(size > 37, 0.0).when(size < 7.07106781186547, near).otherwise(height / far / 2.506628274631)
+    return F.when(column > 0, 1 - tail).otherwise(tail)

@@ -17,6 +17,16 @@ def all_known(names) -> Column:
     return reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
 
 
+def first_known(value, *order) -> Column:
+    """First value that is not null, by ``order``; the smaller value where the order ties.
+
+    One mergeable aggregate: tasks send a value and its place on, and rows need no sorting. Nulls in ``order`` come first.
+    """
+    column = F.col(value) if isinstance(value, str) else value
+    places = [F.col(o) if isinstance(o, str) else o for o in order]
+    return F.min_by(column, F.when(column.isNotNull(), F.struct(*[p.alias(f"o{i}") for i, p in enumerate([*places, column])])))
+
+
 def total(column) -> Column:
     """Sum that is 0, not null, when every value in the group is null."""
     summed = F.sum(column)

@@ -9,9 +9,9 @@ from statistics import NormalDist
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from regiotally.functions.normal import inverse_normal
+from regiotally.functions.normal import inverse_normal, normal_below
 from regiotally.functions.numeric import band_label
-from regiotally.functions.pvalues import LAST_WEIGHT, NEXT_WEIGHT, polynomial, shapiro_p, student_p
+from regiotally.functions.pvalues import LAST_WEIGHT, NEXT_WEIGHT, kolmogorov_p, polynomial, shapiro_p, student_p
 from regiotally.operators.position import with_position
 from regiotally.operators.stats import pearson
 
@@ -77,6 +77,28 @@ def quantile_line(plot: DataFrame) -> DataFrame:
     )
 
 
+def kolmogorov_smirnov(df: DataFrame, value: str, ties, mean: float | None = None, deviation: float | None = None) -> DataFrame:
+    """One-sample Kolmogorov-Smirnov test against a normal distribution, for any number of rows, as one row.
+
+    The distance is the largest gap between the normal distribution and the steps of the values, from numbered rows and
+    one aggregate. ``mean`` and ``deviation`` of None are those of the values; the p-value is then too large, as the
+    distribution was fitted to them. Nulls are left out; no rows or values that are all alike have no test (null).
+    """
+    known = df.select(F.col(value).cast("double").alias("_value"), *ties).filter(F.col("_value").isNotNull())
+    placed, n = with_position(known, ["_value", *ties], "_position")
+    fitted = known.agg(F.avg("_value").alias("mean"), F.stddev_samp("_value").alias("deviation")).first()
+    centre = fitted["mean"] if mean is None else mean
+    spread = fitted["deviation"] if deviation is None else deviation
+    schema = "n long, distance double, p_value double, normality string"
+    if not n or not spread:
+        return df.sparkSession.createDataFrame([(n, None, None, None)], schema)
+    below = normal_below((F.col("_value") - centre) / spread)
+    gap = F.greatest(F.col("_position") / n - below, below - (F.col("_position") - 1) / n)
+    distance = placed.agg(F.max(gap)).first()[0]
+    p = kolmogorov_p(distance, n)
+    return df.sparkSession.createDataFrame([(n, distance, p, "not rejected" if p > SIGNIFICANCE else "rejected")], schema)
+
+
 def shapiro_wilk(df: DataFrame, value: str, ties) -> DataFrame:
     """Shapiro-Wilk W, its p-value and the decision at 0.05, as one row.
 

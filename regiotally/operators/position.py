@@ -2,55 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-#: Sampled rows per slice, from which the slice boundaries are taken.
-SAMPLED = 32
+from regiotally.sources.staging import shared_folder
 
+#: Low bits of a row id that Spark counts up inside a partition; the partition's number is above them.
+_LOCAL_BITS = 33
 
-def slice_bounds(df: DataFrame, order, slices: int) -> list[tuple]:
-    """Boundaries that cut the rows into slices of about equal size, in ascending ``order``.
 
-    They are quantiles of the ``SAMPLED * slices`` rows with the smallest hashes: a bounded sample, the same on every run.
-    """
-    names = list(order)
-    sample = df.select(*names).orderBy(F.xxhash64(*names), *names).limit(SAMPLED * slices)
-    rows = [tuple(r) for r in sample.orderBy(*names).collect()]
-    cuts = [rows[len(rows) * k // slices] for k in range(1, slices)] if rows else []
-    return list(dict.fromkeys(cuts))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder of the session (``spark.checkpoint.dir``) and cut off from its lineage.
 
+    Spark removes the files with the DataFrame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on. Only a
+    session on one machine gets a folder of its own where none is set.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
 
-def slice_number(df: DataFrame, order, bounds: list[tuple]) -> Column:
-    """How many of the boundaries a row has reached: literal values, so a row's slice never changes."""
-    kinds = {f.name: f.dataType for f in df.schema}
 
-    def key(values) -> Column:
-        return F.struct(*[v.cast(kinds[n]).alias(n) for n, v in zip(order, values)])
+def sliced(df: DataFrame, order, slices: int) -> DataFrame:
+    """The rows in ``slices`` ranges of ``order`` (column names, nulls first), with ``_slice`` and ``_place`` (from 0) in it.
 
-    if not bounds:
-        return F.lit(0)
-    cuts = F.array(*[key([F.lit(v) for v in row]) for row in bounds])
-    return F.size(F.filter(cuts, lambda b: b <= key([F.col(n) for n in order])))
+    A range exchange finds the boundaries in a sample of the keys and places a row by binary search. The ranges are
+    checkpointed, as another run of the exchange would draw another sample; a lost task finds its range again.
+    """
+    number = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(slices, *order).sortWithinPartitions(*order)
+    return checkpointed(
+        ranged.withColumn("_number", number).withColumns(
+            {"_slice": F.shiftright("_number", _LOCAL_BITS).cast("int"), "_place": F.col("_number").bitwiseAND((1 << _LOCAL_BITS) - 1)}
+        ).drop("_number")
+    )
 
 
 def with_position(df: DataFrame, order, name: str = "position", slices: int | None = None) -> tuple[DataFrame, int]:
     """The rows numbered from 1 in ascending ``order`` (column names, nulls first), and their count.
 
-    Rows fall into slices between literal boundaries, are numbered inside their slice and shifted by the counts of the
-    slices before; one row per slice passes the driver, which also gives the count of all. Nothing has to be written,
-    because a retry finds the same slices. End ``order`` with a unique key: ties then have one place, and a value that
-    many rows share still spreads over slices. Persist ``df`` where it is costly: it is read three times.
+    Rows fall into sorted ranges, are numbered there and shifted by the counts of the ranges before, which are summed up
+    over one row per range. End ``order`` with a unique key: ties then have one place, and a value that many rows share
+    still spreads over ranges. ``df`` is read twice: for the sample and for the exchange.
     """
     wanted = slices or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sliced = df.withColumn("_slice", slice_number(df, order, slice_bounds(df, order, wanted)))
-    counts = {r["_slice"]: r["n"] for r in sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shifts, rows = [], 0
-    for k in range(max(counts, default=0) + 1):
-        shifts.append(rows)
-        rows += counts.get(k, 0)
-    local = F.row_number().over(W.partitionBy("_slice").orderBy(*order)).cast("long")
-    shift = F.element_at(F.array(*[F.lit(s).cast("long") for s in shifts]), F.col("_slice") + 1)
-    return sliced.withColumn(name, local + shift).drop("_slice"), rows
+    rows = sliced(df, order, wanted)
+    counts = rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy().orderBy("_slice")) - F.col("_n")  # one row per range
+    shifts = counts.select(F.col("_slice").alias("_range"), before.alias("_before"))
+    placed = rows.join(shifts, F.col("_slice") == F.col("_range"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    return placed.withColumn(name, F.col("_place") + F.col("_before") + 1).drop("_slice", "_place", "_range", "_before"), total
 
 
 def fold_block(position, rows: int, folds: int):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from regiotally.operators.reshape import unique_keys
+
 
 def lookup(name, mapping: dict) -> Column:
     """Value of a small literal dictionary; null for an unknown or null key."""
@@ -43,6 +45,30 @@ def recode_by_table(df: DataFrame, name: str, table: DataFrame, key: str, value:
     return df.join(dimension, name, "left")
 
 
+def recode_pairs(df: DataFrame, first: str, second: str, table: DataFrame, alias: str, how: str = "match") -> DataFrame:
+    """Recode of two columns through ``table`` (``first, second, value``), with how each row was matched.
+
+    A row takes the value of its pair (``how`` is ``pair``); else that of its first column alone, which the table lists
+    with a null second one (``first``); else it keeps its first column (``none``). The table may be of any size; two
+    rows for a pair fail the job. Rows with a null first column match nothing, those with a null second one only by the
+    first.
+    """
+    pairs = unique_keys(table.filter("first is not null and second is not null"), ["first", "second"])
+    alone = unique_keys(table.filter("first is not null and second is null").select("first", "value"), ["first"])
+    exact = pairs.select(F.col("first").alias("_first"), F.col("second").alias("_second"), F.struct("value").alias("_pair"))
+    wide = alone.select(F.col("first").alias("_only"), F.struct("value").alias("_alone"))
+    joined = df.join(exact, (F.col(first) == F.col("_first")) & (F.col(second) == F.col("_second")), "left").join(wide, F.col(first) == F.col("_only"), "left")
+    found = F.when(F.col("_pair").isNotNull(), "pair").when(F.col("_alone").isNotNull(), "first").otherwise("none")
+    value = F.when(F.col("_pair").isNotNull(), F.col("_pair.value")).when(F.col("_alone").isNotNull(), F.col("_alone.value"))
+    named = joined.withColumns({alias: value.otherwise(F.col(first)), how: found})
+    return named.drop("_first", "_second", "_pair", "_only", "_alone")
+
+
+def unmapped(recoded: DataFrame, first: str, second: str, how: str = "match") -> DataFrame:
+    """Pairs of values that ``recode_pairs`` found in no table, and their rows."""
+    return recoded.filter(F.col(how) == "none").groupBy(first, second).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def drop_unmapped(df: DataFrame, name: str, mapping: dict) -> DataFrame:
     """Lenient recode in place: rows whose value is not in the dictionary leave the table."""
     return df.withColumn(name, lookup(name, mapping)).filter(F.col(name).isNotNull())

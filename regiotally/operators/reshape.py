@@ -67,9 +67,16 @@ def totals_by_split(df: DataFrame, keys, measure: str, total_name: str, splits)
     return wide.drop(*seen)
 
 
-def levels_of(df: DataFrame, column: str) -> tuple:
-    """Distinct levels of a category, sorted; they become columns, so they are few."""
-    return tuple(r[0] for r in distinct_sorted(df, column).collect())
+#: More levels than this are no category: they could not become columns either.
+MOST_LEVELS = 10_000
+
+
+def levels_of(df: DataFrame, column: str, most: int = MOST_LEVELS) -> tuple:
+    """Distinct levels of a category, sorted; they become columns, and more than ``most`` of them fail."""
+    found = tuple(r[0] for r in distinct_sorted(df, column).limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} levels")
+    return found
 
 
 def distinct_sorted(df: DataFrame, column: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from regiotally.functions.calendar import month_label, period_label
 from regiotally.functions.labels import without_code
+from regiotally.functions.nulls import all_known, total
 from regiotally.functions.numeric import mean_of_rounded, rate_per, round_even, share_pct
 from regiotally.operators.reshape import by_listed_order, grouped_total, listed, pivot_single, pivot_total
 from regiotally.operators.stats import pearson, skew_adjusted
@@ -59,15 +60,19 @@ def monthly_totals(incidents: DataFrame, study: Study) -> DataFrame:
 def monthly_by_year(merged: DataFrame, study: Study) -> DataFrame:
     """Incidents and rate per 100,000 by year and month.
 
-    The population of a year is the sum over the regions that have incidents in it.
+    The population of a year is the sum over the regions that have incidents in it. Incidents are read once, as months
+    of a region; windows over these few cells find each region's population once a year.
     """
     c = study.incidents
-    months = grouped_total(merged, [c.year, c.month], [c.count])
-    regions = merged.filter(F.col(c.year).isNotNull() & F.col(c.region).isNotNull()).groupBy(c.year, c.region)
-    people = regions.agg(F.max(study.total_population).alias("_people")).groupBy(c.year).agg(
-        F.sum("_people").alias("population")
+    cells = merged.groupBy(c.year, c.month, c.region).agg(total(c.count).alias(c.count), F.max(study.total_population).alias("_people"))
+    of_region = W.partitionBy(c.year, c.region)
+    once = (F.row_number().over(of_region.orderBy(c.month)) == 1) & F.col(c.region).isNotNull()
+    counted = cells.withColumn("_once", F.when(once, F.max("_people").over(of_region)))
+    peopled = counted.withColumn("_population", F.sum("_once").over(W.partitionBy(c.year)))
+    months = peopled.filter(all_known([c.year, c.month])).groupBy(c.year, c.month).agg(
+        total(c.count).alias(c.count), F.max("_population").alias("population")
     )
-    return months.join(people, c.year, "left").withColumns(
+    return months.withColumns(
         {
             "rate_per_100k": round_even(rate_per(c.count, "population"), 1),
             "month_label": month_label(c.month),
@@ -97,22 +102,31 @@ def category_month(incidents: DataFrame, study: Study) -> DataFrame:
     return wide.withColumn(c.category, without_code(c.category)).orderBy(c.category)
 
 
-def target_cells(merged: DataFrame, study: Study, digits: int = 1) -> DataFrame:
-    """The chosen category by month and region.
+def month_cells(merged: DataFrame, study: Study, digits: int = 1) -> DataFrame:
+    """All incidents (``_all``) and those of the chosen category, by month and region, from one aggregate.
 
-    Flag sums count merged rows, not incidents. Supply and population are constant within a cell, so the
-    maximum is their value whatever the row order.
+    Without rows of the category (``_rows`` is 0), or with an unknown key, the columns of the category are null. Flag sums
+    count merged rows, not incidents. Supply and population are constant within a cell, so the maximum is their value
+    whatever the row order. The category is picked inside the sums: a filter would reach only one of the two readers of
+    the incidents below, and they would be joined twice.
     """
     c, p = study.incidents, study.panel
     keys = [c.year, c.quarter, c.month, c.region]
-    chosen = merged.filter(F.col(c.category) == p.category)
-    known = chosen.na.drop(subset=keys)
-    sums = [F.coalesce(F.sum(c.count), F.lit(0)).alias(p.target)]
-    sums += [F.sum(flag).alias(alias) for flag, alias in p.flags]
-    sums += [F.max(p.supply[0]).alias(p.supply[1]), F.max(study.total_population).alias(p.population)]
-    sums += [F.max(n).alias(n) for n in p.extra]
-    cells = known.groupBy(*keys).agg(*sums)
-    return cells.withColumn(p.rate, round_even(rate_per(p.target, p.population), digits))
+    chosen = (F.col(c.category) == p.category) & all_known(keys)
+    of = lambda name: F.when(chosen, F.col(name))
+    sums = [total(c.count).alias("_all"), F.count_if(chosen).alias("_rows"), F.sum(of(c.count)).alias("_target")]
+    sums += [F.sum(of(flag)).alias(alias) for flag, alias in p.flags]
+    sums += [F.max(of(p.supply[0])).alias(p.supply[1]), F.max(of(study.total_population)).alias(p.population)]
+    sums += [F.max(of(n)).alias(n) for n in p.extra]
+    counted = merged.groupBy(*keys).agg(*sums)
+    cells = counted.withColumn(p.target, F.when(F.col("_rows") > 0, F.coalesce("_target", F.lit(0))))
+    names = [p.target, *[alias for _, alias in p.flags], p.supply[1], p.population, *p.extra]
+    return cells.select(*keys, *names, round_even(rate_per(p.target, p.population), digits).alias(p.rate), "_all", "_rows")
+
+
+def target_cells(merged: DataFrame, study: Study, digits: int = 1) -> DataFrame:
+    """The chosen category by month and region."""
+    return month_cells(merged, study, digits).filter("_rows > 0").drop("_all", "_rows")
 
 
 def target_by_region_year(cells: DataFrame, study: Study, years) -> DataFrame:
@@ -152,23 +166,38 @@ def skewness(cells: DataFrame, study: Study) -> DataFrame:
     return logs.agg(skew_adjusted("raw").alias("skew_raw"), skew_adjusted("log").alias("skew_log"))
 
 
-def findings(merged: DataFrame, cells: DataFrame, study: Study, years) -> DataFrame:
-    """Peak month, region with the highest rate, correlation and skewness, as one row."""
+def findings(merged: DataFrame, study: Study, years) -> DataFrame:
+    """Peak month, region with the highest rate, correlation and skewness, as one row.
+
+    All of it comes from one table of month cells: grouping sets total them by month, by region and year, and as a whole,
+    and one more aggregate picks the largest (the earlier month or name on ties). A listed region without a row fails
+    the job.
+    """
     c, p = study.incidents, study.panel
-    months = grouped_total(merged, [c.month], [c.count])
-    peak = months.orderBy(F.col(c.count).desc(), c.month).limit(1).select(month_label(c.month))
-    rates = target_by_region_year(cells, study, years).select(c.region, "mean_rate")
-    leader = rates.orderBy(F.col("mean_rate").desc(), c.region).limit(1)
-    logs = cells.select("*", F.log1p(p.target).alias("_log"), F.col(p.target).cast("double").alias("_raw"))
-    row = logs.agg(
+    year = F.when(F.col("_rows") > 0, listed(c.year, years)).otherwise(F.col(c.year))
+    cells = month_cells(merged, study).withColumns({c.year: year, "_log": F.log1p(p.target), "_raw": F.col(p.target).cast("double")})
+    sets = cells.groupingSets([[c.month], [c.region, c.year], []], c.month, c.region, c.year).agg(
+        F.grouping_id().alias("_set"),
+        F.sum("_all").alias("_all"),
+        round_even(mean_of_rounded(p.rate, 1), 1).alias("_rate"),
         pearson(p.supply[1], p.target).alias("supply_r"),
         skew_adjusted("_raw").alias("skew_raw"),
         skew_adjusted("_log").alias("skew_log"),
     )
+    by_month, by_region, whole = 3, 4, 7  # bits of the columns that a set leaves out
+    means = sets.groupBy("_set", c.month, c.region).agg(F.avg("_rate").alias("_rate"), *[F.max(n).alias(n) for n in ("_all", "supply_r", "skew_raw", "skew_log")])
+    month, region = F.col("_set") == by_month, (F.col("_set") == by_region) & F.col("_rate").isNotNull() & F.col(c.region).isin(*study.regions)
+    row = means.agg(
+        F.max_by(c.month, F.when(month & F.col(c.month).isNotNull(), F.struct("_all", -F.col(c.month)))).alias("_month"),
+        F.min_by(F.struct(c.region, "_rate"), F.when(region, F.struct(-F.col("_rate"), F.col(c.region)))).alias("_top"),
+        F.count_if(region).alias("_regions"),
+        *[F.max(F.when(F.col("_set") == whole, F.col(n))).alias(n) for n in ("supply_r", "skew_raw", "skew_log")],
+    )
+    lacking = F.raise_error(F.lit(f"{c.region} lacks a listed level")).cast("string")
     return row.select(
-        peak.scalar().alias("peak_month"),
-        leader.select(c.region).scalar().alias("top_region"),
-        leader.select("mean_rate").scalar().alias("top_rate"),
+        month_label("_month").alias("peak_month"),
+        F.when(F.col("_regions") < len(study.regions), lacking).otherwise(F.col("_top")[c.region]).alias("top_region"),
+        F.col("_top")["_rate"].alias("top_rate"),
         "supply_r",
         "skew_raw",
         "skew_log",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from regiotally.functions.calendar import quarter_of_month, quarter_of_quarter_end
 from regiotally.functions.nulls import differs_or_null, total
-from regiotally.operators.combine import append, attach, one_hot
+from regiotally.operators.combine import append, attach, attach_null_safe, one_hot
 from regiotally.operators.impute import fill_weighted_mean, whole_numbers
 from regiotally.operators.recode import drop_unmapped, lookup_strict, region_from_area
 from regiotally.operators.reshape import grouped_total, totals_by_split, unique_keys
@@ -58,28 +60,46 @@ def supply_by_quarter(frames, study: Study, quarter_ending: str = "Quarter Endin
     return grouped_total(drop_unmapped(dated, c.region, study.supply_regions), c.cell, study.measures)
 
 
-def filled_supply(rolled: DataFrame, supply: DataFrame, study: Study) -> DataFrame:
+def filled_supply(rolled: DataFrame, supply: DataFrame, study: Study, marked: bool = False) -> DataFrame:
     """Supply for every cell that has incidents, gaps filled where the region and quarter have a mean.
 
+    With ``marked`` a flag ``_open_<measure>`` tells of each measure whether it was a gap.
+
     A gap takes the mean of its region and quarter over the merged rows. Supply is constant in a cell, so
     that mean is the cell mean weighted by the cell's row count, and no row of the fact is touched. Supply
     of cells without incidents does not count.
+
+    The rows are counted by a sum of ones that read the measure (in a form that is not folded away), so that this reader
+    of the rolled counts asks for the same columns as the join does: the planner then computes their shuffle, and the
+    joins below it, once.
     """
     c = study.incidents
-    cells = rolled.groupBy(*c.cell).agg(F.count(F.lit(1)).alias("_rows"))
+    cells = rolled.groupBy(*c.cell).agg(F.sum(_one(study)).alias("_rows"))
     known = attach(cells, supply, c.cell)
+    if marked:
+        known = known.withColumns({f"_open_{m}": F.col(m).isNull() for m in study.measures})
     return fill_weighted_mean(known, study.measures, [c.region, c.quarter], "_rows").drop("_rows")
 
 
-def merge(rolled: DataFrame, population: DataFrame, supply: DataFrame, study: Study) -> DataFrame:
+def _one(study: Study) -> Column:
+    """1, from the measure, in a form that the optimizer does not fold."""
+    return (F.greatest(F.least(F.col(study.incidents.count), F.lit(0)), F.lit(0)) + 1).cast("long")
+
+
+def merge(rolled: DataFrame, population: DataFrame, supply: DataFrame, study: Study, seen: Observation | None = None) -> DataFrame:
     """Attach population and filled supply, add region flags, arrange the columns.
 
+    ``seen`` counts rows and nulls of the joins on the way, from supply with ``_open_`` flags.
+
     Supply becomes whole after the join, so a row without a region, which no cell of the supply matches, fails the job
     as a cell without a mean does.
     """
     c = study.incidents
-    supplied = whole_numbers(attach(rolled, supply, c.cell), study.measures)
+    supplied = attach_null_safe(rolled, supply, c.cell)
     joined = attach(supplied, population, [c.year, c.region])
+    if seen is not None:
+        joined = joined.observe(seen, *_null_sums(study))
+    joined = whole_numbers(joined, study.measures)
     encoded = one_hot(joined, c.region, study.regions, study.reference, study.region_prefix)
     plain = [n for s in study.population_splits for n in map(s.rename, s.levels) if not n.startswith(study.split_prefix)]
     split = sorted(
@@ -93,7 +113,8 @@ def merge(rolled: DataFrame, population: DataFrame, supply: DataFrame, study: St
 def prepare(clean: DataFrame, population: DataFrame, supply: DataFrame, study: Study) -> DataFrame:
     """The merged table from cleaned incidents, population features and quarterly supply: one lazy plan.
 
-    The counts feed both the fill and the join; the planner reads their shuffle twice instead of computing it twice.
+    The counts feed both the fill and the join; the planner reads their shuffle twice instead of computing it twice
+    (``tests/test_plans.py`` holds the final plan to one scan).
     A dimension with two rows for a key fails the job.
     """
     c = study.incidents
@@ -104,21 +125,54 @@ def prepare(clean: DataFrame, population: DataFrame, supply: DataFrame, study: S
 
 def stage_counts(loaded: DataFrame, study: Study, region: str, rows: str | None = None) -> DataFrame:
     """Rows loaded, rows kept and incidents counted in them, from one pass; ``rows``: a column of source row counts."""
-    c = study.incidents
+    return loaded.agg(*_stage_sums(study, region, rows))
+
+
+def _stage_sums(study: Study, region: str, rows: str | None) -> list[Column]:
     n = F.col(rows) if rows else F.lit(1)
     kept = kept_rows(study, region)
-    return loaded.agg(
-        total(F.when(kept, n)).alias("kept"), total(F.when(kept, F.col(c.count))).alias("counted"), total(n).alias("loaded")
-    )
+    return [total(F.when(kept, n)).alias("kept"), total(F.when(kept, F.col(study.incidents.count))).alias("counted"), total(n).alias("loaded")]
+
+
+def _null_sums(study: Study) -> list[Column]:
+    """Merged rows, and nulls in them as supply was joined, after it was filled, and after population was joined."""
+    sums = [F.sum(_one(study)).alias("rows")]
+    sums += [F.count_if(F.coalesce(F.col(f"_open_{m}"), F.lit(True))).alias(f"joined_{m}") for m in study.measures]
+    sums += [F.count_if(F.col(m).isNull()).alias(f"filled_{m}") for m in study.measures]
+    return [*sums, F.count_if(F.col(study.total_population).isNull()).alias(f"peopled_{study.total_population}")]
+
+
+@dataclass
+class Checkpoints:
+    """Counts that ride on the job that writes the merged table; ``row`` waits for it.
+
+    They are what ``stage_counts`` and ``join_profile`` tell, without a job of their own. Spark adds them up as tasks end:
+    a stage that runs again after a lost executor may add its rows twice, so they are for reports, not for decisions.
+    """
+
+    loaded: Observation = field(default_factory=lambda: Observation("loaded"))
+    merged: Observation = field(default_factory=lambda: Observation("merged"))
+
+    def row(self, spark: SparkSession) -> DataFrame:
+        found = {**self.loaded.get, **self.merged.get}
+        return spark.createDataFrame([tuple(found.values())], ", ".join(f"`{n}` long" for n in found))
+
+
+def prepare_observed(
+    raw: DataFrame, population: DataFrame, supply: DataFrame, study: Study, region: str, area: str, unused=(), rows: str | None = None
+) -> tuple[DataFrame, Checkpoints]:
+    """The merged table from incidents as loaded, and the counts that are known once it has been written."""
+    c, points = study.incidents, Checkpoints()
+    seen = raw.observe(points.loaded, *_stage_sums(study, region, rows))
+    counts = roll_up(clean_incidents(seen, study, region, area, unused), study)
+    people, quarters = unique_keys(population, [c.year, c.region]), unique_keys(supply, c.cell)
+    return merge(counts, people, filled_supply(counts, quarters, study, marked=True), study, points.merged), points
 
 
 def join_profile(clean: DataFrame, population: DataFrame, supply: DataFrame, study: Study) -> DataFrame:
     """Nulls in the merged rows after each step: supply joined, supply filled, population joined. One pass."""
     c = study.incidents
     counts = roll_up(clean, study)
-    filled = filled_supply(counts, unique_keys(supply, c.cell), study).withColumnsRenamed({m: f"_{m}" for m in study.measures})
-    joined = attach(attach(attach(counts, supply, c.cell), filled, c.cell), unique_keys(population, [c.year, c.region]), [c.year, c.region])
-    sums = [F.count(F.lit(1)).alias("rows")]
-    for stage, names in (("joined", list(study.measures)), ("filled", [f"_{m}" for m in study.measures]), ("peopled", [study.total_population])):
-        sums += [F.count_if(F.col(n).isNull()).alias(f"{stage}{n if n[0] == '_' else '_' + n}") for n in names]
-    return joined.agg(*sums)
+    filled = filled_supply(counts, unique_keys(supply, c.cell), study, marked=True)
+    joined = attach(attach_null_safe(counts, filled, c.cell), unique_keys(population, [c.year, c.region]), [c.year, c.region])
+    return joined.agg(*_null_sums(study))

@@ -365,6 +365,14 @@ def oracles() -> dict[str, str]:
         "region_recode": query(["places"], """
             SELECT region, count(*)::BIGINT AS customers FROM customer JOIN places ON c_nationkey = n_nationkey
             GROUP BY region"""),
+        "pair_recode": query(["places"], """
+            SELECT region, CASE WHEN r_name = 'MIDDLE EAST' AND n_name IN ('NATION_4', 'NATION_9', 'NATION_14') THEN 'pair'
+                     WHEN r_name IN ('AFRICA', 'AMERICA', 'ASIA', 'MIDDLE EAST') THEN 'first' ELSE 'none' END AS match,
+                   count(*)::BIGINT AS customers
+            FROM customer JOIN places ON c_nationkey = n_nationkey GROUP BY ALL"""),
+        "unmapped_pairs": query(["places"], """
+            SELECT r_name, n_name, 1::BIGINT AS rows FROM places
+            WHERE r_name NOT IN ('AFRICA', 'AMERICA', 'ASIA', 'MIDDLE EAST') AND n_nationkey IN (SELECT c_nationkey FROM customer)"""),
         "strict_flag_recode": """
             SELECT CASE l_returnflag WHEN 'R' THEN 1 ELSE 0 END AS returned,
                    CASE l_linestatus WHEN 'F' THEN 1 ELSE 0 END AS filled, count(*)::BIGINT AS lines
@@ -406,6 +414,17 @@ def oracles() -> dict[str, str]:
             SELECT region, n_name, count(*)::BIGINT AS customers,
                    {', '.join(f"region = '{v}' AS \"region_{v}\"" for v in DUMMIES)}
             FROM customer JOIN places ON c_nationkey = n_nationkey GROUP BY ALL"""),
+        "encoded_shipments": """
+            WITH lines AS (
+              SELECT l_returnflag || '-' || l_linestatus || '-' || (year(l_shipdate) > 1998) AS state, l_quantity FROM lineitem)
+            SELECT state = 'A-O-false' AS "is_A-O-false", state = 'N-F-false' AS "is_N-F-false", state = 'N-O-false' AS "is_N-O-false",
+                   state = 'R-F-false' AS "is_R-F-false", state = 'R-O-false' AS "is_R-O-false", state LIKE '%true' AS is_new,
+                   sum(l_quantity::BIGINT)::BIGINT AS quantity
+            FROM lines GROUP BY ALL""",
+        "first_orders": """
+            SELECT o_custkey, arg_min(o_orderstatus, (o_orderdate, o_orderkey)) FILTER (o_orderstatus <> 'P') AS status,
+                   arg_min(o_orderpriority, (o_orderdate, o_orderkey)) AS priority
+            FROM orders GROUP BY o_custkey""",
         "null_profile": query(["rolled", "reported"], """
             SELECT unnest(['supply', 'returned_supply']) AS column_name, count(*)::BIGINT AS nulls
             FROM rolled LEFT JOIN reported USING (year, quarter, region) WHERE supply IS NULL"""),
@@ -426,6 +445,26 @@ def oracles() -> dict[str, str]:
                    (SELECT count(*) FROM merged WHERE returned_supply IS NULL)::BIGINT AS filled_returned_supply,
                    count(*) FILTER (p.total_population IS NULL)::BIGINT AS peopled_total_population
             FROM rolled LEFT JOIN reported s USING (year, quarter, region) LEFT JOIN population p USING (year, region)"""),
+        "observed_counts": query(["loaded", "rolled", "reported", "merged", "population"], """
+            SELECT l.*, n.* FROM
+              (SELECT count(*) FILTER (year <> 2001)::BIGINT AS kept, sum(n) FILTER (year <> 2001)::BIGINT AS counted,
+                      count(*)::BIGINT AS loaded FROM loaded) l,
+              (SELECT count(*)::BIGINT AS rows, count(*) FILTER (s.supply IS NULL)::BIGINT AS joined_supply,
+                      count(*) FILTER (s.returned_supply IS NULL)::BIGINT AS joined_returned_supply,
+                      (SELECT count(*) FROM merged WHERE supply IS NULL)::BIGINT AS filled_supply,
+                      (SELECT count(*) FROM merged WHERE returned_supply IS NULL)::BIGINT AS filled_returned_supply,
+                      count(*) FILTER (p.total_population IS NULL)::BIGINT AS peopled_total_population
+               FROM rolled LEFT JOIN reported s USING (year, quarter, region) LEFT JOIN population p USING (year, region)) n"""),
+        "delimited_round_trip": query(["merged"], f"""
+            SELECT *, {', '.join(f"region = '{v}' AS \"region_{v}\"" for v in DUMMIES)} FROM merged"""),
+        "load_rejects": """
+            SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'type of o_totalprice' WHEN o_orderstatus = 'P' THEN 'missing o_orderstatus'
+                     ELSE 'kept' END AS reason, count(*)::BIGINT AS rows FROM orders GROUP BY ALL""",
+        "yearly_files": query(["places"], """
+            SELECT file_year, region, sum(supply) AS supply, count(*)::BIGINT AS rows FROM (
+              SELECT year(l_shipdate)::INT AS file_year, quarter(l_shipdate), n_nationkey, r_name AS region, sum(l_quantity) AS supply
+              FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN places ON s_nationkey = n_nationkey GROUP BY ALL)
+            GROUP BY ALL"""),
         "final_nulls": query(["merged"], """
             SELECT column_name, nulls FROM (
               SELECT unnest(['supply', 'returned_supply', 'total_population', 'credit', 'debit', 'incidents']) AS column_name,
@@ -550,6 +589,23 @@ def oracles() -> dict[str, str]:
     found["corr_matrix"] = query(["cells"], " UNION ALL ".join(
         f"SELECT '{names[a]}' AS row_name, '{names[b]}' AS column_name, CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 0 THEN {r(f'corr({a}, {b})')} END AS r FROM cells"
         for a in names for b in names))
+    found["corr_wide"] = query(["rolled"], f"""
+            , kinds AS (SELECT DISTINCT kind FROM rolled WHERE kind IS NOT NULL), months AS (SELECT DISTINCT year, month FROM rolled),
+            cells AS (SELECT year, month, kind, coalesce(n, 0) AS n FROM months CROSS JOIN kinds LEFT JOIN
+                        (SELECT year, month, kind, sum(incidents) AS n FROM rolled GROUP BY ALL) USING (year, month, kind))
+            SELECT a.kind AS row_name, b.kind AS column_name,
+                   CASE WHEN stddev_pop(a.n) * stddev_pop(b.n) > 0 THEN {r('corr(a.n, b.n)')} END AS r
+            FROM cells a JOIN cells b USING (year, month) GROUP BY ALL""")
+    root = "(sqrt(n) + 0.12 + 0.11 / sqrt(n)) * distance"
+    tail = f"2 * (SELECT sum((-1) ** (k - 1) * exp(-2 * k * k * ({root}) ** 2)) FROM range(1, 20) s(k))"
+    found["price_normality"] = query([], f"""
+            WITH scored AS (
+              SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS i, count(*) OVER () AS n,
+                     (o_totalprice - avg(o_totalprice) OVER ()) / stddev_samp(o_totalprice) OVER () AS z FROM orders),
+            below AS (SELECT *, 0.5 + {simpson_sql('(exp(-0.5 * {x} * {x}) / sqrt(2 * pi()))', 'z', 200)} AS f FROM scored),
+            gap AS (SELECT any_value(n)::BIGINT AS n, max(greatest(i / n - f, f - (i - 1) / n)) AS distance FROM below)
+            SELECT n, {r('distance', 9)} AS distance, {r(f'least(1, greatest(0, {tail}))', 9)} AS p_value,
+                   CASE WHEN {tail} > 0.05 THEN 'not rejected' ELSE 'rejected' END AS normality FROM gap""")
     found["findings_summary"] = query(["rolled", "cells", "ranked"], f"""
             SELECT (SELECT {LABEL.format('month')} FROM rolled GROUP BY month ORDER BY sum(incidents) DESC, month LIMIT 1)
                      AS peak_month,

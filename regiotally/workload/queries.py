@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from regiotally.functions.calendar import month_label, period_label, quarter_of_month, quarter_of_quarter_end
 from regiotally.functions.labels import before_colon, fixed, thousands, without_code
-from regiotally.functions.nulls import differs_or_null
+from regiotally.functions.nulls import differs_or_null, first_known
 from regiotally.functions.numeric import round_even
 from regiotally.operators import checks, stats
 from regiotally.operators.combine import append, one_hot
-from regiotally.operators.diagnostics import inflation_factors
+from regiotally.operators.diagnostics import inflation_factors, kolmogorov_smirnov
+from regiotally.operators.encode import fit_encoder
 from regiotally.operators.impute import fill_group_mean, whole_numbers
 from regiotally.operators.panel import add_lags, complete_months
-from regiotally.operators.recode import drop_unmapped, lookup_strict, recode_by_table, region_from_area
-from regiotally.operators.reshape import by_listed_order, distinct_sorted, grouped_total, pivot_count
+from regiotally.operators.recode import drop_unmapped, lookup_strict, recode_by_table, recode_pairs, region_from_area, unmapped
+from regiotally.operators.reshape import by_listed_order, distinct_sorted, grouped_total, pivot_count, pivot_total
 from regiotally.operators.scaling import standardize
 from regiotally.plans import explore, forecast
-from regiotally.plans.prepare import join_profile, stage_counts
+from regiotally.plans.prepare import join_profile, prepare_observed, stage_counts
+from regiotally.sources.delimited import read_delimited, read_with_rejects, write_delimited
+from regiotally.sources.staging import removed, staged_path
+from regiotally.sources.yearly import read_yearly
 from regiotally.workload import tables as t
 
 TRADE, YEARS = t.TRADE, t.YEARS
@@ -42,6 +46,30 @@ def region_recode(spark: SparkSession, d: str) -> DataFrame:
     return named.groupBy(region.alias("region")).agg(F.sum("customers").alias("customers"))
 
 
+def _pair_table(spark: SparkSession) -> DataFrame:
+    """The recode of the study as a table: areas of the balance region, its fallback, and the other regions."""
+    r = TRADE.recode
+    rows = [(r.balance, area, region) for area, region in r.areas.items()] + [(r.balance, None, r.fallback)]
+    rows += [(region, None, name) for region, name in r.regions.items() if region != r.balance]
+    return spark.createDataFrame(rows, "first string, second string, value string")
+
+
+def _counted_places(spark: SparkSession, d: str) -> DataFrame:
+    counted = t.table(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"))
+    return counted.join(t.places(spark, d), F.col("c_nationkey") == F.col("n_nationkey"))
+
+
+def pair_recode(spark: SparkSession, d: str) -> DataFrame:
+    """Customers per region and kind of match, recoded by region and nation through a table."""
+    named = recode_pairs(_counted_places(spark, d), "r_name", "n_name", _pair_table(spark), "region")
+    return named.groupBy("region", "match").agg(F.sum("customers").alias("customers"))
+
+
+def unmapped_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Regions and nations that the recode table does not list."""
+    return unmapped(recode_pairs(_counted_places(spark, d), "r_name", "n_name", _pair_table(spark), "region"), "r_name", "n_name")
+
+
 def strict_flag_recode(spark: SparkSession, d: str) -> DataFrame:
     lines = t.table(spark, d, "lineitem").select("l_returnflag", "l_linestatus")
     flags = lines.select(
@@ -149,6 +177,28 @@ def onehot_region(spark: SparkSession, d: str) -> DataFrame:
     return one_hot(rows, "region", TRADE.regions, TRADE.reference, "region_")
 
 
+def encoded_shipments(spark: SparkSession, d: str) -> DataFrame:
+    """Quantity by dummy columns of the line status, levels found in the lines up to 1997 and used on all.
+
+    Levels are those of returns and status together; a level that only later lines have is told by its own flag.
+    """
+    lines = t.table(spark, d, "lineitem").select(
+        F.concat_ws("-", "l_returnflag", "l_linestatus", (F.year("l_shipdate") > 1998).cast("string")).alias("state"), "l_shipdate", "l_quantity"
+    )
+    encoder = fit_encoder(lines.filter(F.year("l_shipdate") <= 1998), "state", "is_", reference="A-F-false")
+    coded = encoder.apply(lines, unknown="is_new")
+    return coded.groupBy(*encoder.names, "is_new").agg(F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+
+
+def first_orders(spark: SparkSession, d: str) -> DataFrame:
+    """First known status and priority of each customer by date, where the status of pending orders is not known."""
+    orders = t.table(spark, d, "orders").select("o_custkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"), "o_orderpriority", "o_orderdate", "o_orderkey")
+    order = ("o_orderdate", "o_orderkey")
+    return orders.groupBy("o_custkey").agg(
+        first_known("status", *order).alias("status"), first_known("o_orderpriority", *order).alias("priority")
+    )
+
+
 def null_profile(spark: SparkSession, d: str) -> DataFrame:
     """Columns with nulls after the left join of supply, before any filling."""
     return checks.null_counts(t.with_supply(spark, d))
@@ -175,6 +225,54 @@ def join_nulls(spark: SparkSession, d: str) -> DataFrame:
     return join_profile(t.clean(spark, d), t.population(spark, d), t.reported_supply(spark, d), TRADE)
 
 
+def observed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Row and null counts of every step, told by the one job that writes the merged table."""
+    raw = t.incident_rows(spark, d)
+    merged, points = prepare_observed(
+        raw, t.population(spark, d), t.reported_supply(spark, d), TRADE, "reporting_region", "area", ["source_rows"], "source_rows"
+    )
+    path = staged_path(spark, "merged")
+    try:
+        merged.write.parquet(path)
+    finally:
+        removed(spark, path)
+    return points.row(spark)
+
+
+def delimited_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The merged table written as headed text and read again with declared types."""
+    merged = t.merged(spark, d)
+    path = staged_path(spark, "delimited")
+    write_delimited(merged, path)
+    return read_delimited(spark, path, merged.schema)
+
+
+def load_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a text file in which some prices and keys are no numbers: clean rows and rejects by reason."""
+    orders = t.table(spark, d, "orders")
+    price = F.when(F.col("o_orderpriority") == "5-LOW", F.concat(F.col("o_totalprice").cast("string"), F.lit(" USD"))).otherwise(F.col("o_totalprice").cast("string"))
+    status = F.when(F.col("o_orderstatus") == "P", F.lit("n/a")).otherwise(F.col("o_orderstatus"))
+    path = staged_path(spark, "orders")
+    write_delimited(orders.select("o_orderkey", status.alias(" o_orderstatus "), price.alias("o_totalprice")), path)
+    schema = t.schema_of("o_orderkey long, o_orderstatus string, o_totalprice double")
+    clean, rejects = read_with_rejects(spark, path, schema, required=["o_orderstatus"])
+    kept = clean.agg(F.lit("kept").alias("reason"), F.count(F.lit(1)).alias("rows"))
+    return kept.unionByName(rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("rows")))
+
+
+def yearly_files(spark: SparkSession, d: str) -> DataFrame:
+    """Supply written as one folder a year and read as one table, with the year that the folder tells."""
+    rows = t.supply_rows(spark, d)
+    path = staged_path(spark, "supply")
+    found = [r[0] for r in rows.select(F.year("quarter_ending").alias("year")).distinct().orderBy("year").collect()]
+    whole = rows.persist()  # one reader a year
+    for year in found:
+        write_delimited(whole.filter(F.year("quarter_ending") == year), f"{path}/supply-{year}.csv")
+    whole.unpersist()
+    read = read_yearly(spark, f"{path}/supply-*.csv", rows.schema)
+    return read.groupBy("file_year", "region").agg(F.sum("supply").alias("supply"), F.count(F.lit(1)).alias("rows"))
+
+
 def final_nulls(spark: SparkSession, d: str) -> DataFrame:
     """Columns of the merged table that still hold nulls."""
     return checks.null_counts(t.merged(spark, d))
@@ -293,9 +391,24 @@ def corr_matrix(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.correlation_matrix(cells(spark, d), names, labels), ["r"])
 
 
+def corr_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation of the monthly incidents of every pair of kinds, from two vector aggregates."""
+    months = grouped_total(t.clean(spark, d), ["year", "month", "kind"], ["incidents"])
+    wide = pivot_total(months, ["year", "month"], "kind", "incidents").persist()
+    names = [n for n in wide.columns if n not in ("year", "month")]
+    table = rounded(stats.correlation_wide(wide, names), ["r"])
+    wide.unpersist()
+    return table
+
+
+def price_normality(spark: SparkSession, d: str) -> DataFrame:
+    """Kolmogorov-Smirnov test of all order prices against the normal distribution of their mean and deviation."""
+    prices = t.table(spark, d, "orders").select("o_totalprice", "o_orderkey")
+    return rounded(kolmogorov_smirnov(prices, "o_totalprice", ["o_orderkey"]), ["distance", "p_value"], 9)
+
+
 def findings_summary(spark: SparkSession, d: str) -> DataFrame:
-    merged = t.merged(spark, d)
-    row = explore.findings(merged, explore.target_cells(merged, TRADE), TRADE, t.years(spark, d))
+    row = explore.findings(t.merged(spark, d), TRADE, t.years(spark, d))
     return rounded(row, ["top_rate", "supply_r", "skew_raw", "skew_log"])
 
 
@@ -434,14 +547,14 @@ def worst5(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    region_recode, strict_flag_recode, lenient_recode_sum, table_recode, not_equal_keeps_null,
+    region_recode, pair_recode, unmapped_pairs, strict_flag_recode, lenient_recode_sum, table_recode, not_equal_keeps_null,
     quarter_month_labels, quarter_end_quarters, label_strip, period_labels,
-    population_features, supply_rollup, append_years, merged_table, imputed_supply, onehot_region,
-    null_profile, coverage, rowcount_matrix, region_list, load_counts, join_nulls, final_nulls, sample_rows,
+    population_features, supply_rollup, append_years, merged_table, imputed_supply, onehot_region, encoded_shipments, first_orders,
+    null_profile, coverage, rowcount_matrix, region_list, load_counts, join_nulls, observed_counts, delimited_round_trip, load_rejects, yearly_files, final_nulls, sample_rows,
     population_by_year, category_by_year, involvement_share, monthly_total_peak, monthly_rate,
     monthly_rate_by_year, monthly_trend, category_month_matrix, event_hour_matrix, event_daily_lags,
     assault_cells, assault_region_year, assault_month_region, supply_trend, skewness_raw_log,
-    histogram30, histogram30_log, density_grid, density_grid_log, trend_line, corr_pair, corr_matrix, findings_summary,
+    histogram30, histogram30_log, density_grid, density_grid_log, trend_line, corr_pair, corr_matrix, corr_wide, price_normality, findings_summary,
     listed_regions, panel_features, lag_features, calendar_lags, train_test_rows,
     standardized, vif, vif_chosen, feature_ablation, ridge_grid_time_order, alpha_grid,
     leaderboard, coefficients, residuals, qq_positions, qq_line,

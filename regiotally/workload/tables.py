@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from regiotally.operators.combine import attach
 from regiotally.operators.recode import region_from_area
@@ -62,6 +63,10 @@ SCHEMAS = {
 }
 
 
+def schema_of(text: str) -> StructType:
+    return StructType.fromDDL(text)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 

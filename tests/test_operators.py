@@ -10,7 +10,7 @@ from regiotally.operators import checks, stats
 from regiotally.operators.combine import append, attach, one_hot
 from regiotally.operators.impute import fill_group_mean, fill_weighted_mean, whole_numbers
 from regiotally.operators.panel import add_lags, add_season, complete_months, split_years
-from regiotally.operators.position import fold_block, slice_bounds, slice_number, with_position
+from regiotally.operators.position import fold_block, sliced, with_position
 from regiotally.operators.recode import drop_unmapped, lookup_strict, recode_by_table, region_from_area
 from regiotally.operators.reshape import (
     Split,
@@ -225,8 +225,7 @@ def test_positions(spark):
 
 def test_slices_spread_a_hot_value(spark):
     df = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("v"), "id")
-    sliced = df.select(slice_number(df, ["v", "id"], slice_bounds(df, ["v", "id"], 8)).alias("slice"))
-    counts = [r["count"] for r in sliced.groupBy("slice").count().collect()]
+    counts = [r["count"] for r in sliced(df, ["v", "id"], 8).groupBy("_slice").count().collect()]
     assert len(counts) == 8 and max(counts) < 40_000 / 4
 
 

@@ -322,7 +322,7 @@ def test_time_order_and_fold_scaling_are_options(merged, study):
 
 def test_findings(merged, expected):
     cells = explore.target_cells(merged, STUDY)
-    row = explore.findings(merged, cells, STUDY, YEARS).first()
+    row = explore.findings(merged, STUDY, YEARS).first()
     want = expected.groupby("Month number")["Number of offences"].sum()
     assert row["peak_month"] == datetime.date(2000, int(want.idxmax()), 1).strftime("%b")
     chosen = expected[expected["Offence category"] == "02 Assault"].groupby(["Region", "Year", "Month number"])["Number of offences"].sum()

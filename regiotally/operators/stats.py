@@ -153,10 +153,10 @@ def correlation_wide(df: DataFrame, columns, names=None) -> DataFrame:
     values = df.select(F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("x"))
     filled = F.transform("x", lambda v: F.coalesce(v, F.lit(0.0)))
     known = F.transform("x", lambda v: v.isNotNull().cast("double"))
-    both = values.select(array_to_vector(F.concat(filled, known)).alias("v")).agg(Summarizer.sum(F.col("v")).alias("s")).first()["s"]
-    sums = both.toArray() if both is not None and both.size else np.zeros(2 * p)
+    both = values.select(array_to_vector(F.concat(filled, known)).alias("v"))
+    sums = np.zeros(2 * p) if both.isEmpty() else both.agg(Summarizer.sum(F.col("v")).alias("s")).first()["s"].toArray()
     centre = np.divide(sums[:p], sums[p:], out=np.zeros(p), where=sums[p:] > 0)
-    off = F.zip_with("x", F.lit([float(c) for c in centre]), lambda v, c: F.coalesce(v - c, F.lit(0.0)))
+    off = F.zip_with("x", F.array(*[F.lit(float(c)) for c in centre]), lambda v, c: F.coalesce(v - c, F.lit(0.0)))
     rows = values.select(known.alias("m"), off.alias("x")).select(array_to_vector(F.concat("x", "m", F.transform("x", lambda v: v * v))).alias("v"))
     if sums[p:].any():
         gram = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v"), 0, 3 * p).computeGramianMatrix().toArray()

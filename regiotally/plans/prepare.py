@@ -36,10 +36,14 @@ def roll_up(clean: DataFrame, study: Study) -> DataFrame:
     """Incident counts by every dimension, null keys kept.
 
     Grouping comes before the joins: population and supply depend on keys that are already among the
-    dimensions, so the result is the same and the joins see cells in place of incidents.
+    dimensions, so the result is the same and the joins see cells in place of incidents. A negative count fails the job.
+    As every reader of the counts checks them, all of them ask for the same columns, and the planner computes the shuffle
+    of the counts, and the joins below it, once however often it is read.
     """
     c = study.incidents
-    return grouped_total(clean, c.dimensions, [c.count], keep_null_keys=True)
+    counts = grouped_total(clean, c.dimensions, [c.count], keep_null_keys=True)
+    negative = F.raise_error(F.lit(f"{c.count} is negative")).cast("boolean")
+    return counts.filter(F.when(F.col(c.count) < 0, negative).otherwise(True))
 
 
 def population_features(population: DataFrame, study: Study, years=None) -> DataFrame:
@@ -68,24 +72,15 @@ def filled_supply(rolled: DataFrame, supply: DataFrame, study: Study, marked: bo
     A gap takes the mean of its region and quarter over the merged rows. Supply is constant in a cell, so
     that mean is the cell mean weighted by the cell's row count, and no row of the fact is touched. Supply
     of cells without incidents does not count.
-
-    The rows are counted by a sum of ones that read the measure (in a form that is not folded away), so that this reader
-    of the rolled counts asks for the same columns as the join does: the planner then computes their shuffle, and the
-    joins below it, once.
     """
     c = study.incidents
-    cells = rolled.groupBy(*c.cell).agg(F.sum(_one(study)).alias("_rows"))
+    cells = rolled.groupBy(*c.cell).agg(F.count(F.lit(1)).alias("_rows"))
     known = attach(cells, supply, c.cell)
     if marked:
         known = known.withColumns({f"_open_{m}": F.col(m).isNull() for m in study.measures})
     return fill_weighted_mean(known, study.measures, [c.region, c.quarter], "_rows").drop("_rows")
 
 
-def _one(study: Study) -> Column:
-    """1, from the measure, in a form that the optimizer does not fold."""
-    return (F.greatest(F.least(F.col(study.incidents.count), F.lit(0)), F.lit(0)) + 1).cast("long")
-
-
 def merge(rolled: DataFrame, population: DataFrame, supply: DataFrame, study: Study, seen: Observation | None = None) -> DataFrame:
     """Attach population and filled supply, add region flags, arrange the columns.
 
@@ -136,7 +131,7 @@ def _stage_sums(study: Study, region: str, rows: str | None) -> list[Column]:
 
 def _null_sums(study: Study) -> list[Column]:
     """Merged rows, and nulls in them as supply was joined, after it was filled, and after population was joined."""
-    sums = [F.sum(_one(study)).alias("rows")]
+    sums = [F.count(F.lit(1)).alias("rows")]
     sums += [F.count_if(F.coalesce(F.col(f"_open_{m}"), F.lit(True))).alias(f"joined_{m}") for m in study.measures]
     sums += [F.count_if(F.col(m).isNull()).alias(f"filled_{m}") for m in study.measures]
     return [*sums, F.count_if(F.col(study.total_population).isNull()).alias(f"peopled_{study.total_population}")]

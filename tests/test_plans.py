@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 from regiotally.workload import tables
@@ -58,6 +59,35 @@ def test_building_the_merged_table_starts_no_job(spark, tmp_path):
     assert "ReusedExchange" in plan_of(df)
 
 
+ONE_JOIN = ["merged_table", "imputed_supply", "monthly_rate", "corr_matrix", "findings_summary", "join_nulls", "panel_features", "final_nulls", "assault_region_year", "supply_trend"]
+
+
+@pytest.mark.parametrize("name", ONE_JOIN)
+def test_incidents_are_joined_once(spark, name):
+    """One scan of the lines by order in the plan that ran, however often their counts are read."""
+    df = registry.queries()[name](spark, FOLDER)
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert len(re.findall(r"ReadSchema: struct<l_orderkey", final)) == 1
+    assert len(re.findall(r"SortMergeJoin \[l_orderkey", final)) == 1
+
+
+@pytest.mark.parametrize("name", ["histogram30", "density_grid", "trend_line"])
+def test_bounds_are_planned_a_few_times_only(spark, name):
+    df = registry.queries()[name](spark, FOLDER)
+    df.collect()
+    whole = plan_of(df).split("== Initial Plan ==")
+    assert len(re.findall(r"ReadSchema: struct<l_orderkey", whole[0])) <= 2
+    assert len(re.findall(r"ReadSchema: struct<l_orderkey", whole[1])) <= 8  # twenty before bounds were attached as one row
+
+
+def test_positions_leave_no_boundaries_in_the_plan(spark):
+    from regiotally.operators.position import with_position
+
+    df, _ = with_position(spark.range(5_000).select(((F.col("id") * 7) % 5_000).alias("v"), "id"), ["v", "id"], slices=300)
+    assert "filter(" not in plan_of(df) and len(plan_of(df)) < 5_000
+
+
 def test_load_counts_read_the_lines_once(spark):
     plan = plan_of(registry.queries()["load_counts"](spark, FOLDER))
     assert len(re.findall(r"ReadSchema: struct<[^>]*l_orderkey", plan)) == 1

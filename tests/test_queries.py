@@ -11,6 +11,8 @@ CHECKED = [
     "merged_table", "imputed_supply", "null_profile", "involvement_share", "monthly_total_peak", "assault_region_year",
     "histogram30", "corr_matrix", "panel_features", "calendar_lags", "vif", "feature_ablation", "alpha_grid",
     "shapiro_test", "forecast_by_region", "load_counts", "join_nulls", "density_grid_log", "append_years",
+    "pair_recode", "unmapped_pairs", "encoded_shipments", "first_orders", "observed_counts", "delimited_round_trip", "load_rejects",
+    "yearly_files", "corr_wide", "price_normality",
 ]
 
 

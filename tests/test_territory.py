@@ -144,6 +144,14 @@ def test_cell_without_any_supply_fails(sources):
         prepare.prepare(clean, prepare.population_features(population, STUDY, YEARS), short, STUDY).collect()
 
 
+def test_a_negative_count_fails(spark, sources):
+    incidents, population, supply = sources
+    wrong = incidents.withColumn("Number of offences", -F.col("Number of offences"))
+    clean = prepare.clean_incidents(wrong, STUDY, "Reporting Region", "Statistical Area 2", ["As At"])
+    with pytest.raises(PySparkException, match="is negative"):
+        prepare.roll_up(clean, STUDY).select("Region").collect()
+
+
 def test_stage_counts(sources):
     incidents = sources[0]
     row = prepare.stage_counts(incidents, STUDY, "Reporting Region").first()
@@ -169,6 +177,23 @@ def test_nulls_after_each_join(sources):
     assert row["joined_Total PAC"] > 0 and row["filled_Total PAC"] == 0 and row["peopled_Total_population"] == 0
 
 
+def test_counts_ride_on_the_writing_job(spark, sources, tmp_path):
+    incidents, population, supply = sources
+    people, quarters = prepare.population_features(population, STUDY, YEARS), prepare.supply_by_quarter(supply, STUDY)
+    merged, points = prepare.prepare_observed(incidents, people, quarters, STUDY, "Reporting Region", "Statistical Area 2", ["As At"])
+    tracker, group = spark.sparkContext.statusTracker(), "observed"
+    spark.sparkContext.setJobGroup(group, group)
+    merged.write.parquet(str(tmp_path / "merged"))
+    written = len(tracker.getJobIdsForGroup(group))
+    row = {**points.loaded.get, **points.merged.get}
+    assert len(tracker.getJobIdsForGroup(group)) == written
+    assert points.row(spark).first().asDict() == row
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    clean = prepare.clean_incidents(incidents, STUDY, "Reporting Region", "Statistical Area 2", ["As At"])
+    want = prepare.stage_counts(incidents, STUDY, "Reporting Region").first().asDict() | prepare.join_profile(clean, people, quarters, STUDY).first().asDict()
+    assert row == want and row["rows"] == spark.read.parquet(str(tmp_path / "merged")).count()
+
+
 def test_monthly_summaries(merged, expected):
     months = explore.monthly_totals(merged, STUDY).toPandas()
     want = expected.groupby("Month number")["Number of offences"].sum()

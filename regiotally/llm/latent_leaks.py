@@ -22,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -102,27 +103,37 @@ class Coverage:
         for k, item in enumerate(items):
             for w in item.words:
                 places.setdefault(w, []).append(k)
+        # words of many items come first and are rows of a table, the others are lists of items one after the other
         often = [w for w, own in places.items() if len(set(own)) * RARE > len(items)]
-        self.common = {w: n for n, w in enumerate(often)}
         self.table = np.zeros((len(often), len(items)), dtype=np.int32)
         for n, w in enumerate(often):
             np.add.at(self.table[n], places[w], 1)
-        self.rare = {w: np.array(own, dtype=np.int64) for w, own in places.items() if w not in self.common}
-
-    def enough(self, words: list[str]) -> list[int]:
-        """Items that have so many of their words in ``words`` that a common subsequence may be long enough."""
-        own = set(words)
-        held = self.table[[n for w in own if (n := self.common.get(w)) is not None]].sum(axis=0)
-        rare = [places for w in own if (places := self.rare.get(w)) is not None]
-        if rare:
-            held = held + np.bincount(np.concatenate(rare), minlength=len(held))
+        often_set = set(often)
+        rare = [w for w in places if w not in often_set]
+        self.number = {w: n for n, w in enumerate([*often, *rare])}
+        self.owners = [np.array(places[w], dtype=np.int64) for w in rare]
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each word, -1 for words of no item."""
+        return np.fromiter(map(self.number.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+
+    def enough(self, numbers: np.ndarray) -> list[int]:
+        """Items that have so many of their words among ``numbers`` that a common subsequence may be long enough."""
+        seen = np.zeros(len(self.number) + 1, dtype=bool)
+        seen[numbers] = True  # the last place takes the words of no item
+        own = np.flatnonzero(seen[:-1])
+        cut = np.searchsorted(own, len(self.table))
+        held = self.table[own[:cut]].sum(axis=0)
+        if cut < len(own):
+            rare = np.concatenate([self.owners[n] for n in (own[cut:] - len(self.table)).tolist()])
+            held = held + np.bincount(rare, minlength=len(held))
         return np.flatnonzero(held / self.lengths >= COMMON).tolist()
 
-    def stretches(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+    def stretches(self, numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, first, end) of pieces that overlap by the longest span, so that every span is whole in one of them."""
-        for first in range(0, max(1, len(words) - self.reach), self.reach):
-            end = min(len(words), first + 2 * self.reach)
-            for k in self.enough(words[first:end]):
+        for first in range(0, max(1, len(numbers) - self.reach), self.reach):
+            end = min(len(numbers), first + 2 * self.reach)
+            for k in self.enough(numbers[first:end]):
                 yield k, first, end
 
 
@@ -138,16 +149,25 @@ class Matcher:
     owner: list[int] = field(default_factory=list)
     coverage: Coverage | None = None
 
+    @cached_property
+    def _rows(self) -> np.ndarray:
+        """Row of ``vectors`` of each numbered word, -1 without one; the last place is that of words of no item."""
+        rows = np.full(len(self.coverage.number) + 1, -1, dtype=np.int64)
+        for w, n in self.coverage.number.items():
+            rows[n] = self.features.get(w, -1)
+        return rows
+
     def leaks(self, text: str | None) -> list[tuple[int, float, float, bool, int]]:
         """(item, cosine, common share, answer found, first word of the window), the best of each item."""
         words = WORD.findall(text.lower()) if text else []
-        if not words:
+        if not words or not self.coverage:
             return []
         best: dict[int, tuple[int, float, float, bool, int]] = {}
-        hits = [(k, f) for k, f in enumerate(map(self.features.get, words)) if f is not None]
-        if hits and len(self.passages):
-            at, own = np.array(hits, dtype=np.int64).T
-            vectors = self.vectors[own]
+        numbers = self.coverage.numbers(words)  # one look at each word serves both searches
+        own = self._rows[numbers]
+        at = np.flatnonzero(own >= 0)
+        if len(at) and len(self.passages):
+            vectors = self.vectors[own[at]]
             half = at // STRIDE
             starts = np.flatnonzero(np.concatenate([[True], half[1:] != half[:-1]]))
             sums = np.add.reduceat(vectors, starts, axis=0)
@@ -163,7 +183,7 @@ class Matcher:
                 found = self._checked(k, float(near[w, p] / max(norms[w], 1e-6)), words, first)
                 if found and (k not in best or found[2] > best[k][2]):
                     best[k] = found
-        for k, first, end in self.coverage.stretches(words) if self.coverage else ():
+        for k, first, end in self.coverage.stretches(numbers):
             if k not in best or best[k][2] < 1.0:
                 found = self._covered(k, words, first, end)
                 if found and (k not in best or found[2] > best[k][2]):

@@ -5,7 +5,7 @@ level 1, ``FANOUT`` neighbouring nodes form a node of the next level, up to one
 hashed, so order counts. Roots of two replicas are compared, then only the children of nodes that differ, and at last
 the records of the ranges that differ.
 
-A range may hold any number of leaves if a replica is damaged, so its hash adds up the leaves' hashes (four words of 60
+Range hashes are plain sums: they guard against damage, not against forgery. A range may hold any number of leaves if a replica is damaged, so its hash adds up the leaves' hashes (four words of 60
 bits) and needs no list; nodes above hash the ordered hashes of at most ``FANOUT`` children.
 """
 
@@ -35,21 +35,23 @@ def record_text(url: Column, body: Column) -> Column:
     )
 
 
-def leaves(records: DataFrame, key: str, url_column: str = "url", body_column: str = "html") -> DataFrame:
+def leaves(records: DataFrame, key: str, url_column: str = "url", body_column: str = "html", carried=()) -> DataFrame:
     """``key, offset, length, digest`` of every record, in the order of ``key`` (nulls first; ties by digest).
 
+    Columns of ``carried`` stay beside their record: what an index tells of it, or what a replica holds in its place.
+
     Narrow rows are range-partitioned and written; the offset is the sum of the slices before (one number each) and a
     running sum inside the slice. Repeated records are records of their own.
     """
     text = record_text(F.col(url_column), F.col(body_column))
-    rows = records.select(F.col(key).alias("key"), F.octet_length(text).cast("long").alias("length"), F.sha2(text.cast("binary"), 256).alias("digest")).withColumn("n", F.monotonically_increasing_id())
+    rows = records.select(F.col(key).alias("key"), F.octet_length(text).cast("long").alias("length"), F.sha2(text.cast("binary"), 256).alias("digest"), *carried).withColumn("n", F.monotonically_increasing_id())
     count = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sliced = written(rows.repartitionByRange(count, "key", "digest", "n").withColumn("slice", F.spark_partition_id()), "leaves")
     totals = sliced.groupBy("slice").agg(F.sum("length").alias("whole"))
     before = totals.select("slice", F.coalesce(F.sum("whole").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row per slice
     running = F.sum("length").over(Window.partitionBy("slice").orderBy("key", "digest", "n").rowsBetween(Window.unboundedPreceding, 0))
     placed = sliced.withColumn("run", running).join(before, "slice")
-    return placed.select("key", (F.col("base") + F.col("run") - F.col("length")).alias("offset"), "length", "digest")
+    return placed.select("key", (F.col("base") + F.col("run") - F.col("length")).alias("offset"), "length", "digest", *carried)
 
 
 @dataclass(frozen=True)

@@ -38,21 +38,29 @@ def op4_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent_leaks.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def damaged(pages: DataFrame) -> DataFrame:
-    """A replica of ``pages`` with known damage: by the digest of the id, 1 page in 256 each lost, cut or altered."""
-    kind = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
+def replicated(pages: DataFrame) -> DataFrame:
+    """``pages`` with what a damaged replica holds of each: by the digest of the id, 1 page in 256 each lost, cut or altered.
+
+    ``replica_length`` and ``replica_digest`` are null for a lost record. A page without an id is undamaged.
+    """
+    kind = F.coalesce(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2), F.lit(""))
     body = F.when(kind == "01", F.expr("substring(html, 1, length(html) - 1)")).when(kind == "02", F.concat(F.lit("?"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
-    return pages.filter(kind != "00").withColumn("html", body)
+    text = merkle_audit.record_text(F.col("url"), body)
+    held = kind != "00"
+    return pages.withColumns(
+        {"replica_length": F.when(held, F.octet_length(text).cast("long")), "replica_digest": F.when(held, F.sha2(text.cast("binary"), 256))}
+    )
 
 
 def op5_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a damaged replica of all pages differs from the original, found by descending both trees."""
-    pages = table(spark, sf_dir, "pages")
-    own = rows.written(merkle_audit.leaves(pages, "page_id"), "original")
-    text = merkle_audit.record_text(F.col("url"), F.col("html"))
-    # a replica's records lie at the offsets of its index, whatever has become of their bytes
-    replica = damaged(pages).select(F.col("page_id").alias("key"), F.octet_length(text).cast("long").alias("length"), F.sha2(text.cast("binary"), 256).alias("digest")).join(own.select("key", "offset"), "key")
-    found = merkle_audit.damage(merkle_audit.tree(own), merkle_audit.tree(replica.select("key", "offset", "length", "digest")))
+    """Where a damaged replica of all pages differs from the original, found by descending both trees.
+
+    Both copies lie at the offsets of the archive's index. Pages without an id and repeated ids are records of their own.
+    """
+    placed = rows.written(merkle_audit.leaves(replicated(table(spark, sf_dir, "pages")), "page_id", carried=["replica_length", "replica_digest"]), "replicas")
+    own = placed.select("key", "offset", "length", "digest")
+    replica = placed.filter("replica_digest is not null").select("key", "offset", F.col("replica_length").alias("length"), F.col("replica_digest").alias("digest"))
+    found = merkle_audit.damage(merkle_audit.tree(own), merkle_audit.tree(replica))
     return found.select(F.col("key").alias("page_id"), "offset", "length", "status")
 
 

@@ -1,6 +1,6 @@
 import hashlib
 
-from regiotally.llm import merkle_audit as audit
+from regiotally.llm import merkle_audit as audit, queries
 
 SCHEMA = "page_id long, url string, html string, offset long, digest string, node long"
 
@@ -64,3 +64,19 @@ def test_empty_archives(spark):
     some = audit.leaves(frame(spark, ROWS[:3]), "page_id")
     assert audit.damage(audit.tree(none), audit.tree(none)).count() == 0
     assert {r.status for r in audit.damage(audit.tree(some), audit.tree(none)).collect()} == {"missing"}
+
+
+def test_query_leaves_undamaged_pages_alone(spark, tmp_path):
+    """Pages without an id, repeated ids and repeated pages: only what the replica lost or changed is told."""
+    pages = [(k, "u", f"body {k} " * 20) for k in range(600)] + [(None, "n", "q"), (None, "n", "q"), (None, "m", "r")]
+    pages += [(7, "other", "second page of one id"), (8, "u", "body 8 " * 20), (9, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [tuple(r) for r in queries.op5_merkle_audit(spark, str(tmp_path)).select("page_id", "status").collect()]
+    want = []
+    for k, _, html in pages:
+        kind = hashlib.md5(str(k).encode()).hexdigest()[:2] if k is not None else ""
+        if kind == "00":
+            want.append((k, "missing"))
+        elif kind in ("01", "02") and html:
+            want.append((k, "changed"))
+    assert want and sorted(got) == sorted(want)

@@ -12,18 +12,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from regiotally.llm import latent_leaks, order_minhash, piece_language, pseudonyms, tree_bpe
 from regiotally.llm.queries import KEY
 from regiotally.llm.rows import fresh, shared_path, shipped
-
-#: A language must be this likely; with languages of equal chance before, others together are then less likely.
-LEAST_SCORE = 0.5
-
+from regiotally.sources.staging import removed
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose text has a language. Learns from all documents with a known one."""
+    """Keeps documents whose text has a language, however sure it is: only null texts and those without a letter go.
+
+    Learns from all documents with a known language.
+    """
     shipped(spark)
     model = piece_language.learn(docs, public_tokenizers.path("piece_bpe_32k.model"))
     own = fresh(docs, "_language")
     found = docs.withColumn(own, piece_language.predicted(model, "text"))
-    return found.filter((F.col(own)["lang_pred"] != "und") & (F.col(own)["score"] >= LEAST_SCORE)).drop(own)
+    return found.filter(F.col(own)["lang_pred"] != "und").drop(own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +62,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each result written to the shared folder and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over ``documents``, each result written to the shared folder, read by the next and then removed.
+
+    The last result stays, as the rows returned are read from it.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (_, stage) in enumerate(STAGES):
         path = shared_path(spark, f"stage-{number}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return docs

@@ -22,6 +22,7 @@ class LinearFit:
     features: tuple[str, ...]
     coefficients: tuple[float, ...]
     intercept: float
+    converged: bool = True  # a fit that stopped at its limit of steps says so
 
     def column(self, prefix: str = "z_") -> Column:
         """The prediction as plain arithmetic, so that scoring stays in generated code."""
@@ -55,11 +56,12 @@ def fit_rows(df: DataFrame, features, target: str, jobs, moments: "Moments", pre
                 maxIter=10_000,
                 tol=1e-12,
             ).fit(rows)
-            if kind == LASSO and model.summary.totalIterations >= 10_000:
+            converged = kind != LASSO or model.summary.totalIterations < 10_000
+            if not converged:
                 warnings.warn(f"the lasso has not converged after {model.summary.totalIterations} iterations", stacklevel=2)
             found = dict(zip(varying, (float(c) for c in model.coefficients)))
             weights = tuple(found.get(f, 0.0) for f in features)
-            fits.append(LinearFit(tuple(features), weights, float(model.intercept)))
+            fits.append(LinearFit(tuple(features), weights, float(model.intercept), converged))
         return fits
     finally:
         rows.unpersist()

@@ -21,6 +21,7 @@ from regiotally.operators.diagnostics import (
 )
 from regiotally.operators.linear import LASSO, OLS, RIDGE, LinearFit, fit_rows, fit_subset
 from regiotally.operators.panel import add_lags, add_season, complete_months, split_years
+from regiotally.operators.position import checkpointed
 from regiotally.operators.scaling import fit_scaler
 from regiotally.operators.summary import by_magnitude, top
 from regiotally.operators.validation import best_alpha, combined, fold_blocks, mean_error, placed_moments
@@ -58,9 +59,11 @@ class Model:
 
 @dataclass
 class Forecast:
-    """Models of one panel. The panel is kept in memory or on disk; steps run when a result first needs them.
+    """Models of one panel, which ``of`` checkpoints: a row per region and month, read many times.
 
-    ``train`` and ``test`` are conditions in SQL. ``close`` gives the panel free once all results are read.
+    Building the panel and every fit start jobs when a result first needs them, so a method that returns a table of
+    models has done its work when it returns; tables of rows are lazy beyond the fits they use. ``train`` and ``test`` are
+    conditions in SQL. Keep one ``Forecast`` for several reports: fits and panel are shared.
     """
 
     panel: DataFrame
@@ -72,10 +75,7 @@ class Forecast:
 
     @classmethod
     def of(cls, merged: DataFrame, study: Study, train, test, **options) -> "Forecast":
-        return cls(panel_rows(merged, study).persist(), study, train, test, **options)
-
-    def close(self) -> None:
-        self.panel.unpersist()
+        return cls(checkpointed(panel_rows(merged, study)), study, train, test, **options)
 
     @property
     def target(self) -> str:

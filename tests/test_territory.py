@@ -337,6 +337,13 @@ def test_diagnostics_run_on_the_chosen_features(study):
     assert study.inflation().count() == len(study.features)
 
 
+def test_no_table_stays_persisted(spark, merged):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    made = forecast.Forecast.of(merged, STUDY, "Year = 2024", "Year = 2025")
+    assert made.alpha_grid().count() == 10 and all(m.fit.converged for m in made.models)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
 def test_time_order_and_fold_scaling_are_options(merged, study):
     ordered = forecast.Forecast(study.panel, STUDY, "Year = 2024", "Year = 2025", time_order=True, scale="per_fold")
     assert ordered.order == ["Year", "Month number", "Region"]

@@ -1,9 +1,15 @@
 """Secret scans: a random forest that tells true findings from look-alikes.
 
-Candidates are long tokens with a digit, and values after a name such as ``token`` or ``password``. Their measures are
-the length, the shares and changes of character classes, how usual their letter pairs are, how much of them is made of
-words, what the path says, and the words next to them. Word counts and letter pairs are learned from all documents. The
-forest is trained from labelled findings; the sample is bounded. Everything is Spark SQL and Spark ML.
+Candidates are long tokens with a digit, and values after a name such as ``token`` or ``password``; a value that a name is
+given by any mark (``=``, ``:``, ``:=``, ``=>``) and in any quotes is taken whole up to the next blank, quote, bracket, comma
+or semicolon. Their measures are the length, the shares and changes of character classes, how usual their letter pairs
+are, how much of them is made of words, what the path says, and the words next to them. Word counts and letter pairs are
+learned from all documents. The forest is trained from labelled findings; the sample is bounded. Everything is Spark SQL
+and Spark ML.
+
+Without labels only sure findings teach: values given to a name are true unless they are words or the place says that
+they are samples; plain numbers, mail addresses, UUIDs and words are false. All others are unknown and are only judged. What
+makes a label is none of the measures, so the forest has to judge a value by its looks and its neighbours.
 """
 
 from __future__ import annotations
@@ -19,17 +25,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 from regiotally.llm.pseudonyms import bound
 from regiotally.llm.rows import text_or_empty, written
 
-#: Between tokens; quotes, brackets and assignment marks are no part of a value.
-BETWEEN = r"[^\p{L}\p{N}+/_.@-]+"
+#: Between tokens; quotes, brackets and assignment marks are no part of a value that no name is given.
+BETWEEN = r"[^\p{L}\p{N}+/_.@\x01-]+"
+#: Around a value that a name is given.
+AROUND = r"[\s\"'`()\[\]{}<>,;|]+"
+#: Stands after a name that is given a value.
+MARK = "\x01"
 CANDIDATE = r"^(?=[^0-9]*[0-9])[\p{L}\p{N}+/_.@-]{16,}$"
-SIGN = r"[\p{L}\p{N}+/_.@-]{16}|(?i:token|secret|passw|pwd|api_?key|credential)"
-NAMES = r"(?i)^(?:\w*[_.-])?(?:token|secret|password|passwd|pwd|api_?key|access_?key|credentials?)$"
+SECRETS = r"(?:token|secret|password|passwd|pwd|(?:api|access|secret|private|auth|encryption|signing)[_-]?key|credentials?)"
+SIGN = rf"[\p{{L}}\p{{N}}+/_.@-]{{16}}|(?i:{SECRETS})"
+NAMES = rf"(?i)^[\p{{L}}\p{{N}}_.@/-]*{SECRETS}$"
+GIVEN = rf"(?i)({SECRETS})[\"'`\]]{{0,2}}[ \t]*(?::=|=>|==(?=[ \t])|=|:)[ \t]*"
+NUMBER = r"^[0-9.+/_-]+$"
+MAIL = r"^[^@]+@[^@]+\.[^@]+$"
+UUID = r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$"
 HARMLESS = r"(?i)test|example|sample|dummy|fixture|mock|placeholder|template|docs?/"
 LEAST_LENGTH = 8
 #: A word of the dictionary is in at least so many documents.
 LEAST_DOCUMENTS = 5
 CLASSES = 29  # a-z, digits, anything else; 0 is unused
-MEASURES = ["size", "digits", "upper", "lower", "changes", "pairs", "coverage", "harmless_path", "path_depth", "named", "named_before", "harmless_near", "word_before", "word_after"]
+MEASURES = ["size", "digits", "upper", "lower", "changes", "pairs", "coverage", "harmless_path", "path_depth", "harmless_near", "word_before", "word_after"]
+#: A value of this share of dictionary words is none that a program made up.
+WORDY = 0.8
 
 
 @dataclass(frozen=True)
@@ -46,27 +63,52 @@ class Forest:
 def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path_column: str = "source") -> DataFrame:
     """``id, place, value, before2, before, after, path, assigned``: a row per candidate token of the whole text.
 
-    ``place`` is the number of tokens before it. ``assigned``: the text gives the value to a name as a quoted string.
-    Null and empty texts have no candidates; a null path is empty. No shuffle.
+    ``place`` is the number of tokens before it. ``assigned``: the text gives the value to a name of a secret.
+    Null and empty texts have no candidates; a null path is empty; a value that is there twice is two rows, as is one of a
+    repeated row. No shuffle.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), text_or_empty(path_column).cast("string").alias("path"))
     signed = rows.filter(F.col("text").rlike(SIGN))
 
     def found(words: Column) -> Column:
         def pick(word: Column, i: Column) -> Column:
-            value = F.regexp_replace(word, r"^[._/-]+|[._/-]+$", "")
-            before = F.coalesce(F.get(words, i - 1), F.lit(""))
-            wanted = value.rlike(CANDIDATE) | ((F.length(value) >= LEAST_LENGTH) & before.rlike(NAMES))
+            near = lambda k: F.replace(F.coalesce(F.get(words, i + k), F.lit("")), F.lit(MARK), F.lit(""))
+            given = F.coalesce(F.endswith(F.get(words, i - 1), F.lit(MARK)), F.lit(False))
+            bare = F.regexp_replace(F.replace(word, F.lit(MARK), F.lit("")), r"^[._/-]+|[._/-]+$", "")
+            value = F.when(given, F.regexp_replace(word, r"[.:]+$", "")).otherwise(bare)
+            wanted = value.rlike(CANDIDATE) | ((F.length(value) >= LEAST_LENGTH) & (given | near(-1).rlike(NAMES)))
             return F.when(
                 wanted,
-                F.struct(i.alias("place"), value.alias("value"), F.coalesce(F.get(words, i - 2), F.lit("")).alias("before2"), before.alias("before"), F.coalesce(F.get(words, i + 1), F.lit("")).alias("after")),
+                F.struct(i.alias("place"), value.alias("value"), near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"), given.alias("assigned")),
             )
 
         return F.filter(F.transform(words, pick), lambda x: x.isNotNull())
 
-    flat = signed.select("id", "path", "text", F.explode(bound(F.split("text", BETWEEN), found)).alias("c")).select("id", "path", "text", "c.*")
-    assigned = F.col("text").contains(F.concat("before", F.lit(' = "'), "value", F.lit('"'))) & F.col("before").rlike(NAMES)
-    return flat.select("id", "place", "value", "before2", "before", "after", "path", assigned.alias("assigned"))
+    def tokens(pieces: Column) -> Column:
+        """Pieces after a mark stay whole, the others are cut further."""
+
+        def cut(piece: Column, i: Column) -> Column:
+            given = F.coalesce(F.endswith(F.get(pieces, i - 1), F.lit(MARK)), F.lit(False))
+            return F.when(given, F.array(piece)).otherwise(F.split(piece, BETWEEN))
+
+        return F.filter(F.flatten(F.transform(pieces, cut)), lambda w: w != "")
+
+    marked = F.regexp_replace(F.replace("text", F.lit(MARK), F.lit(" ")), GIVEN, f"$1{MARK} ")
+    pieces = F.filter(F.split(marked, AROUND), lambda w: w != "")
+    return signed.select("id", "path", F.explode(bound(bound(pieces, tokens), found)).alias("c")).select(
+        "id", "c.place", "c.value", "c.before2", "c.before", "c.after", "path", "c.assigned"
+    )
+
+
+def sure_labels() -> Column:
+    """1 for values given to a name, 0 for numbers, mail addresses, UUIDs, words and samples, null for all that is unknown.
+
+    A column over ``measured`` candidates.
+    """
+    plain = F.col("value").rlike(NUMBER) | F.col("value").rlike(MAIL) | F.col("value").rlike(UUID)
+    sample = (F.col("harmless_path") > 0) | (F.col("harmless_near") > 0)
+    wordy = F.col("coverage") >= WORDY
+    return F.when(plain & ~F.col("assigned") | wordy, 0).when(F.col("assigned"), F.when(~sample, 1))
 
 
 def dictionary(docs: DataFrame, text_column: str = "text", least: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -162,12 +204,13 @@ def scored(rows: DataFrame, model: RandomForestClassificationModel | None, least
 def scan(docs: DataFrame, labels: Column | None = None, settings: Forest = Forest(), id_column: str = "doc_id", text_column: str = "text", path_column: str = "source") -> DataFrame:
     """Every candidate of every document with its score: ``id, place, value, path, score, is_secret``.
 
-    ``labels`` is a column over ``candidates`` that tells true findings (1) from false ones (0, null: unknown); without
-    it, a value is true if the text assigns it as a quoted string to a name of a secret.
+    ``labels`` is a column over ``measured`` candidates that tells true findings (1) from false ones (0, null: unknown);
+    without it ``sure_labels`` teaches. Repeated rows repeat their findings, an empty table has none. If only one kind of
+    label is there, a value that follows a name counts as a secret.
     """
     found = written(candidates(docs, id_column, text_column, path_column), "candidates")
     words = written(dictionary(docs, text_column), "dictionary")
     rows = written(measured(found, words, pair_costs(words)), "measured")
-    label = labels if labels is not None else F.col("assigned").cast("int")
+    label = labels if labels is not None else sure_labels()
     model = trained(rows.withColumn("label", label), settings)
     return scored(rows, model, settings.least_score).select(F.col("id").alias(id_column), "place", "value", "path", "score", "is_secret")

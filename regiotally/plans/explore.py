@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from regiotally.functions.calendar import month_label, period_label
 from regiotally.functions.labels import without_code
 from regiotally.functions.nulls import all_known, total
 from regiotally.functions.numeric import mean_of_rounded, rate_per, round_even, share_pct
-from regiotally.operators.reshape import by_listed_order, grouped_total, listed, pivot_single, pivot_total
+from regiotally.operators.combine import attach, attach_null_safe
+from regiotally.operators.impute import whole_numbers
+from regiotally.operators.reshape import by_listed_order, grouped_total, listed, pivot_single, pivot_total, unique_keys
 from regiotally.operators.stats import pearson, skew_adjusted
 from regiotally.operators.summary import flag_extreme
+from regiotally.plans.prepare import filled_supply, roll_up
 from regiotally.plans.spec import Study
 
 
@@ -112,21 +115,54 @@ def month_cells(merged: DataFrame, study: Study, digits: int = 1) -> DataFrame:
     """
     c, p = study.incidents, study.panel
     keys = [c.year, c.quarter, c.month, c.region]
-    chosen = (F.col(c.category) == p.category) & all_known(keys)
-    of = lambda name: F.when(chosen, F.col(name))
-    sums = [total(c.count).alias("_all"), F.count_if(chosen).alias("_rows"), F.sum(of(c.count)).alias("_target")]
-    sums += [F.sum(of(flag)).alias(alias) for flag, alias in p.flags]
-    sums += [F.max(of(p.supply[0])).alias(p.supply[1]), F.max(of(study.total_population)).alias(p.population)]
-    sums += [F.max(of(n)).alias(n) for n in p.extra]
-    counted = merged.groupBy(*keys).agg(*sums)
+    of = lambda name: F.when(_chosen(study), F.col(name))
+    sums = [F.max(of(p.supply[0])).alias(p.supply[1]), F.max(of(study.total_population)).alias(p.population)]
+    return _rated(merged.groupBy(*keys).agg(*_counted(study), *sums, *[F.max(of(n)).alias(n) for n in p.extra]), study, digits)
+
+
+def _chosen(study: Study) -> Column:
+    c = study.incidents
+    return (F.col(c.category) == study.panel.category) & all_known([c.year, c.quarter, c.month, c.region])
+
+
+def _counted(study: Study) -> list[Column]:
+    """All incidents, and rows, incidents and flags of the chosen category."""
+    c, chosen = study.incidents, _chosen(study)
+    sums = [total(c.count).alias("_all"), F.count_if(chosen).alias("_rows"), F.sum(F.when(chosen, F.col(c.count))).alias("_target")]
+    return sums + [F.sum(F.when(chosen, F.col(flag))).alias(alias) for flag, alias in study.panel.flags]
+
+
+def _rated(counted: DataFrame, study: Study, digits: int) -> DataFrame:
+    c, p = study.incidents, study.panel
     cells = counted.withColumn(p.target, F.when(F.col("_rows") > 0, F.coalesce("_target", F.lit(0))))
     names = [p.target, *[alias for _, alias in p.flags], p.supply[1], p.population, *p.extra]
-    return cells.select(*keys, *names, round_even(rate_per(p.target, p.population), digits).alias(p.rate), "_all", "_rows")
+    rate = round_even(rate_per(p.target, p.population), digits).alias(p.rate)
+    return cells.select(c.year, c.quarter, c.month, c.region, *names, rate, "_all", "_rows")
+
+
+def joined_cells(clean: DataFrame, population: DataFrame, supply: DataFrame, study: Study, digits: int = 1) -> DataFrame:
+    """``month_cells`` of the merged table, without building that table: months are counted first and joined then.
+
+    Supply and population meet a row per region and month in place of one per combination of dimensions. Gaps of the
+    supply are filled with the weights that the merged rows give, and a gap without a mean fails the job as there.
+    """
+    c, p = study.incidents, study.panel
+    months = roll_up(clean, study).groupBy(c.year, c.quarter, c.month, c.region).agg(*_counted(study), F.count(F.lit(1)).alias("_merged"))
+    filled = filled_supply(months, unique_keys(supply, c.cell), study, rows="_merged")
+    people = unique_keys(population, [c.year, c.region])
+    joined = whole_numbers(attach(attach_null_safe(months, filled, c.cell), people, [c.year, c.region]), study.measures)
+    of = lambda name: F.when(F.col("_rows") > 0, F.col(name))
+    return _rated(joined.withColumns({p.supply[1]: of(p.supply[0]), p.population: of(study.total_population), **{n: of(n) for n in p.extra}}), study, digits)
 
 
 def target_cells(merged: DataFrame, study: Study, digits: int = 1) -> DataFrame:
     """The chosen category by month and region."""
-    return month_cells(merged, study, digits).filter("_rows > 0").drop("_all", "_rows")
+    return chosen_cells(month_cells(merged, study, digits))
+
+
+def chosen_cells(cells: DataFrame) -> DataFrame:
+    """Of ``month_cells`` or ``joined_cells`` those that have the chosen category."""
+    return cells.filter("_rows > 0").drop("_all", "_rows")
 
 
 def target_by_region_year(cells: DataFrame, study: Study, years) -> DataFrame:
@@ -166,16 +202,16 @@ def skewness(cells: DataFrame, study: Study) -> DataFrame:
     return logs.agg(skew_adjusted("raw").alias("skew_raw"), skew_adjusted("log").alias("skew_log"))
 
 
-def findings(merged: DataFrame, study: Study, years) -> DataFrame:
-    """Peak month, region with the highest rate, correlation and skewness, as one row.
+def findings(cells: DataFrame, study: Study, years) -> DataFrame:
+    """Peak month, region with the highest rate, correlation and skewness, as one row, from ``month_cells`` or ``joined_cells``.
 
-    All of it comes from one table of month cells: grouping sets total them by month, by region and year, and as a whole,
+    All of it comes from one pass over these cells: grouping sets total them by month, by region and year, and as a whole,
     and one more aggregate picks the largest (the earlier month or name on ties). A listed region without a row fails
     the job.
     """
     c, p = study.incidents, study.panel
     year = F.when(F.col("_rows") > 0, listed(c.year, years)).otherwise(F.col(c.year))
-    cells = month_cells(merged, study).withColumns({c.year: year, "_log": F.log1p(p.target), "_raw": F.col(p.target).cast("double")})
+    cells = cells.withColumns({c.year: year, "_log": F.log1p(p.target), "_raw": F.col(p.target).cast("double")})
     sets = cells.groupingSets([[c.month], [c.region, c.year], []], c.month, c.region, c.year).agg(
         F.grouping_id().alias("_set"),
         F.sum("_all").alias("_all"),

@@ -35,8 +35,12 @@ def panel_rows(merged: DataFrame, study: Study, by_calendar: bool = False) -> Da
     Lags count rows of the region. With ``by_calendar`` missing months are added first, so that they count
     months.
     """
+    return panel_of_cells(target_cells(merged, study, digits=2), study, by_calendar)
+
+
+def panel_of_cells(cells: DataFrame, study: Study, by_calendar: bool = False) -> DataFrame:
+    """The same from cells whose rates have two digits."""
     c, p = study.incidents, study.panel
-    cells = target_cells(merged, study, digits=2)
     if by_calendar:
         cells = complete_months(cells, c.region, c.year, c.month)
     rated = cells.withColumns(
@@ -73,9 +77,13 @@ class Forecast:
     time_order: bool = False
     scale: str = "global"
 
+    @classmethod
+    def of_panel(cls, panel: DataFrame, study: Study, train, test, **options) -> "Forecast":
+        return cls(checkpointed(panel), study, train, test, **options)
+
     @classmethod
     def of(cls, merged: DataFrame, study: Study, train, test, **options) -> "Forecast":
-        return cls(checkpointed(panel_rows(merged, study)), study, train, test, **options)
+        return cls.of_panel(panel_rows(merged, study), study, train, test, **options)
 
     @property
     def target(self) -> str:

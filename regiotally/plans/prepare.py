@@ -64,17 +64,18 @@ def supply_by_quarter(frames, study: Study, quarter_ending: str = "Quarter Endin
     return grouped_total(drop_unmapped(dated, c.region, study.supply_regions), c.cell, study.measures)
 
 
-def filled_supply(rolled: DataFrame, supply: DataFrame, study: Study, marked: bool = False) -> DataFrame:
+def filled_supply(rolled: DataFrame, supply: DataFrame, study: Study, marked: bool = False, rows: str | None = None) -> DataFrame:
     """Supply for every cell that has incidents, gaps filled where the region and quarter have a mean.
 
-    With ``marked`` a flag ``_open_<measure>`` tells of each measure whether it was a gap.
+    With ``marked`` a flag ``_open_<measure>`` tells of each measure whether it was a gap. ``rows`` is a column of row counts
+    where ``rolled`` is rolled up further.
 
     A gap takes the mean of its region and quarter over the merged rows. Supply is constant in a cell, so
     that mean is the cell mean weighted by the cell's row count, and no row of the fact is touched. Supply
     of cells without incidents does not count.
     """
     c = study.incidents
-    cells = rolled.groupBy(*c.cell).agg(F.count(F.lit(1)).alias("_rows"))
+    cells = rolled.groupBy(*c.cell).agg((F.sum(rows) if rows else F.count(F.lit(1))).alias("_rows"))
     known = attach(cells, supply, c.cell)
     if marked:
         known = known.withColumns({f"_open_{m}": F.col(m).isNull() for m in study.measures})

@@ -334,7 +334,7 @@ def event_daily_lags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, d: str, digits: int = 1) -> DataFrame:
-    return explore.target_cells(t.merged(spark, d), TRADE, digits)
+    return explore.chosen_cells(t.month_cells(spark, d, digits))
 
 
 def assault_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -408,7 +408,7 @@ def price_normality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def findings_summary(spark: SparkSession, d: str) -> DataFrame:
-    row = explore.findings(t.merged(spark, d), TRADE, t.years(spark, d))
+    row = explore.findings(t.month_cells(spark, d), TRADE, t.years(spark, d))
     return rounded(row, ["top_rate", "supply_r", "skew_raw", "skew_log"])
 
 
@@ -423,8 +423,7 @@ def listed_regions(spark: SparkSession, d: str) -> DataFrame:
 
 def panel_features(spark: SparkSession, d: str) -> DataFrame:
     p = TRADE.panel
-    rows = forecast.panel_rows(t.merged(spark, d), TRADE)
-    return rounded(rows, ["sin_month", "cos_month", p.log_rate, p.per_head], 9)
+    return rounded(panel(spark, d), ["sin_month", "cos_month", p.log_rate, p.per_head], 9)
 
 
 def lag_features(spark: SparkSession, d: str) -> DataFrame:
@@ -442,11 +441,11 @@ def calendar_lags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.panel_rows(t.merged(spark, d), TRADE)
+    return forecast.panel_of_cells(cells(spark, d, digits=2), TRADE)
 
 
 def train_test_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = forecast.panel_rows(t.merged(spark, d), TRADE)
+    rows = panel(spark, d)
     train, test = (F.count_if(F.expr(condition)) for condition in (TRAIN, TEST))
     return rows.agg(F.count(F.lit(1)).alias("rows"), train.alias("train"), test.alias("test"))
 
@@ -455,7 +454,7 @@ def train_test_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def study(spark: SparkSession, d: str) -> forecast.Forecast:
-    return forecast.Forecast.of(t.merged(spark, d), TRADE, TRAIN, TEST)
+    return forecast.Forecast.of_panel(panel(spark, d), TRADE, TRAIN, TEST)
 
 
 def standardized(spark: SparkSession, d: str) -> DataFrame:
@@ -479,7 +478,7 @@ def feature_ablation(spark: SparkSession, d: str) -> DataFrame:
 
 def ridge_grid_time_order(spark: SparkSession, d: str) -> DataFrame:
     """The same grid with folds in true time order."""
-    ordered = forecast.Forecast.of(t.merged(spark, d), TRADE, TRAIN, TEST, time_order=True)
+    ordered = forecast.Forecast.of_panel(panel(spark, d), TRADE, TRAIN, TEST, time_order=True)
     return rounded(ordered.alpha_grid().filter(F.col("penalty") == "ridge"), ["cv_rmse"])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 from regiotally.operators.combine import attach
 from regiotally.operators.recode import region_from_area
 from regiotally.operators.reshape import Split, levels_of
+from regiotally.plans.explore import joined_cells
 from regiotally.plans.prepare import clean_incidents, population_features, prepare, roll_up
 from regiotally.plans.prepare import supply_by_quarter as quarterly
 from regiotally.plans.spec import Incidents, Panel, RegionRecode, Study
@@ -218,6 +219,10 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(clean(spark, sf_dir), population(spark, sf_dir), reported_supply(spark, sf_dir), TRADE)
 
 
+def month_cells(spark: SparkSession, sf_dir: str, digits: int = 1) -> DataFrame:
+    return joined_cells(clean(spark, sf_dir), population(spark, sf_dir), reported_supply(spark, sf_dir), TRADE, digits)
+
+
 def years(spark: SparkSession, sf_dir: str) -> tuple[int, ...]:
     """The years that incidents are kept of, found in the orders."""
     orders = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"))

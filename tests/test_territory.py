@@ -194,6 +194,16 @@ def test_counts_ride_on_the_writing_job(spark, sources, tmp_path):
     assert row == want and row["rows"] == spark.read.parquet(str(tmp_path / "merged")).count()
 
 
+def test_cells_joined_late_are_those_of_the_merged_table(sources, merged):
+    incidents, population, supply = sources
+    clean = prepare.clean_incidents(incidents, STUDY, "Reporting Region", "Statistical Area 2", ["As At"])
+    people = prepare.population_features(population, STUDY, YEARS)
+    late = explore.joined_cells(clean, people, prepare.supply_by_quarter(supply, STUDY), STUDY)
+    whole = explore.month_cells(merged, STUDY)
+    assert late.columns == whole.columns
+    assert sorted(map(tuple, late.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+
+
 def test_monthly_summaries(merged, expected):
     months = explore.monthly_totals(merged, STUDY).toPandas()
     want = expected.groupby("Month number")["Number of offences"].sum()
@@ -354,7 +364,7 @@ def test_time_order_and_fold_scaling_are_options(merged, study):
 
 def test_findings(merged, expected):
     cells = explore.target_cells(merged, STUDY)
-    row = explore.findings(merged, STUDY, YEARS).first()
+    row = explore.findings(explore.month_cells(merged, STUDY), STUDY, YEARS).first()
     want = expected.groupby("Month number")["Number of offences"].sum()
     assert row["peak_month"] == datetime.date(2000, int(want.idxmax()), 1).strftime("%b")
     chosen = expected[expected["Offence category"] == "02 Assault"].groupby(["Region", "Year", "Month number"])["Number of offences"].sum()

@@ -51,7 +51,8 @@ def with_position(df: DataFrame, order, name: str = "position", slices: int | No
     shifts = counts.select(F.col("_slice").alias("_range"), before.alias("_before"))
     placed = rows.join(shifts, F.col("_slice") == F.col("_range"))
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    return placed.withColumn(name, F.col("_place") + F.col("_before") + 1).drop("_slice", "_place", "_range", "_before"), total
+    position = (F.col("_place") + F.col("_before") + 1).alias(name)
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], position), total
 
 
 def fold_block(position, rows: int, folds: int):

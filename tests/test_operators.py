@@ -217,6 +217,8 @@ def test_positions(spark):
     assert n == 5000 and {r["id"]: r["position"] for r in placed.collect()} == {i: i + 1 for i in range(5000)}
     few, n = with_position(df.filter("id < 3"), ["v", "id"], slices=50)
     assert n == 3 and sorted(r["position"] for r in few.collect()) == [1, 2, 3]
+    named, _ = with_position(df.filter("id < 3"), ["v", "id"], "_place", slices=2)  # a name that is used inside
+    assert named.columns == ["v", "id", "_place"] and sorted(r["_place"] for r in named.collect()) == [1, 2, 3]
     none, n = with_position(df.filter("id < 0"), ["v", "id"])
     assert n == 0 and none.count() == 0
     nulls, n = with_position(spark.createDataFrame([(None, 1), (5, 2), (None, 3)], "v int, id int"), ["v", "id"])

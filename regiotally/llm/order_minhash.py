@@ -11,9 +11,11 @@ banded alignment of their words finds an edit similarity (1 - distance / longer
 connected components of the links.
 
 Equal word sequences are one node, named by a 63-bit hash, so copies never meet in pairs. Inside a bucket every node is
-compared with the bucket's smallest and largest node, not with all others: a class of any size is found in a number of
-comparisons that grows with its texts. Two near texts share about half of their sketches, most of them with nobody
-outside their class, so a link missed in a bucket with strangers is found in another one.
+first compared with the bucket's smallest and largest node: a class of any size is found in a number of comparisons that
+grows with its texts. The nodes of a bucket that are then still in several classes are compared across these, all of
+them, so two texts that share a bucket are linked, or in one class by others, or were found unlike. In a large bucket of
+strangers only those meet that share one of their rarest words, as texts so near must: of ``n`` words ``least * n`` or
+more are common, so the rarest ``(1 - least) * n + 1`` of the two have one in common, whatever the order of rarity.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ SKETCHES = 32
 TAKEN = 2
 #: Cells of the word histogram that rules pairs out before their words are fetched; a power of two.
 BINS = 256
+#: Buckets of more nodes than this may meet by rare words; which way is taken decides about the work, not about the links.
+DIRECT = 128
+#: Cells of the count that says which words are rare; a power of two.
+CELLS = 65_536
 #: Word hashes kept per worker; the table is emptied when it is full.
 CACHED = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -224,26 +230,98 @@ def node_rows(docs: DataFrame, id_column: str, text_column: str, sketches: int =
     return rows.mapInArrow(build, f"id {kind}, raw long, node long, keys array<long>, words binary, n_words int, bins binary")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes ``a < b`` that share a bucket; one of them is the bucket's smallest or largest node.
+def buckets(nodes: DataFrame) -> DataFrame:
+    """``key, low, high, node``: the nodes of every bucket but its smallest one, beside the smallest and the largest.
 
     Smallest and largest are aggregated before the shuffle. Both sides of the join back grow with the data, so it is
     asked to sort both; adaptive execution splits a hot bucket.
     """
     flat = nodes.select("node", F.explode("keys").alias("key"))
     ends = flat.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    met = flat.hint("merge").join(ends, "key").select(F.array_distinct(F.array("low", "high")).alias("ends"), "node")
+    return flat.hint("merge").join(ends, "key").filter("node <> low").select("key", "low", "high", "node")
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """Pairs of nodes ``a < b`` that share a bucket; one of them is the bucket's smallest or largest node."""
     return (
-        met.select("node", F.explode("ends").alias("end"))
+        met.select("node", F.explode(F.array("low", "high")).alias("end"))
         .filter("node <> end")
         .select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
         .distinct()
     )
 
 
-def possible(pairs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The candidate pairs that lengths and word histograms, some hundred bytes a node, do not rule out."""
-    shapes = written(nodes.select("node", "n_words", "bins").filter("n_words > 0").dropDuplicates(["node"]), "shapes")
+def rarest(words: np.ndarray, common: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The words, told apart by their occurrence, of which two texts with the similarity share one: rare ones first."""
+    order = np.lexsort((words, common[words & np.uint32(CELLS - 1)]))
+    ranked = words[order].astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    number = np.arange(len(ranked)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(ranked)]])))
+    return (ranked | number << 32)[: int((1 - least) * len(words) + 1e-9) + 1]
+
+
+def rare_words(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """``node, tokens`` of rows ``node, words``: the rarest words of each, by counts over all of them."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand, sums = zstandard.ZstdDecompressor(), np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                sums[np.unique(np.frombuffer(expand.decompress(packed), dtype=np.uint32) & np.uint32(CELLS - 1))] += 1
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[some], pa.int64())], ["cell", "n"])
+
+    common = np.zeros(CELLS, dtype=np.int64)
+    for cell, n in texts.select("words").mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():  # one row a cell
+        common[cell] = n
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
+        for batch in batches:
+            found = [rarest(np.frombuffer(expand.decompress(packed), dtype=np.uint32), common, least) for packed in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "tokens"])
+
+    return texts.select("node", "words").mapInArrow(chosen, "node long, tokens array<long>")
+
+
+def between(met: DataFrame, roots: DataFrame, nodes: DataFrame, forms: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Pairs ``a < b`` that share a bucket, are not in one class by ``roots`` and were not met by ``candidates``.
+
+    Only pairs that lengths or, in large buckets, the rarest words rule out are left out. Buckets of the same nodes are
+    one. The class with the most nodes in a bucket is compared with the others but never with itself, so a large class
+    beside a few strangers costs as many comparisons as it has nodes.
+    """
+    inner = met.filter("node <> high").select("key", "node").distinct()
+    placed = inner.hint("merge").join(forms.select("node", "n_words"), "node").hint("merge").join(roots, "node", "left")
+    placed = written(placed.select("key", "node", "n_words", F.coalesce("root", "node").alias("root")), "inner")
+    by_class = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("own"))
+    several = by_class.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("size"), F.sum("own").alias("own"), F.count(F.lit(1)).alias("classes"))
+    open_ones = several.filter("classes > 1").groupBy("main", "size", "own").agg(F.min("key").alias("key")).drop("own")
+    held = written(placed.hint("merge").join(open_ones, "key"), "open")
+    spread = held.withColumn("token", F.lit(0).cast("long"))
+    large = held.filter(F.col("size") > DIRECT)
+    wanted = large.select("node").distinct()
+    if not wanted.isEmpty():
+        tokens = written(rare_words(words_of(nodes, wanted), least), "tokens")
+        by_word = large.hint("merge").join(tokens, "node").select(*held.columns, F.explode("tokens").alias("token"))
+        meeting = by_word.groupBy("key", "token", "size").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("key", "size").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
+        # where most share many rare words, each pair once is less than each pair by every word
+        fewer = written(meeting.filter(F.col("work") < F.col("size").cast("double") * F.col("size")).select("key"), "by-word")
+        spread = spread.hint("merge").join(fewer, "key", "left_anti").unionByName(by_word.hint("merge").join(fewer, "key", "left_semi"))
+    ones = spread.filter("root <> main").select("key", "token", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n_words").alias("n_a"))
+    others = spread.select("key", "token", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n_words").alias("n_b"), "main")
+    near = F.abs(F.col("n_a") - F.col("n_b")) <= F.lit(1 - least) * F.greatest("n_a", "n_b") + 1e-9
+    pairs = ones.hint("merge").join(others, ["key", "token"]).filter((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b"))) & near)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def shapes(nodes: DataFrame) -> DataFrame:
+    """``node, n_words, bins`` of every node with words, some hundred bytes each."""
+    return nodes.select("node", "n_words", "bins").filter("n_words > 0").dropDuplicates(["node"])
+
+
+def possible(pairs: DataFrame, forms: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The candidate pairs that lengths and word histograms do not rule out."""
 
     def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,19 +330,23 @@ def possible(pairs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> D
                 keep = may_align(batch.column(2).to_numpy(), batch.column(3).to_numpy(), *cells, least)
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
-    left = shapes.select(F.col("node").alias("a"), F.col("n_words").alias("n_a"), F.col("bins").alias("bins_a"))
-    right = shapes.select(F.col("node").alias("b"), F.col("n_words").alias("n_b"), F.col("bins").alias("bins_b"))
+    left = forms.select(F.col("node").alias("a"), F.col("n_words").alias("n_a"), F.col("bins").alias("bins_a"))
+    right = forms.select(F.col("node").alias("b"), F.col("n_words").alias("n_b"), F.col("bins").alias("bins_b"))
     both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "n_a", "n_b", "bins_a", "bins_b")
     return both.mapInArrow(rule_out, "a long, b long")
 
 
-def links(pairs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The candidate pairs whose words align, with their similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def words_of(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, words`` of the ``wanted`` nodes, one row each."""
     # copies have the same words: the first id's row stands for the node
     one = nodes.groupBy("node").agg(F.min("id").alias("id")).hint("merge").join(wanted, "node")
     own = nodes.select("node", "id", "words").hint("merge").join(one.withColumnsRenamed({"node": "n", "id": "i"}), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
-    texts = written(own.drop("id").dropDuplicates(["node"]), "words")
+    return written(own.drop("id").dropDuplicates(["node"]), "words")
+
+
+def links(pairs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The candidate pairs whose words align, with their similarity."""
+    texts = words_of(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
@@ -320,8 +402,14 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     class with equal texts only, null counts as empty. Repeated rows are copies of each other.
     """
     nodes = written(node_rows(docs, id_column, text_column), "sketches")
-    pairs = written(possible(written(candidates(nodes), "pairs"), nodes, least), "possible")
-    roots = components(links(pairs, nodes, least))
+    forms = written(shapes(nodes), "shapes")
+    met = written(buckets(nodes), "buckets")
+    first = written(possible(candidates(met), forms, least), "possible")
+    roots = written(components(links(first, nodes, least)), "classes")
+    rest = written(possible(between(met, roots, nodes, forms, least), forms, least).hint("merge").join(first, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(known.unionByName(links(rest, nodes, least).select("a", "b")))
     per_node = nodes.groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
     rooted = written(per_node.hint("merge").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low", "n"), "roots")
     whole = rooted.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))

@@ -2,6 +2,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+import zstandard
 from hypothesis import given, settings, strategies as st
 
 from regiotally.llm import order_minhash as near
@@ -134,3 +136,46 @@ def test_bounds_rule_out_no_link(a, b):
 def test_single_keys_are_those_of_one_shingle():
     own = near.shingles(np.arange(90, dtype=np.uint32))
     assert (near.bucket_keys(own)[near.SKETCHES :] == near.sketch(own, taken=1) ^ near._MIX).all()
+
+
+@pytest.mark.parametrize("direct", [4, 1000])
+def test_pairs_in_buckets_of_strangers_are_linked(spark, monkeypatch, direct):
+    """Pairs at 0.8 that share three quarters of their words with everybody; strangers are at 0.75 or less."""
+    monkeypatch.setattr(near, "DIRECT", direct)
+    pick, shared, rows = random.Random(31), [f"all{i}" for i in range(150)], []
+    for k in range(80):
+        own = [f"own{k}x{i}" for i in range(50)]
+        kept = set(pick.sample(range(50), 10))
+        rows.append(row(k, " ".join(shared + own)))
+        rows.append(row(1000 + k, " ".join(shared + [w if i in kept else f"other{k}x{i}" for i, w in enumerate(own)])))
+    found = {r.doc_id: (r.class_id, r.class_size) for r in near.classes(spark.createDataFrame(rows, documents(spark).schema)).collect()}
+    assert found == {j + k: (k, 2) for k in range(80) for j in (0, 1000)}
+
+
+def test_a_class_beside_strangers_is_met_by_them_once(spark):
+    """Pairs across the classes of a bucket, whole or by rare words, are those of the plain definition."""
+    pick = random.Random(5)
+    words = {n: np.array([pick.randrange(40) if i % 2 else n // 6 * 100 + i for i in range(30)], dtype=np.uint32) for n in range(30)}
+    nodes = spark.createDataFrame([(n, n, [1, 2 + n % 2], zstandard.compress(w.tobytes()), len(w), near.histogram(w)) for n, w in words.items()], "id long, node long, keys array<long>, words binary, n_words int, bins binary")
+    roots = spark.createDataFrame([(n, 7) for n in range(7, 15)], "node long, root long")
+    root = {n: 7 if 7 <= n < 15 else n for n in words}
+    key = lambda n: {1, 2 + n % 2}
+    ends = {1: (0, 29), 2: (0, 28), 3: (1, 29)}
+    want = {(a, b) for a in words for b in words if a < b and root[a] != root[b] and any(not {a, b} & set(ends[k]) for k in key(a) & key(b))}
+    got = [(r.a, r.b) for r in near.between(near.buckets(nodes), roots, nodes, near.shapes(nodes)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@given(st.lists(st.integers(0, 12), min_size=1, max_size=60), st.lists(st.tuples(st.integers(0, 59), st.integers(0, 12)), max_size=14), st.integers(0, 1000))
+@settings(max_examples=500, deadline=None)
+def test_near_texts_share_a_rarest_word(a, edits, seed):
+    b = list(a)
+    for at, w in edits:
+        if at % 3 == 0:
+            b[at % (len(b) + 1) : at % (len(b) + 1)] = [w]
+        elif len(b) > 1:
+            b[at % len(b) : at % len(b) + 1] = [w] if at % 3 == 1 else []
+    common = np.random.default_rng(seed).integers(0, 5, near.CELLS)
+    x, y = np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32)
+    if near.similarity(x, y) is not None:
+        assert set(near.rarest(x, common).tolist()) & set(near.rarest(y, common).tolist())

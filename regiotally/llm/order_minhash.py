@@ -39,8 +39,10 @@ SKETCHES = 32
 TAKEN = 2
 #: Cells of the word histogram that rules pairs out before their words are fetched; a power of two.
 BINS = 256
-#: Buckets of more nodes than this may meet by rare words; which way is taken decides about the work, not about the links.
-DIRECT = 128
+#: Nodes of one side of a comparison inside a task.
+TILE = 1_024
+#: Buckets with more comparisons than this meet by rare words; which way is taken decides about the work, not about the links.
+DIRECT = 60_000_000
 #: Cells of the count that says which words are rare; a power of two.
 CELLS = 65_536
 #: Word hashes kept per worker; the table is emptied when it is full.
@@ -134,8 +136,8 @@ def histogram(words: np.ndarray) -> bytes:
 def may_align(n_a: np.ndarray, n_b: np.ndarray, bins_a: np.ndarray, bins_b: np.ndarray, least: float) -> np.ndarray:
     """Whether pairs can reach the similarity: neither the lengths nor the words that one side has more of forbid it."""
     most = ((1 - least) * np.maximum(n_a, n_b) + 1e-9).astype(np.int64)
-    spare = bins_a.astype(np.int16) - bins_b.astype(np.int16)
-    more, less = np.where(spare > 0, spare, 0).sum(axis=1), np.where(spare < 0, -spare, 0).sum(axis=1)
+    both = np.maximum(bins_a, bins_b).sum(axis=1, dtype=np.int64)
+    more, less = both - bins_b.sum(axis=1, dtype=np.int64), both - bins_a.sum(axis=1, dtype=np.int64)
     return (np.abs(n_a - n_b) <= most) & (np.maximum(more, less) <= most)
 
 
@@ -284,35 +286,63 @@ def rare_words(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return texts.select("node", "words").mapInArrow(chosen, "node long, tokens array<long>")
 
 
+def across(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Pairs of nodes of different classes of a group that lengths and word histograms do not rule out.
+
+    Rows ``key, token, node, root, main, strangers, size, n_words, bins``: a group (key, token) has ``size`` nodes, and
+    ``strangers`` of them are not of its class ``main``. These are compared with all, cut into parts of ``TILE`` nodes.
+    """
+    parts = lambda n: F.ceil(F.col(n) / TILE).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    tile = lambda side, x, y: F.struct(F.lit(side).alias("side"), x.alias("x"), y.alias("y"))
+    one = F.array(tile(2, F.lit(0), F.lit(0)))
+    as_stranger = F.when(F.col("root") != F.col("main"), F.transform(every(parts("size")), lambda y: tile(0, own(parts("strangers")), y))).otherwise(F.array().cast("array<struct<side:int,x:int,y:int>>"))
+    as_any = F.transform(every(parts("strangers")), lambda x: tile(1, x, own(parts("size"))))
+    tiles = F.when(F.col("size") <= TILE, one).otherwise(F.concat(as_stranger, as_any))
+
+    def compare(table: pa.Table) -> pa.Table:
+        side, node, root, main, n = (table.column(c).to_numpy() for c in ("side", "node", "root", "main", "n_words"))
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+        x, y = np.flatnonzero((side != 1) & (root != main)), np.flatnonzero(side != 0)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(x), 16):
+            i, j = np.meshgrid(x[at : at + 16], y, indexing="ij")
+            i, j = i.ravel(), j.ravel()
+            keep = (root[i] != root[j]) & ((root[j] == main[j]) | (node[i] < node[j])) & (np.abs(n[i] - n[j]) <= (1 - least) * np.maximum(n[i], n[j]) + 1e-9)
+            i, j = i[keep], j[keep]
+            keep = may_align(n[i], n[j], bins[i], bins[j], least)
+            found.append((node[i[keep]], node[j[keep]]))
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    dealt = rows.withColumn("tile", F.explode(tiles)).select("key", "token", "tile.*", "node", "root", "main", "n_words", "bins")
+    return dealt.groupBy("key", "token", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+
+
 def between(met: DataFrame, roots: DataFrame, nodes: DataFrame, forms: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Pairs ``a < b`` that share a bucket, are not in one class by ``roots`` and were not met by ``candidates``.
 
-    Only pairs that lengths or, in large buckets, the rarest words rule out are left out. Buckets of the same nodes are
-    one. The class with the most nodes in a bucket is compared with the others but never with itself, so a large class
-    beside a few strangers costs as many comparisons as it has nodes.
+    Only pairs that lengths, word histograms or, in large buckets, the rarest words rule out are left out. Buckets of the
+    same nodes are one. The class with the most nodes in a bucket is compared with the others but never with itself, so
+    a large class beside a few strangers costs few comparisons for each of its nodes.
     """
     inner = met.filter("node <> high").select("key", "node").distinct()
-    placed = inner.hint("merge").join(forms.select("node", "n_words"), "node").hint("merge").join(roots, "node", "left")
-    placed = written(placed.select("key", "node", "n_words", F.coalesce("root", "node").alias("root")), "inner")
+    placed = written(inner.hint("merge").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "inner")
     by_class = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("own"))
-    several = by_class.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("size"), F.sum("own").alias("own"), F.count(F.lit(1)).alias("classes"))
-    open_ones = several.filter("classes > 1").groupBy("main", "size", "own").agg(F.min("key").alias("key")).drop("own")
-    held = written(placed.hint("merge").join(open_ones, "key"), "open")
-    spread = held.withColumn("token", F.lit(0).cast("long"))
-    large = held.filter(F.col("size") > DIRECT)
-    wanted = large.select("node").distinct()
+    several = by_class.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("size"), F.sum("own").alias("own"), F.count(F.lit(1)).alias("classes"))
+    open_ones = several.filter("classes > 1").groupBy("main", "most", "size", "own").agg(F.min("key").alias("key"))
+    held = written(placed.hint("merge").join(open_ones.select("key", "main", "size", (F.col("size") - F.col("most")).alias("strangers")), "key"), "open")
+    direct = F.col("strangers").cast("double") * F.col("size") <= DIRECT
+    spread = held.filter(direct).withColumn("token", F.lit(0).cast("long"))
+    wanted = held.filter(~direct).select("node").distinct()
     if not wanted.isEmpty():
         tokens = written(rare_words(words_of(nodes, wanted), least), "tokens")
-        by_word = large.hint("merge").join(tokens, "node").select(*held.columns, F.explode("tokens").alias("token"))
-        meeting = by_word.groupBy("key", "token", "size").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("key", "size").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
-        # where most share many rare words, each pair once is less than each pair by every word
-        fewer = written(meeting.filter(F.col("work") < F.col("size").cast("double") * F.col("size")).select("key"), "by-word")
-        spread = spread.hint("merge").join(fewer, "key", "left_anti").unionByName(by_word.hint("merge").join(fewer, "key", "left_semi"))
-    ones = spread.filter("root <> main").select("key", "token", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n_words").alias("n_a"))
-    others = spread.select("key", "token", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n_words").alias("n_b"), "main")
-    near = F.abs(F.col("n_a") - F.col("n_b")) <= F.lit(1 - least) * F.greatest("n_a", "n_b") + 1e-9
-    pairs = ones.hint("merge").join(others, ["key", "token"]).filter((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b"))) & near)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        by_word = held.filter(~direct).drop("size", "strangers").hint("merge").join(tokens, "node").withColumn("token", F.explode("tokens")).drop("tokens")
+        stranger = F.sum(F.when(F.col("root") != F.col("main"), 1).otherwise(0))
+        sizes = by_word.groupBy("key", "token").agg(F.count(F.lit(1)).alias("size"), stranger.alias("strangers")).filter("size > 1 AND strangers > 0")
+        spread = spread.unionByName(by_word.hint("merge").join(sizes, ["key", "token"]))
+    return across(spread.hint("merge").join(forms, "node"), least)
 
 
 def shapes(nodes: DataFrame) -> DataFrame:
@@ -406,7 +436,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     met = written(buckets(nodes), "buckets")
     first = written(possible(candidates(met), forms, least), "possible")
     roots = written(components(links(first, nodes, least)), "classes")
-    rest = written(possible(between(met, roots, nodes, forms, least), forms, least).hint("merge").join(first, ["a", "b"], "left_anti"), "rest")
+    rest = written(between(met, roots, nodes, forms, least).hint("merge").join(first, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = components(known.unionByName(links(rest, nodes, least).select("a", "b")))

@@ -1,5 +1,6 @@
 """Each stage against a plain version of its decision, and the whole run."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -47,3 +48,13 @@ def test_run_over_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
     out = corpus_pipeline.run(spark, folder)
     assert out.count() == 0 and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_near_pairs_among_strangers_leave_one(spark):
+    """The stage keeps one of each pair at 0.8, though all share three quarters of their words."""
+    pick, shared, rows = random.Random(8), [f"all{i}" for i in range(150)], []
+    for k in range(40):
+        own, kept = [f"own{k}x{i}" for i in range(50)], set(pick.sample(range(50), 10))
+        rows += [row(k, " ".join(shared + own)), row(1000 + k, " ".join(shared + [w if i in kept else f"other{k}x{i}" for i, w in enumerate(own)]))]
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, documents(spark).schema), "")
+    assert sorted(r.doc_id for r in left.collect()) == list(range(40))

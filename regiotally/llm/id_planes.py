@@ -30,6 +30,8 @@ BLOCK_IDS = 65_536
 LEVEL = 3
 #: Segments kept per worker; the table is emptied when it is full.
 CACHED = 600_000
+#: Runs of letters kept per worker, of whatever marks follow.
+CACHED_LETTERS = 300_000
 LONG = 64
 
 #: A segment of two matches of the split pattern at most: Latin letters, then marks.
@@ -79,7 +81,7 @@ class SegmentEncoder:
 
     The split pattern of the tokenizer always cuts before a blank that a non-blank follows, so the segments between
     such places are encoded once by the library and looked up when they come again: those of letters and marks straight
-    by its merges, others by all its steps. Texts with other runs of blanks go to the library whole.
+    by its merges, the letters and the marks on their own, those joined by single line feeds too, others by all its steps. Texts with other runs of blanks go to the library whole.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -90,24 +92,46 @@ class SegmentEncoder:
         self.library.encode_special_tokens = True
         self.merges = self.library.model
         self.known: dict[str, bytes] = {}
-        self.marks: dict[str, list[int]] = {"": []}
-
-    def merged(self, piece: str) -> list[int]:
-        return [t.id for t in self.merges.tokenize(piece.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.line_feed = array("I", [t.id for t in self.merges.tokenize(BYTE_LETTERS[10])]).tobytes()
+
+    def merged(self, piece: str) -> bytes:
+        printed = piece.replace(" ", BYTE_LETTERS[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.merges.tokenize(printed)]).tobytes()
+
+    def simple_ids(self, segment: str) -> bytes | None:
+        """The ids of letters and marks, or None for any other segment."""
+        simple = SIMPLE.fullmatch(segment)
+        if simple is None:
+            return None
+        letters, marks = simple.groups()
+        own = self.letters.get(letters)
+        if own is None:
+            own = self.merged(letters)
+            if len(letters) <= LONG:
+                self.letters[letters] = own
+        if not marks:
+            return own
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[marks] = self.merged(marks)
+        return own + self.marks[marks]
 
     def segment_ids(self, segments: list[str]) -> dict[str, bytes]:
         out, other = {}, []
+        if len(self.letters) > CACHED_LETTERS:
+            self.letters.clear()
         for s in segments:
-            simple = SIMPLE.fullmatch(s)
-            if simple is None:
+            own = self.simple_ids(s)
+            if own is None and "\n" in s:  # a single line feed between two others is a match of its own
+                parts = [self.simple_ids(part) for part in s.split("\n")]
+                own = None if None in parts else self.line_feed.join(parts)
+            if own is None:
                 other.append(s)
-                continue
-            letters, marks = simple.groups()
-            if marks not in self.marks:
-                if len(self.marks) > 10_000:
-                    self.marks = {"": []}
-                self.marks[marks] = self.merged(marks)
-            out[s] = array("I", self.merged(letters) + self.marks[marks]).tobytes()
+            else:
+                out[s] = own
         out.update(zip(other, self.library_ids(other)))
         return out
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -97,3 +98,17 @@ def test_blocks_have_a_fixed_size(spark, tmp_path):
     blocks = spark.read.parquet(f"{path}/blocks")
     last = blocks.groupBy("slice").agg(F.max("block").alias("block"))
     assert blocks.join(last, ["slice", "block"], "left_anti").filter("n_ids <> 256").count() == 0
+
+
+@pytest.mark.parametrize("text", ["One,\nTwo.\nÉtés", "a\n\nb c\n", "\nx y'\ns it's\n's", "A.\n1\nB", "ab\r\ncd\n\u00a0e"])
+def test_line_feeds_between_letters_are_matches_of_their_own(text):
+    assert np.frombuffer(id_planes.SegmentEncoder(TOKENIZER).encode([text])[0], "<u4").tolist() == OTHER.encode(text, add_special_tokens=False).ids
+
+
+def test_letters_are_merged_once_whatever_follows(monkeypatch):
+    own, asked, whole = id_planes.SegmentEncoder(TOKENIZER), [], []
+    merged, library = own.merged, own.library_ids
+    monkeypatch.setattr(own, "merged", lambda piece: asked.append(piece) or merged(piece))
+    monkeypatch.setattr(own, "library_ids", lambda texts: whole.extend(texts) or library(texts))
+    own.encode(["x word word, word. word.\nWord\nword word!\nWord"])
+    assert sorted(asked) == sorted({"x", " word", ",", ".", "Word", "word", "!"}) and not whole

@@ -37,8 +37,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 32
 TAKEN = 2
-#: Cells of the word histogram that rules pairs out before their words are fetched; a power of two.
-BINS = 256
+#: Cells of the word histogram that rules pairs out before their words are fetched, and of its folded form that is looked
+#: at first; powers of two.
+BINS = 1_024
+FOLDED = 256
 #: Nodes of one side of a comparison inside a task.
 TILE = 1_024
 #: Buckets with more comparisons than this meet by rare words; which way is taken decides about the work, not about the links.
@@ -46,7 +48,7 @@ DIRECT = 60_000_000
 #: Cells of the count that says which words are rare; a power of two.
 CELLS = 65_536
 #: Word hashes kept per worker; the table is emptied when it is full.
-CACHED = 500_000
+CACHED = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,6 +135,22 @@ def histogram(words: np.ndarray) -> bytes:
     return np.minimum(np.bincount(words & np.uint32(BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
+def packed_bins(bins: bytes, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """A histogram compressed, or as it is where that is no shorter: only those have ``BINS`` bytes."""
+    out = squeeze.compress(bins)
+    return out if len(out) < BINS else bins
+
+
+def unpacked_bins(column: pa.ChunkedArray | pa.Array, expand: zstandard.ZstdDecompressor) -> np.ndarray:
+    whole = [b if len(b) == BINS else expand.decompress(b) for b in column.to_pylist()]
+    return np.frombuffer(b"".join(whole), dtype=np.uint8).reshape(-1, BINS)
+
+
+def folded(bins: np.ndarray) -> np.ndarray:
+    """Histograms of ``FOLDED`` cells, in which two texts differ by no more than in all cells."""
+    return np.minimum(bins.reshape(-1, BINS // FOLDED, FOLDED).sum(axis=1, dtype=np.int64), 255).astype(np.uint8)
+
+
 def may_align(n_a: np.ndarray, n_b: np.ndarray, bins_a: np.ndarray, bins_b: np.ndarray, least: float) -> np.ndarray:
     """Whether pairs can reach the similarity: neither the lengths nor the words that one side has more of forbid it."""
     most = ((1 - least) * np.maximum(n_a, n_b) + 1e-9).astype(np.int64)
@@ -207,7 +225,7 @@ def node_rows(docs: DataFrame, id_column: str, text_column: str, sketches: int =
     kind = rows.schema["id"].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, squeeze = WordHashes(), zstandard.ZstdCompressor(level=1)
+        hashes, squeeze = WordHashes(), zstandard.ZstdCompressor(level=2)
         for batch in pieces_of(batches):
             nodes, keys, packed, sizes, bins = [], [], [], [], []
             for raw, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -218,7 +236,7 @@ def node_rows(docs: DataFrame, id_column: str, text_column: str, sketches: int =
                     ids = hashes.of(words)
                     keys.append(bucket_keys(shingles(ids), sketches).view(np.int64))
                     packed.append(squeeze.compress(ids.tobytes()))
-                    bins.append(histogram(ids))
+                    bins.append(packed_bins(histogram(ids), squeeze))
                 else:
                     keys.append(np.zeros(0, dtype=np.int64))
                     packed.append(b"")
@@ -235,10 +253,11 @@ def node_rows(docs: DataFrame, id_column: str, text_column: str, sketches: int =
 def buckets(nodes: DataFrame) -> DataFrame:
     """``key, low, high, node``: the nodes of every bucket but its smallest one, beside the smallest and the largest.
 
-    Smallest and largest are aggregated before the shuffle. Both sides of the join back grow with the data, so it is
-    asked to sort both; adaptive execution splits a hot bucket.
+    The keys are shuffled once, for the ends and for the join back. A task streams over its buckets, 16 bytes a node, and
+    holds none of them. Both sides of the join grow with the data, so it is asked to sort both.
     """
-    flat = nodes.select("node", F.explode("keys").alias("key"))
+    # without the filter the join asks one more of its side, and the shuffle would come twice
+    flat = nodes.select("node", F.explode("keys").alias("key")).filter("node IS NOT NULL AND key IS NOT NULL").repartition("key")
     ends = flat.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     return flat.hint("merge").join(ends, "key").filter("node <> low").select("key", "low", "high", "node")
 
@@ -303,16 +322,19 @@ def across(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         side, node, root, main, n = (table.column(c).to_numpy() for c in ("side", "node", "root", "main", "n_words"))
-        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+        bins = unpacked_bins(table.column("bins"), zstandard.ZstdDecompressor())
         x, y = np.flatnonzero((side != 1) & (root != main)), np.flatnonzero(side != 0)
+        coarse = folded(bins)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(x), 16):
             i, j = np.meshgrid(x[at : at + 16], y, indexing="ij")
             i, j = i.ravel(), j.ravel()
             keep = (root[i] != root[j]) & ((root[j] == main[j]) | (node[i] < node[j])) & (np.abs(n[i] - n[j]) <= (1 - least) * np.maximum(n[i], n[j]) + 1e-9)
             i, j = i[keep], j[keep]
-            keep = may_align(n[i], n[j], bins[i], bins[j], least)
-            found.append((node[i[keep]], node[j[keep]]))
+            for cells in (coarse, bins):
+                keep = may_align(n[i], n[j], cells[i], cells[j], least)
+                i, j = i[keep], j[keep]
+            found.append((node[i], node[j]))
         a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -354,9 +376,10 @@ def possible(pairs: DataFrame, forms: DataFrame, least: float = SIMILARITY) -> D
     """The candidate pairs that lengths and word histograms do not rule out."""
 
     def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
         for batch in batches:
             if batch.num_rows:
-                cells = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in (4, 5)]
+                cells = [unpacked_bins(batch.column(c), expand) for c in (4, 5)]
                 keep = may_align(batch.column(2).to_numpy(), batch.column(3).to_numpy(), *cells, least)
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
@@ -367,16 +390,19 @@ def possible(pairs: DataFrame, forms: DataFrame, least: float = SIMILARITY) -> D
 
 
 def words_of(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, words`` of the ``wanted`` nodes, one row each."""
+    """``node, words`` of the ``wanted`` nodes, one row each.
+
+    The rows that are wanted are written first, so all words are shuffled only if those rows exceed the broadcast threshold.
+    """
     # copies have the same words: the first id's row stands for the node
-    one = nodes.groupBy("node").agg(F.min("id").alias("id")).hint("merge").join(wanted, "node")
-    own = nodes.select("node", "id", "words").hint("merge").join(one.withColumnsRenamed({"node": "n", "id": "i"}), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
+    one = written(nodes.groupBy("node").agg(F.min("id").alias("id")).hint("merge").join(wanted, "node"), "wanted")
+    own = nodes.select("node", "id", "words").join(one.withColumnsRenamed({"node": "n", "id": "i"}), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
     return written(own.drop("id").dropDuplicates(["node"]), "words")
 
 
 def links(pairs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The candidate pairs whose words align, with their similarity."""
-    texts = words_of(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    texts = words_of(nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()

@@ -183,3 +183,20 @@ def test_near_texts_share_a_rarest_word(a, edits, seed):
     x, y = np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32)
     if near.similarity(x, y) is not None:
         assert set(near.rarest(x, common).tolist()) & set(near.rarest(y, common).tolist())
+
+
+def test_texts_alike_in_the_folded_histogram_only_are_not_fetched(spark):
+    """Strangers that a small histogram cannot tell apart are ruled out by all of its cells, packed or not."""
+    words = {n: np.arange(40, dtype=np.uint32) + np.uint32(n % 4 * near.FOLDED + n * near.BINS) for n in range(5)}
+    squeeze = zstandard.ZstdCompressor()
+    for form in (near.histogram, lambda w: near.packed_bins(near.histogram(w), squeeze)):
+        rows = [(1, 0, n, n, 9, 5, 5, len(w), form(w)) for n, w in words.items()]
+        held = spark.createDataFrame(rows, "key long, token long, node long, root long, main long, size long, strangers long, n_words int, bins binary")
+        assert [(r.a, r.b) for r in near.across(held).collect()] == [(0, 4)]
+
+
+def test_keys_are_shuffled_once(spark):
+    nodes = spark.createDataFrame([(n, [n // 2, 99]) for n in range(20)], "node long, keys array<long>")
+    met = near.buckets(nodes)
+    assert len(met.collect()) == 29
+    assert "ReusedExchange" in met._jdf.queryExecution().executedPlan().toString()

@@ -47,6 +47,8 @@ TILE = 1_024
 DIRECT = 60_000_000
 #: Cells of the count that says which words are rare; a power of two.
 CELLS = 65_536
+#: Numbers of 64 bits in the bitmap of wanted nodes; a power of two.
+SLOTS = 131_072
 #: Word hashes kept per worker; the table is emptied when it is full.
 CACHED = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -392,12 +394,16 @@ def possible(pairs: DataFrame, forms: DataFrame, least: float = SIMILARITY) -> D
 def words_of(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, words`` of the ``wanted`` nodes, one row each.
 
-    The rows that are wanted are written first, so all words are shuffled only if those rows exceed the broadcast threshold.
+    A bitmap of the wanted nodes, of a fixed size, goes to all tasks and leaves out most other words before the shuffle.
     """
     # copies have the same words: the first id's row stands for the node
     one = written(nodes.groupBy("node").agg(F.min("id").alias("id")).hint("merge").join(wanted, "node"), "wanted")
-    own = nodes.select("node", "id", "words").join(one.withColumnsRenamed({"node": "n", "id": "i"}), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
-    return written(own.drop("id").dropDuplicates(["node"]), "words")
+    slot, bit = F.expr(f"shiftright(node, 6) & {SLOTS - 1}"), F.expr("shiftleft(1L, CAST(node & 63 AS INT))")
+    marks = one.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("marks"))  # one row a slot
+    own = nodes.select("node", "id", "words", slot.alias("slot")).join(F.broadcast(marks), "slot").filter(F.col("marks").bitwiseAND(bit) != 0)
+    # an inner join: a semi join would be moved below the bitmap
+    own = own.select("node", "id", "words").hint("merge").join(one.withColumnsRenamed({"node": "n", "id": "i"}), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("i")))
+    return written(own.select("node", "words").dropDuplicates(["node"]), "words")
 
 
 def links(pairs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:

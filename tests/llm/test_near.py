@@ -200,3 +200,13 @@ def test_keys_are_shuffled_once(spark):
     met = near.buckets(nodes)
     assert len(met.collect()) == 29
     assert "ReusedExchange" in met._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("slots", [1, 131_072])
+def test_words_are_those_of_the_wanted_nodes_only(spark, monkeypatch, slots):
+    """Nodes that share a bit of the bitmap, repeated rows and null ids give one row a wanted node."""
+    monkeypatch.setattr(near, "SLOTS", slots)
+    ids = [None, 1, 1, 2, 3, 4, 5]
+    nodes = spark.createDataFrame([(i, n, bytes([n % 256])) for i, n in zip(ids, [64, 64, 64, 128, 5, 2**62 + 5, 5])], "id long, node long, words binary")
+    wanted = spark.createDataFrame([(64,), (2**62 + 5,)], "node long")
+    assert sorted((r.node, bytes(r.words)) for r in near.words_of(nodes, wanted).collect()) == [(64, b"\x40"), (2**62 + 5, b"\x05")]

@@ -12,10 +12,12 @@ connected components of the links.
 
 Equal word sequences are one node, named by a 63-bit hash, so copies never meet in pairs. Inside a bucket every node is
 first compared with the bucket's smallest and largest node: a class of any size is found in a number of comparisons that
-grows with its texts. The nodes of a bucket that are then still in several classes are compared across these, all of
-them, so two texts that share a bucket are linked, or in one class by others, or were found unlike. In a large bucket of
-strangers only those meet that share one of their rarest words, as texts so near must: of ``n`` words ``least * n`` or
-more are common, so the rarest ``(1 - least) * n + 1`` of the two have one in common, whatever the order of rarity.
+grows with its texts. Buckets with the same smallest node, one for each of its keys at most, are one group, as their nodes
+are mostly the same. The nodes of a group that are then still in several classes are compared across these, all of them,
+so two texts that share a bucket are linked, or in one class by others, or were found unlike. A pair that shares several
+groups is given by the first of them. In a large group of strangers only those meet that share one of their rarest words,
+as texts so near must: of ``n`` words ``least * n`` or more are common, so the rarest ``(1 - least) * n + 1`` of the two
+have one in common, whatever the order of rarity.
 """
 
 from __future__ import annotations
@@ -42,8 +44,8 @@ TAKEN = 2
 BINS = 1_024
 FOLDED = 256
 #: Nodes of one side of a comparison inside a task.
-TILE = 1_024
-#: Buckets with more comparisons than this meet by rare words; which way is taken decides about the work, not about the links.
+TILE = 2_048
+#: Groups with more comparisons than this meet by rare words; which way is taken decides about the work, not about the links.
 DIRECT = 60_000_000
 #: Cells of the count that says which words are rare; a power of two.
 CELLS = 65_536
@@ -310,9 +312,12 @@ def rare_words(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
 def across(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Pairs of nodes of different classes of a group that lengths and word histograms do not rule out.
 
-    Rows ``key, token, node, root, main, strangers, size, n_words, bins``: a group (key, token) has ``size`` nodes, and
-    ``strangers`` of them are not of its class ``main``. These are compared with all, cut into parts of ``TILE`` nodes.
+    Rows ``key, token, node, root, main, strangers, size, before, n_words, bins``: a group (key, token) has ``size`` nodes,
+    and ``strangers`` of them are not of its class ``main``. These are compared with all, cut into parts of ``TILE`` nodes.
+    Nodes that share a key of ``before``, the smaller keys of a node, meet there; without that column every group counts.
     """
+    if "before" not in rows.columns:
+        rows = rows.withColumn("before", F.array().cast("array<long>"))
     parts = lambda n: F.ceil(F.col(n) / TILE).cast("int")
     every = lambda n: F.sequence(F.lit(0), n - 1)
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
@@ -325,6 +330,7 @@ def across(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         side, node, root, main, n = (table.column(c).to_numpy() for c in ("side", "node", "root", "main", "n_words"))
         bins = unpacked_bins(table.column("bins"), zstandard.ZstdDecompressor())
+        before = [frozenset(keys) for keys in table.column("before").to_pylist()]
         x, y = np.flatnonzero((side != 1) & (root != main)), np.flatnonzero(side != 0)
         coarse = folded(bins)
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -336,37 +342,47 @@ def across(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
             for cells in (coarse, bins):
                 keep = may_align(n[i], n[j], cells[i], cells[j], least)
                 i, j = i[keep], j[keep]
-            found.append((node[i], node[j]))
+            keep = np.fromiter((before[p].isdisjoint(before[q]) for p, q in zip(i.tolist(), j.tolist())), dtype=bool, count=len(i))
+            found.append((node[i[keep]], node[j[keep]]))
         a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    dealt = rows.withColumn("tile", F.explode(tiles)).select("key", "token", "tile.*", "node", "root", "main", "n_words", "bins")
+    dealt = rows.withColumn("tile", F.explode(tiles)).select("key", "token", "tile.*", "node", "root", "main", "before", "n_words", "bins")
     return dealt.groupBy("key", "token", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
 def between(met: DataFrame, roots: DataFrame, nodes: DataFrame, forms: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Pairs ``a < b`` that share a bucket, are not in one class by ``roots`` and were not met by ``candidates``.
 
-    Only pairs that lengths, word histograms or, in large buckets, the rarest words rule out are left out. Buckets of the
-    same nodes are one. The class with the most nodes in a bucket is compared with the others but never with itself, so
-    a large class beside a few strangers costs few comparisons for each of its nodes.
+    Buckets with the same smallest node are one group, named by it, so pairs that share no bucket may come too. Only pairs
+    that lengths, word histograms or, in large groups, the rarest words rule out are left out. Groups of the same nodes are
+    one. The class with the most nodes in a group is compared with the others but never with itself, so a large class beside
+    a few strangers costs few comparisons for each of its nodes. What a node brings is joined to it once, not once a group.
     """
-    inner = met.filter("node <> high").select("key", "node").distinct()
+    inner = met.filter("node <> high").select(F.col("low").alias("key"), "node").distinct()
     placed = written(inner.hint("merge").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "inner")
     by_class = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("own"))
     several = by_class.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("size"), F.sum("own").alias("own"), F.count(F.lit(1)).alias("classes"))
     open_ones = several.filter("classes > 1").groupBy("main", "most", "size", "own").agg(F.min("key").alias("key"))
-    held = written(placed.hint("merge").join(open_ones.select("key", "main", "size", (F.col("size") - F.col("most")).alias("strangers")), "key"), "open")
+    held = placed.hint("merge").join(open_ones.select("key", "main", "size", (F.col("size") - F.col("most")).alias("strangers")), "key")
+    # a node is in no more groups than it has keys
+    groups = written(held.groupBy("node", "root").agg(F.collect_list(F.struct("key", "main", "size", "strangers")).alias("groups")), "open")
+
+    def each(df: DataFrame) -> DataFrame:
+        """A row per node and group, with the smaller ones of the node's groups."""
+        rows = df.withColumn("group", F.explode("groups"))
+        return rows.select("group.*", F.expr("transform(filter(groups, g -> g.key < group.key), g -> g.key)").alias("before"), *[c for c in df.columns if c != "groups"])
+
     direct = F.col("strangers").cast("double") * F.col("size") <= DIRECT
-    spread = held.filter(direct).withColumn("token", F.lit(0).cast("long"))
-    wanted = held.filter(~direct).select("node").distinct()
+    spread = each(groups.hint("merge").join(forms, "node")).filter(direct).withColumn("token", F.lit(0).cast("long"))
+    wanted = each(groups).filter(~direct).select("node").distinct()
     if not wanted.isEmpty():
-        tokens = written(rare_words(words_of(nodes, wanted), least), "tokens")
-        by_word = held.filter(~direct).drop("size", "strangers").hint("merge").join(tokens, "node").withColumn("token", F.explode("tokens")).drop("tokens")
+        tokens = written(rare_words(written(words_of(nodes, wanted), "words"), least), "tokens")
+        by_word = each(groups.hint("merge").join(tokens, "node")).filter(~direct).drop("size", "strangers").withColumn("token", F.explode("tokens")).drop("tokens")
         stranger = F.sum(F.when(F.col("root") != F.col("main"), 1).otherwise(0))
         sizes = by_word.groupBy("key", "token").agg(F.count(F.lit(1)).alias("size"), stranger.alias("strangers")).filter("size > 1 AND strangers > 0")
-        spread = spread.unionByName(by_word.hint("merge").join(sizes, ["key", "token"]))
-    return across(spread.hint("merge").join(forms, "node"), least)
+        spread = spread.unionByName(by_word.hint("merge").join(sizes, ["key", "token"]).hint("merge").join(forms, "node"))
+    return across(spread, least)
 
 
 def shapes(nodes: DataFrame) -> DataFrame:
@@ -394,16 +410,19 @@ def possible(pairs: DataFrame, forms: DataFrame, least: float = SIMILARITY) -> D
 def words_of(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, words`` of the ``wanted`` nodes, one row each.
 
-    A bitmap of the wanted nodes, of a fixed size, goes to all tasks and leaves out most other words before the shuffle.
+    A bitmap of the wanted rows, of a fixed size, goes to all tasks and leaves out most others before the shuffle. Words
+    are shuffled once, by node: a join by node needs no other shuffle.
     """
     # copies have the same words: the first id's row stands for the node
     one = written(nodes.groupBy("node").agg(F.min("id").alias("id")).hint("merge").join(wanted, "node"), "wanted")
-    slot, bit = F.expr(f"shiftright(node, 6) & {SLOTS - 1}"), F.expr("shiftleft(1L, CAST(node & 63 AS INT))")
+    mark = F.xxhash64("node", "id")
+    slot, bit = F.shiftright(mark, 6).bitwiseAND(SLOTS - 1), F.expr("shiftleft(1L, CAST(xxhash64(node, id) & 63 AS INT))")
     marks = one.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("marks"))  # one row a slot
     own = nodes.select("node", "id", "words", slot.alias("slot")).join(F.broadcast(marks), "slot").filter(F.col("marks").bitwiseAND(bit) != 0)
-    # an inner join: a semi join would be moved below the bitmap
-    own = own.select("node", "id", "words").hint("merge").join(one.withColumnsRenamed({"node": "n", "id": "i"}), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("i")))
-    return written(own.select("node", "words").dropDuplicates(["node"]), "words")
+    # an inner join: a semi join would be moved below the bitmap; ids are compared so that they are no part of its key
+    first = F.expr("CASE WHEN i IS NULL THEN id IS NULL ELSE coalesce(id = i, false) END")
+    own = own.select("node", "id", "words").hint("merge").join(one.withColumnsRenamed({"node": "n", "id": "i"}), (F.col("node") == F.col("n")) & first)
+    return own.select("node", "words").dropDuplicates(["node"])
 
 
 def links(pairs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -464,7 +483,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     class with equal texts only, null counts as empty. Repeated rows are copies of each other.
     """
     nodes = written(node_rows(docs, id_column, text_column), "sketches")
-    forms = written(shapes(nodes), "shapes")
+    forms = shapes(nodes)
     met = written(buckets(nodes), "buckets")
     first = written(possible(candidates(met), forms, least), "possible")
     roots = written(components(links(first, nodes, least)), "classes")

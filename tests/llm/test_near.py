@@ -210,3 +210,40 @@ def test_words_are_those_of_the_wanted_nodes_only(spark, monkeypatch, slots):
     nodes = spark.createDataFrame([(i, n, bytes([n % 256])) for i, n in zip(ids, [64, 64, 64, 128, 5, 2**62 + 5, 5])], "id long, node long, words binary")
     wanted = spark.createDataFrame([(64,), (2**62 + 5,)], "node long")
     assert sorted((r.node, bytes(r.words)) for r in near.words_of(nodes, wanted).collect()) == [(64, b"\x40"), (2**62 + 5, b"\x05")]
+
+
+def strangers(n, words=60, shared=40):
+    """Nodes in all of 20 buckets that share so many words that no histogram tells them apart at 0.3."""
+    texts = {k: np.array([*range(shared), *(1000 + (k * 7 + i) % 50 for i in range(words - shared))], dtype=np.uint32) for k in range(n)}
+    return [(k, k, [*range(1, 21)], zstandard.compress(w.tobytes()), len(w), near.histogram(w)) for k, w in texts.items()]
+
+
+@pytest.mark.parametrize("tile", [8, 1_024])
+def test_a_pair_of_many_buckets_is_made_once(spark, monkeypatch, tile):
+    """Strangers that share 20 buckets give one row a pair before any distinct, and their histograms are joined once a node."""
+    monkeypatch.setattr(near, "TILE", tile)
+    schema = "id long, node long, keys array<long>, words binary, n_words int, bins binary"
+    # two kinds of buckets, as their smallest nodes differ: 0 is in those of even keys only
+    rows = [(i, n, [k for k in keys if n or k % 2 == 0], *rest) for i, n, keys, *rest in strangers(40)]
+    nodes = spark.createDataFrame(rows, schema)
+    met = near.buckets(nodes)
+    made = []
+    distinct = type(nodes).distinct
+    with monkeypatch.context() as patch:
+        patch.setattr(type(nodes), "distinct", lambda df: distinct(df) if df.columns != ["a", "b"] else (made.append(df.collect()), distinct(df))[1])
+        got = near.between(met, spark.createDataFrame([], "node long, root long"), nodes, near.shapes(nodes), 0.3).collect()
+    # 0 and 39 meet all as ends; in the buckets of odd keys the smallest is 1
+    want = {(a, b) for a in range(1, 39) for b in range(a + 1, 39)}
+    assert sorted((r.a, r.b) for r in got) == sorted(want)
+    assert len(made[-1]) == len(want)
+
+
+def test_words_are_shuffled_once_on_their_way_to_the_pairs(spark):
+    nodes = spark.createDataFrame([(n, n, bytes([n])) for n in range(20)], "id long, node long, words binary")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        wanted = spark.createDataFrame([(n,) for n in range(5)], "node long")
+        plan = near.words_of(nodes, wanted)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum("Exchange hashpartitioning(node" in line for line in plan.splitlines()) == 1, plan

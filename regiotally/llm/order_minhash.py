@@ -43,6 +43,9 @@ TAKEN = 2
 #: at first; powers of two.
 BINS = 1_024
 FOLDED = 256
+#: Cells for texts of more than ``LONG`` words, as in few cells all long texts look alike.
+FINE = 4_096
+LONG = 2_048
 #: Nodes of one side of a comparison inside a task.
 TILE = 2_048
 #: Groups with more comparisons than this meet by rare words; which way is taken decides about the work, not about the links.
@@ -136,23 +139,33 @@ def bucket_keys(grams: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
 
 def histogram(words: np.ndarray) -> bytes:
     """Words by the low bits of their hash, counts above 255 as 255: what two texts need at least to become equal."""
-    return np.minimum(np.bincount(words & np.uint32(BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes()
+    cells = FINE if len(words) > LONG else BINS
+    return np.minimum(np.bincount(words & np.uint32(cells - 1), minlength=cells), 255).astype(np.uint8).tobytes()
 
 
 def packed_bins(bins: bytes, squeeze: zstandard.ZstdCompressor) -> bytes:
-    """A histogram compressed, or as it is where that is no shorter: only those have ``BINS`` bytes."""
+    """A histogram compressed, or as it is where that is no shorter: only those have ``BINS`` or ``FINE`` bytes."""
     out = squeeze.compress(bins)
-    return out if len(out) < BINS else bins
+    return out if len(out) < len(bins) and len(out) != BINS else bins
 
 
-def unpacked_bins(column: pa.ChunkedArray | pa.Array, expand: zstandard.ZstdDecompressor) -> np.ndarray:
-    whole = [b if len(b) == BINS else expand.decompress(b) for b in column.to_pylist()]
-    return np.frombuffer(b"".join(whole), dtype=np.uint8).reshape(-1, BINS)
+class Histograms:
+    """The histograms of a column: ``bins`` with ``BINS`` cells of all, ``fine`` with ``FINE`` cells of long texts."""
 
+    def __init__(self, column: pa.ChunkedArray | pa.Array, expand: zstandard.ZstdDecompressor) -> None:
+        whole = [b if len(b) in (BINS, FINE) else expand.decompress(b) for b in column.to_pylist()]
+        large = [k for k, b in enumerate(whole) if len(b) == FINE]
+        self.place = np.full(len(whole), -1, dtype=np.int64)  # row of ``fine``, -1 without
+        self.place[large] = np.arange(len(large))
+        self.fine = np.frombuffer(b"".join(whole[k] for k in large), dtype=np.uint8).reshape(-1, FINE)
+        for k, cells in zip(large, folded(self.fine, BINS)):
+            whole[k] = cells.tobytes()
+        self.bins = np.frombuffer(b"".join(whole), dtype=np.uint8).reshape(-1, BINS)
 
-def folded(bins: np.ndarray) -> np.ndarray:
-    """Histograms of ``FOLDED`` cells, in which two texts differ by no more than in all cells."""
-    return np.minimum(bins.reshape(-1, BINS // FOLDED, FOLDED).sum(axis=1, dtype=np.int64), 255).astype(np.uint8)
+
+def folded(bins: np.ndarray, cells: int = FOLDED) -> np.ndarray:
+    """Histograms of fewer cells, in which two texts differ by no more than in all of them."""
+    return np.minimum(bins.reshape(len(bins), bins.shape[1] // cells, cells).sum(axis=1, dtype=np.int64), 255).astype(np.uint8)
 
 
 def may_align(n_a: np.ndarray, n_b: np.ndarray, bins_a: np.ndarray, bins_b: np.ndarray, least: float) -> np.ndarray:
@@ -163,6 +176,16 @@ def may_align(n_a: np.ndarray, n_b: np.ndarray, bins_a: np.ndarray, bins_b: np.n
     return (np.abs(n_a - n_b) <= most) & (np.maximum(more, less) <= most)
 
 
+def long_may_align(n_a: np.ndarray, n_b: np.ndarray, a: Histograms, b: Histograms, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """The same of rows ``i`` of ``a`` and ``j`` of ``b`` by the finer histograms, where both have one."""
+    may = np.ones(len(i), dtype=bool)
+    both = np.flatnonzero((a.place[i] >= 0) & (b.place[j] >= 0))
+    for at in range(0, len(both), 2_000):  # some megabytes at a time
+        own = both[at : at + 2_000]
+        may[own] = may_align(n_a[own], n_b[own], a.fine[a.place[i[own]]], b.fine[b.place[j[own]]], least)
+    return may
+
+
 def banded(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance if it is at most ``most``, from the band of cells that lie at most so far from the diagonal.
 
@@ -329,19 +352,21 @@ def across(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         side, node, root, main, n = (table.column(c).to_numpy() for c in ("side", "node", "root", "main", "n_words"))
-        bins = unpacked_bins(table.column("bins"), zstandard.ZstdDecompressor())
+        shapes = Histograms(table.column("bins"), zstandard.ZstdDecompressor())
         before = [frozenset(keys) for keys in table.column("before").to_pylist()]
         x, y = np.flatnonzero((side != 1) & (root != main)), np.flatnonzero(side != 0)
-        coarse = folded(bins)
+        coarse = folded(shapes.bins)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(x), 16):
             i, j = np.meshgrid(x[at : at + 16], y, indexing="ij")
             i, j = i.ravel(), j.ravel()
             keep = (root[i] != root[j]) & ((root[j] == main[j]) | (node[i] < node[j])) & (np.abs(n[i] - n[j]) <= (1 - least) * np.maximum(n[i], n[j]) + 1e-9)
             i, j = i[keep], j[keep]
-            for cells in (coarse, bins):
+            for cells in (coarse, shapes.bins):
                 keep = may_align(n[i], n[j], cells[i], cells[j], least)
                 i, j = i[keep], j[keep]
+            keep = long_may_align(n[i], n[j], shapes, shapes, i, j, least)
+            i, j = i[keep], j[keep]
             keep = np.fromiter((before[p].isdisjoint(before[q]) for p, q in zip(i.tolist(), j.tolist())), dtype=bool, count=len(i))
             found.append((node[i[keep]], node[j[keep]]))
         a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
@@ -397,8 +422,9 @@ def possible(pairs: DataFrame, forms: DataFrame, least: float = SIMILARITY) -> D
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
             if batch.num_rows:
-                cells = [unpacked_bins(batch.column(c), expand) for c in (4, 5)]
-                keep = may_align(batch.column(2).to_numpy(), batch.column(3).to_numpy(), *cells, least)
+                n_a, n_b, a, b = batch.column(2).to_numpy(), batch.column(3).to_numpy(), *(Histograms(batch.column(c), expand) for c in (4, 5))
+                every = np.arange(batch.num_rows)
+                keep = may_align(n_a, n_b, a.bins, b.bins, least) & long_may_align(n_a, n_b, a, b, every, every, least)
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
     left = forms.select(F.col("node").alias("a"), F.col("n_words").alias("n_a"), F.col("bins").alias("bins_a"))

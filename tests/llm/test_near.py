@@ -247,3 +247,23 @@ def test_words_are_shuffled_once_on_their_way_to_the_pairs(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum("Exchange hashpartitioning(node" in line for line in plan.splitlines()) == 1, plan
+
+
+def test_long_strangers_are_not_fetched(spark):
+    """Long texts of the same few thousand words differ in the finer histogram only; none near is ruled out, packed or not."""
+    pick = np.random.default_rng(3)
+    own = [pick.integers(0, 1 << 20, 7_000).astype(np.uint32) for _ in range(4)]
+    few = pick.integers(0, 1 << 32, 7_000, dtype=np.uint64).astype(np.uint32)
+    texts = {n: few[w % 7_000] for n, w in enumerate(own)}
+    texts[4] = np.concatenate([texts[0][:6_000], texts[1][:900]])
+    texts[5] = texts[0][: near.LONG]  # short enough for the plain histogram
+    texts[6] = texts[0][: near.LONG + 400]
+    want = {(a, b) for a in texts for b in texts if a < b and near.similarity(texts[a], texts[b]) is not None}
+    assert want == {(0, 4), (5, 6)}
+    squeeze = zstandard.ZstdCompressor(level=2)
+    for form in (near.histogram, lambda w: near.packed_bins(near.histogram(w), squeeze)):
+        rows = [(1, 0, n, n, 9, 7, 7, len(w), form(w)) for n, w in texts.items()]
+        held = spark.createDataFrame(rows, "key long, token long, node long, root long, main long, size long, strangers long, n_words int, bins binary")
+        assert {(r.a, r.b) for r in near.across(held).collect()} == want
+        pairs = spark.createDataFrame([(a, b) for a in texts for b in texts if a < b], "a long, b long")
+        assert {(r.a, r.b) for r in near.possible(pairs, held.select("node", "n_words", "bins")).collect()} == want
